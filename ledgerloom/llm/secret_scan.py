@@ -111,7 +111,8 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts per pattern, the hash of the pattern spans and all spans as text, from find_secrets's result."""
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("secret_spans", lambda s: s["kind"] != "entropy")
-    counts = [F.size(F.filter("secret_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [of_kind(k) for k in KINDS]
     return found.select("doc_id", *counts[:3], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("secret_spans")).alias("spans"), counts[3])
 
 
