@@ -148,14 +148,20 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
     links = tested.where(F.col("j") >= similarity).select("a", "b")
     labels = components(links, "near")
 
-    # Texts of one bucket in different components so far; distances to the hub bound the distance between them.
-    seen = spokes.join(tested, (spokes["doc_id"] == tested["a"]) & (spokes["hub"] == tested["b"]), "left").select("bucket", "doc_id", "hub", F.when(F.col("doc_id") == F.col("hub"), 1.0).otherwise(F.col("j")).alias("j"))
-    seen = seen.join(labels, seen["doc_id"] == labels["node"], "left").select("bucket", "doc_id", "hub", "j", F.coalesce("label", "doc_id").alias("label"))
+    # Texts of one bucket in different components so far. Distances to the hub bound the distance between two of them,
+    # and so do the shingles that no other text of these buckets has: they are in no intersection.
+    seen = spokes.join(tested, (spokes["doc_id"] == tested["a"]) & (spokes["hub"] == tested["b"]), "left").select("bucket", "doc_id", "hub", "j").where("doc_id <> hub")
+    seen = materialise(seen.join(labels, seen["doc_id"] == labels["node"], "left").select("bucket", "doc_id", "j", F.coalesce("label", "doc_id").alias("label")), "seen")
+    contested = seen.join(seen.where(F.col("j") < similarity).select("bucket").distinct(), "bucket", "left_semi")
+    sets = shingles.join(contested.select("doc_id").distinct(), "doc_id", "left_semi")
+    unique = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner")).where("n = 1").groupBy("owner").agg(F.count(F.lit(1)).alias("own"))
+    sizes = sets.select("doc_id", F.size("shingles").alias("n")).join(unique, F.col("doc_id") == F.col("owner"), "left").select(F.col("doc_id").alias("id"), "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    open_ = contested.join(sizes.where(F.col("common") + 1e-9 >= similarity * F.col("n")), F.col("doc_id") == F.col("id")).drop("id")
+    open_ = materialise(open_, "open")
+    most = F.least("x.common", "y.common")
     slack = 1 - similarity + 1e-9
-    apart = seen.where((F.col("j") < similarity) & (F.col("doc_id") != F.col("hub"))).alias("x")
-    other = seen.where(F.col("doc_id") != F.col("hub")).alias("y")
-    possible = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (F.abs(F.col("x.j") - F.col("y.j")) <= slack)
-    rest = apart.join(other, possible).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    possible = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (F.abs(F.col("x.j") - F.col("y.j")) <= slack) & (most + 1e-9 >= similarity * (F.col("x.n") + F.col("y.n") - most))
+    rest = open_.where(F.col("j") < similarity).alias("x").join(open_.alias("y"), possible).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     rest = materialise(verified(rest, shingles).where(F.col("j") >= similarity).select("a", "b"), "rest")
     if not rest.isEmpty():
         labels = components(links.union(rest), "near")
