@@ -157,10 +157,12 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
     unique = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner")).where("n = 1").groupBy("owner").agg(F.count(F.lit(1)).alias("own"))
     sizes = sets.select("doc_id", F.size("shingles").alias("n")).join(unique, F.col("doc_id") == F.col("owner"), "left").select(F.col("doc_id").alias("id"), "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
     open_ = contested.join(sizes.where(F.col("common") + 1e-9 >= similarity * F.col("n")), F.col("doc_id") == F.col("id")).drop("id")
-    open_ = materialise(open_, "open")
+    own = open_.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("bucket").alias("buckets"))  # as many as bands at most
+    open_ = materialise(open_.join(own, F.col("doc_id") == F.col("id")).drop("id"), "open")
     most = F.least("x.common", "y.common")
     slack = 1 - similarity + 1e-9
     possible = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (F.abs(F.col("x.j") - F.col("y.j")) <= slack) & (most + 1e-9 >= similarity * (F.col("x.n") + F.col("y.n") - most))
+    possible = possible & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket"))  # once, not once a bucket
     rest = open_.where(F.col("j") < similarity).alias("x").join(open_.alias("y"), possible).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     rest = materialise(verified(rest, shingles).where(F.col("j") >= similarity).select("a", "b"), "rest")
     if not rest.isEmpty():
