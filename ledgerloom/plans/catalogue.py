@@ -156,9 +156,15 @@ def document_dates(spark, sf):
     return docs.select("doc_id", X.document_date(F.col("filename"), F.col("text"), F.col("mtime")).alias("d")).select("doc_id", F.col("d.date").cast("string").alias("date"), "d.source")
 
 
+# The fingerprints of the items come from the same SQL over a table of both, items under negative numbers.
+_BOTH = "both_ as (select doc_id, text from documents union all select -1 - item_id, text from benchmark), " + _SIMHASH.replace("from documents)", "from both_)")
+
+
 @_query(
-    f"with {_SIMHASH}, {_MATURITY}, led as (select d.doc_id, sha256(d.text) h, coalesce(hi, 0) hi, coalesce(lo, 0) lo, maturity from documents d left join fp using (doc_id) join l using (doc_id)),"
-    "ex as (select item_id, min(doc_id) exact_doc from benchmark join led on sha256(benchmark.text) = led.h group by all) select b.item_id, exact_doc, 0::bigint near, case when exact_doc is not null then 'EXACT_MATCH' else 'NOT_FOUND' end category from benchmark b left join ex using (item_id)"
+    f"with {_BOTH}, {_MATURITY}, led as (select b.doc_id, sha256(text) h, coalesce(hi, 0) hi, coalesce(lo, 0) lo from both_ b left join fp using (doc_id)),"
+    "ex as (select h, min(doc_id) exact_doc from led where doc_id >= 0 group by h), gr as (select hi, lo, max(maturity) maturity from led join l using (doc_id) where hi <> 0 or lo <> 0 group by hi, lo),"
+    "nr as (select b.doc_id, count(*) near, max(maturity) best from led b join gr on bit_count(xor(b.hi, gr.hi)) + bit_count(xor(b.lo, gr.lo)) <= 3 where b.doc_id < 0 and (b.hi <> 0 or b.lo <> 0) group by b.doc_id)"
+    "select -1 - doc_id item_id, exact_doc, coalesce(near, 0) near, case when exact_doc is not null then 'EXACT_MATCH' when near > 1 then 'MULTIPLE_MATCHES' when best >= 0.6 then 'EVOLVED_VERSION' when near = 1 then 'DRAFT_EXISTS' else 'NOT_FOUND' end category from led left join ex using (h) left join nr using (doc_id) where doc_id < 0"
 )
 def duplicate_check(spark, sf):
     shaped = lambda t: t.withColumn("sha256_hash", F.sha2("text", 256)).withColumn("simhash", X.simhash("text"))
