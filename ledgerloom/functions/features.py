@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -22,26 +23,43 @@ def words(text: Column) -> Column:
 # Fingerprints -----------------------------------------------------------------------------------------------------
 
 _SPACE, _TOKEN, _OTHER = re.compile(r"\s+"), re.compile(r"\w+"), re.compile(r"\W")
-_hashes: dict[str, int] = {}
-
-
-def _hash64(token: str) -> int:
-    if token not in _hashes:
-        if len(_hashes) > 200_000:
-            _hashes.clear()
-        _hashes[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "big")
-    return _hashes[token]
+_ROWS = 1 << 16
+_row_of: dict[str, int] = {}
+_votes = np.zeros((0, 64), np.float32)
+
+
+def _rows(tokens: list[str]) -> np.ndarray:
+    """Rows of the worker's table of votes (+1 or -1 for each hash bit) for distinct tokens; the table starts anew when full."""
+    global _votes
+    if not len(_votes):
+        _votes = np.zeros((_ROWS, 64), np.float32)
+    if len(_row_of) + len(tokens) > len(_votes):
+        _row_of.clear()
+        if len(tokens) > len(_votes):
+            _votes = np.zeros((2 * len(tokens), 64), np.float32)
+    new = [t for t in tokens if t not in _row_of]
+    if new:
+        first = len(_row_of)
+        raw = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest()[:8] for t in new), np.uint8).reshape(-1, 8)
+        _votes[first : first + len(new)] = 2.0 * np.unpackbits(raw, axis=1) - 1
+        _row_of.update(zip(new, range(first, first + len(new)), strict=True))
+    return np.fromiter(map(_row_of.__getitem__, tokens), np.int64, len(tokens))
 
 
 def simhash_of(text: str | None, n: int = 3) -> int:
-    """64-bit SimHash over words and character n-grams of the text without separators; 0 for a text without words."""
+    """64-bit SimHash over words and character n-grams of the text without separators; 0 for a text without words.
+
+    A token's hash is the first 8 bytes of its MD5; every occurrence votes on every bit and a bit needs a majority.
+    """
     clean = _SPACE.sub(" ", (text or "").lower().strip())
     compact = _OTHER.sub("", clean)
-    tokens = _TOKEN.findall(clean) + [compact[i : i + n] for i in range(len(compact) - n + 1)]
-    if not tokens:
+    counts = Counter(_TOKEN.findall(clean))
+    counts.update(map("".join, zip(*(compact[i:] for i in range(n)))))
+    if not counts:
         return 0
-    bits = np.unpackbits(np.array([_hash64(t) for t in tokens], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    votes = 2 * bits.sum(axis=0, dtype=np.int64) - len(tokens)
+    weights = np.fromiter(counts.values(), np.float64, len(counts))
+    rows = _rows(list(counts))
+    votes = weights @ _votes[rows]
     return int(np.packbits(votes > 0).view(">i8")[0])
 
 
