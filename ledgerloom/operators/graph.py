@@ -123,3 +123,26 @@ def range_topics(articles: DataFrame, ranges: DataFrame, overrides: DataFrame) -
     hit = articles.join(F.broadcast(ranges), F.col("number").between(F.col("lo"), F.col("hi")), "left")
     first = hit.groupBy("article_id", "number").agg(F.min_by("topic", "seq").alias("ranged"))
     return first.join(overrides.select("number", F.col("topic").alias("own")), "number", "left").select("article_id", "number", F.coalesce("own", "ranged").alias("topic"))
+
+
+def mirror_document_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, prefix: str = "doc_") -> DataFrame:
+    """Edges that start at a document (prefix + its id) as links (doc, node_id), where both ends exist."""
+    own = edges.where(F.col("src").startswith(prefix)).select(F.expr(f"substring(src, {len(prefix) + 1})").alias("doc"), F.col("dst").alias("node_id"))
+    return own.join(nodes.select("node_id"), "node_id", "left_semi").join(docs.select(F.col("doc").cast("string").alias("doc")), "doc", "left_semi").distinct()
+
+
+def bridge_isolated(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges from each node without one to the linked node that shares most documents with it; ties to the smaller id."""
+    alone = orphans(nodes, edges).select("node_id")
+    near = shared_neighbours(links, alone)
+    best = near.groupBy("seed").agg(F.max("shared").alias("most"))
+    tied = near.join(best, "seed").where("shared = most")
+    return tied.groupBy(F.col("seed").alias("src")).agg(F.min("node_id").alias("dst"), F.max("shared").alias("weight"))
+
+
+def representativity(total: DataFrame, rendered: DataFrame, key: str) -> DataFrame:
+    """Rows, rendered rows, percentage and whether a cap applied, per cluster."""
+    a = total.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    b = rendered.groupBy(key).agg(F.count(F.lit(1)).alias("rendered"))
+    both = a.join(b, key, "left").na.fill(0, ["rendered"])
+    return both.withColumn("pct", F.round(100 * F.col("rendered") / F.col("total"), 1)).withColumn("capped", F.col("rendered") < F.col("total"))

@@ -95,3 +95,18 @@ def corroboration(links: DataFrame) -> DataFrame:
 def first_documents(links: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("node_id").orderBy("doc_id")
     return links.select("node_id", "doc_id").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
+
+
+def roles_of_pairs(links: DataFrame) -> DataFrame:
+    """Distinct roles of each document and person as one sorted string."""
+    return links.groupBy("doc_id", "node_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+
+
+def certify(candidates: DataFrame, verdicts: DataFrame, least: int = 3) -> DataFrame:
+    """Outcome of each candidate (node_id, name) by the verdict (name, verdict: purge, retain or a type) on its name.
+
+    Without a verdict, names shorter than `least` are purged and the others retained.
+    """
+    given = verdicts.groupBy(F.lower("name").alias("_n")).agg(F.min("verdict").alias("verdict"))
+    judged = candidates.join(given, F.lower("name") == F.col("_n"), "left").drop("_n")
+    return judged.withColumn("outcome", F.coalesce("verdict", F.when(F.length("name") < least, "purge").otherwise("retain"))).drop("verdict")

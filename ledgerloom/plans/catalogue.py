@@ -479,6 +479,40 @@ def article_topics(spark, sf):
     return graph.range_topics(p, spark.createDataFrame(_RANGES, "lo int, hi int, topic string, seq int"), spark.createDataFrame([(7, "special")], "number int, topic string"))
 
 
+_LIGHT = f"{fx.LINKS_SQL}, {fx.EDGES_SQL}, light as (select * from edges where weight >= 2), n as (select 'p' || p_partkey node_id from part union all select 's' || s_suppkey from supplier), alone as (select node_id from n where node_id not in (select src from light union select dst from light))"
+
+
+@_query(f"with {_LIGHT}, nb as (select a.node_id seed, b.node_id, count(*) shared from links a join links b using (doc) where a.node_id in (from alone) and b.node_id not in (from alone) group by all) select seed src, min_by(node_id, (-shared, node_id)) dst, max(shared) weight from nb group by seed")
+def bridged_nodes(spark, sf):
+    return graph.bridge_isolated(fx.nodes(spark, sf), fx.edges(spark, sf).where("weight >= 2"), fx.links(spark, sf))
+
+
+@_query("select 'd' || l_orderkey doc, 's' || l_suppkey node_id from lineitem where l_linenumber = 1 and l_suppkey % 2 = 0 group by all")
+def mirrored_links(spark, sf):
+    items = fx.table(spark, sf, "lineitem").where("l_linenumber = 1")
+    e = items.select(F.concat(F.lit("doc_d"), "l_orderkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    n = fx.table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id"))
+    return graph.mirror_document_edges(e, n, fx.table(spark, sf, "orders").select(F.concat(F.lit("d"), "o_orderkey").alias("doc")))
+
+
+@_query("with t as (select p_brand brand, count(*) total, sum((p_size <= 25)::int)::bigint rendered from part group by all) select *, round(100 * rendered / total, 1) pct, rendered < total capped from t")
+def cluster_representativity(spark, sf):
+    p = fx.table(spark, sf, "part").select(F.col("p_brand").alias("brand"), "p_size")
+    return graph.representativity(p, p.where("p_size <= 25"), "brand")
+
+
+@_query("select o_custkey doc_id, o_orderstatus node_id, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) roles from orders group by all")
+def pair_roles(spark, sf):
+    return taxonomy.roles_of_pairs(fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("node_id"), F.col("o_orderpriority").alias("role")))
+
+
+@_query("select s_suppkey node_id, s_name as \"name\", case when s_suppkey % 4 = 0 then 'purge' when s_suppkey % 4 = 1 then 'location' else 'retain' end outcome from supplier")
+def certification(spark, sf):
+    c = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("name"))
+    verdicts = c.where("node_id % 4 < 2").select(F.upper("name").alias("name"), F.when(F.col("node_id") % 4 == 0, "purge").otherwise("location").alias("verdict"))
+    return taxonomy.certify(c, verdicts)
+
+
 # Obligations --------------------------------------------------------------------------------------------------------
 
 
