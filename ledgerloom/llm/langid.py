@@ -13,6 +13,7 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS = 256
 MAX_LANGUAGES = 256
 MIN_MARGIN = 0.004
+BLOCK_BYTES = 4096
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -64,6 +65,13 @@ def compressors(model: list[tuple[str, int, bytes]]) -> list:
     return [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings) for _, _, content in model]
 
 
+def sizes_of(content: bytes, tools: list, block_bytes: int = BLOCK_BYTES) -> list[int]:
+    """Compressed size of a whole content per language, block by block, so that a long text's own history does not take
+    the dictionary's place."""
+    blocks = [content[i : i + block_bytes] for i in range(0, len(content), block_bytes)]
+    return [sum(len(c.compress(b)) for b in blocks) for c in tools]
+
+
 def classify(docs: DataFrame, model: list[tuple[str, int, bytes]], min_margin: float = MIN_MARGIN) -> DataFrame:
     """Predict the language of every whole text: doc_id, lang_pred, score, rejected.
 
@@ -85,7 +93,7 @@ def classify(docs: DataFrame, model: list[tuple[str, int, bytes]], min_margin: f
                     preds.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                sizes = [len(c.compress(content)) for c in tools]
+                sizes = sizes_of(content, tools)
                 best = min(range(len(sizes)), key=sizes.__getitem__)
                 second = min((s for i, s in enumerate(sizes) if i != best), default=0)
                 preds.append(names[best])
@@ -107,7 +115,7 @@ def keep_identified(docs: DataFrame, model: list[tuple[str, int, bytes]], min_ma
             keep = []
             for text in batch:
                 content = letters_of(text)
-                sizes = sorted(len(c.compress(content)) for c in tools) if content else []
+                sizes = sorted(sizes_of(content, tools)) if content else []
                 keep.append(bool(sizes) and (len(sizes) == 1 or (sizes[1] - sizes[0]) / sizes[1] >= min_margin))
             yield pd.Series(keep, dtype=bool)
 
