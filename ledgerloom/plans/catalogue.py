@@ -10,44 +10,30 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import features as X
 from ledgerloom.operators import actions as A
 from ledgerloom.operators import dedup, graph, ledger, retrieval, taxonomy
+from ledgerloom.plans import extracted as _extracted  # noqa: F401
 from ledgerloom.plans import fixtures as fx
+from ledgerloom.plans.registered import QUERIES, SQL, query, values
 from ledgerloom.sources import files
 from ledgerloom.streaming import jobs
 
 AS_OF = "1998-06-01 00:00:00"
 KEYWORDS = [("function_en", "the", False), ("function_en", "that", False), ("function_en", "with", False), ("function_de", "und", False), ("function_de", "der", False), ("function_de", "nicht", True), ("function_fr", "les", False), ("function_fr", "dans", True), ("function_es", "para", False), ("function_es", "que", False), ("function_fr", "que", False)]
 GAZETTEER = [("was", "org_was", 1.0), ("have", "org_have", 0.9), ("avec", "place_avec", 0.95), ("dans", "place_dans", 0.85), ("mit", "place_mit", 0.9), ("von", "place_dans", 0.95)]
-_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None):
-    def keep(f):
-        _Q[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
 
 
 def _as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
-
-
 # Identity and duplicates --------------------------------------------------------------------------------------------
 
 
-@_query("select sha256(text) sha256_hash, count(*) copies, min(doc_id) first_doc from documents group by 1 having count(*) > 1")
+@query("select sha256(text) sha256_hash, count(*) copies, min(doc_id) first_doc from documents group by 1 having count(*) > 1")
 def exact_duplicates(spark, sf):
     return dedup.exact_duplicates(fx.table(spark, sf, "documents"))
 
 
-@_query("select source, count(*) locations, count(distinct sha256(text)) unique_docs, greatest(0, count(*) - count(distinct sha256(text))) saved from documents group by rollup(source)")
+@query("select source, count(*) locations, count(distinct sha256(text)) unique_docs, greatest(0, count(*) - count(distinct sha256(text))) saved from documents group by rollup(source)")
 def ledger_stats(spark, sf):
     docs = fx.table(spark, sf, "documents").select("source", F.sha2("text", 256).alias("h"))
     n, u = F.count(F.lit(1)), F.countDistinct("h")
@@ -66,7 +52,7 @@ fp as (select doc_id, sum(case when sh > 0 then (1::bigint << b) else 0 end)::bi
 """
 
 
-@_query(f"with {_SIMHASH} select d.doc_id, format('{{:08x}}{{:08x}}', coalesce(hi, 0), coalesce(lo, 0)) simhash_hex from documents d left join fp using (doc_id)")
+@query(f"with {_SIMHASH} select d.doc_id, format('{{:08x}}{{:08x}}', coalesce(hi, 0), coalesce(lo, 0)) simhash_hex from documents d left join fp using (doc_id)")
 def simhash_fingerprints(spark, sf):
     docs = fx.table(spark, sf, "documents")
     return docs.select("doc_id", X.simhash_hex(X.simhash("text")).alias("simhash_hex"))
@@ -81,7 +67,7 @@ pairs as (select x.first_doc a, y.first_doc b, x.docs docs_a, y.docs docs_b, (bi
 """
 
 
-@_query(f"with {_PAIRS} select *, round(1 - distance / 64.0, 4)::double similarity from pairs")
+@query(f"with {_PAIRS} select *, round(1 - distance / 64.0, 4)::double similarity from pairs")
 def near_duplicates(spark, sf):
     return dedup.near_pairs(dedup.fingerprint_groups(_prints(spark, sf)))
 
@@ -113,12 +99,12 @@ l as (select *, case when truncated or fn like '%partial%' or fn like '%tronque%
 """
 
 
-@_query(f"with {_MATURITY} select doc_id, completeness, signature, naming, date_score, truncated, maturity, lifecycle from l")
+@query(f"with {_MATURITY} select doc_id, completeness, signature, naming, date_score, truncated, maturity, lifecycle from l")
 def maturity_scores(spark, sf):
     return _maturity(spark, sf).select("doc_id", "completeness", "signature", "naming", "date_score", "truncated", "maturity", "lifecycle")
 
 
-@_query(f"with {_MATURITY} select source, lifecycle, count(*) docs, round(avg(maturity), 4) maturity from l group by all")
+@query(f"with {_MATURITY} select source, lifecycle, count(*) docs, round(avg(maturity), 4) maturity from l group by all")
 def lifecycle_counts(spark, sf):
     return _maturity(spark, sf).groupBy("source", "lifecycle").agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("maturity"), 4).alias("maturity"))
 
@@ -126,12 +112,12 @@ def lifecycle_counts(spark, sf):
 _LINKS = f"{_PAIRS}, {_MATURITY}, links as (select a parent_doc, b child_doc, case when y.maturity > x.maturity then 'supersedes' else 'derived_from' end relationship, distance from pairs join l x on x.doc_id = a join l y on y.doc_id = b)"
 
 
-@_query(f"with {_LINKS} select * from links")
+@query(f"with {_LINKS} select * from links")
 def version_chains(spark, sf):
     return dedup.version_links(near_duplicates(spark, sf), _maturity(spark, sf))
 
 
-@_query(f"with {_LINKS} select relationship, count(*) links from links group by all")
+@query(f"with {_LINKS} select relationship, count(*) links from links group by all")
 def lineage_summary(spark, sf):
     return dedup.lineage_summary(version_chains(spark, sf))
 
@@ -147,7 +133,7 @@ def _part(col: str, p: str, g: int, year: bool = False) -> str:
 _DATES = [_BY_DATE("fn", p, g, "filename_prefix") for p, g in X.NAME_PREFIX] + [_BY_DATE("head", p, g, "content") for p, g in X.IN_TEXT] + [_BY_DATE("fn", p, g, "filename") for p, g in X.IN_NAME]
 
 
-@_query(
+@query(
     f"with n as (select doc_id, trim({fx.FILE_NAME}) fn, substr(text, 1, 4000) head from documents), c as (select doc_id, [" + ", ".join(f"struct_pack(d := {x[1:].rpartition(', ')[0]}, s := {x[1:-1].rpartition(', ')[2]})" for x in _DATES) + "] c from n), "
     "f as (select doc_id, list_filter(c, lambda x: x.d is not null) f from c) select doc_id, coalesce(f[1].d, case when doc_id % 2 = 0 then date '2020-01-15' end)::varchar as \"date\", coalesce(f[1].s, case when doc_id % 2 = 0 then 'mtime' else 'unknown' end) as source from f"
 )
@@ -160,7 +146,7 @@ def document_dates(spark, sf):
 _BOTH = "both_ as (select doc_id, text from documents union all select -1 - item_id, text from benchmark), " + _SIMHASH.replace("from documents)", "from both_)")
 
 
-@_query(
+@query(
     f"with {_BOTH}, {_MATURITY}, led as (select b.doc_id, sha256(text) h, coalesce(hi, 0) hi, coalesce(lo, 0) lo from both_ b left join fp using (doc_id)),"
     "ex as (select h, min(doc_id) exact_doc from led where doc_id >= 0 group by h), gr as (select hi, lo, max(maturity) maturity from led join l using (doc_id) where hi <> 0 or lo <> 0 group by hi, lo),"
     "nr as (select b.doc_id, count(*) near, max(maturity) best from led b join gr on bit_count(xor(b.hi, gr.hi)) + bit_count(xor(b.lo, gr.lo)) <= 3 where b.doc_id < 0 and (b.hi <> 0 or b.lo <> 0) group by b.doc_id)"
@@ -174,7 +160,7 @@ def duplicate_check(spark, sf):
 # Text and retrieval -------------------------------------------------------------------------------------------------
 
 
-@_query(
+@query(
     """with p as (select doc_id, list_transform(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\n{2,}'), lambda p: list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '')) ps from documents),
 w as (select doc_id, flatten(list_transform(list_filter(ps, lambda p: len(p) > 0), lambda p: list_append(p, chr(10) || chr(10)))) w from p),
 c as (select doc_id, w, unnest(range(0, len(w), 520)) i from w)
@@ -202,12 +188,12 @@ sc as (select query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2
 _TOP5 = "select query_id, doc_id, score, r::int as \"rank\" from (select *, row_number() over (partition by query_id order by score desc, doc_id) r from scored) where r <= 5"
 
 
-@_query(f"with {_BM25}, scored as (select query_id, doc_id, round(s, 6) score from sc join need using (query_id) where found = need) {_TOP5}")
+@query(f"with {_BM25}, scored as (select query_id, doc_id, round(s, 6) score from sc join need using (query_id) where found = need) {_TOP5}")
 def bm25_search(spark, sf):
     return retrieval.bm25(fx.table(spark, sf, "documents"), _queries(spark, sf))
 
 
-@_query(
+@query(
     f"with {_BM25}, hit as (select query_id, doc_id, round(s, 6) score, found = need as full_ from sc join need using (query_id)), one as (select distinct query_id from hit where full_), "
     f"q4 as (select item_id query_id, unnest(list_distinct({_WORDS}[1:4])) term from benchmark where item_id not in (select query_id from one)), "
     "s4 as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) score from q4 join tf using (term) join df using (term), tot group by all), "
@@ -217,16 +203,16 @@ def search_cascade(spark, sf):
     return retrieval.cascade(fx.table(spark, sf, "documents"), _queries(spark, sf))
 
 
-_VECTOR = """v as (select vec_id, embedding::double[] v from embeddings), q as (select vec_id query_id, v q from v where vec_id < 20),
+_VECTOR = """v as (select vec_id, embedding::double[] v from embeddings), q as (select vec_id query_id, v q from v where vec_id % 50 = 0),
 scored as (select query_id, vec_id doc_id, round(list_cosine_similarity(q, v), 6) score from q join v on vec_id <> query_id)"""
 
 
 def _probe(spark, sf):
     e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    return e, e.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    return e, e.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
 
 
-@_query(f"with {_VECTOR} select query_id, doc_id, score, r::int as \"rank\" from (select *, row_number() over (partition by query_id order by score desc, doc_id) r from scored where score >= 0.25) where r <= 10")
+@query(f"with {_VECTOR} select query_id, doc_id, score, r::int as \"rank\" from (select *, row_number() over (partition by query_id order by score desc, doc_id) r from scored where score >= 0.25) where r <= 10")
 def vector_topk(spark, sf):
     return retrieval.vector_topk(*_probe(spark, sf))
 
@@ -249,14 +235,14 @@ def _exact_passage(spark, sf):
     return starts.join(asked, "run").where(F.col("text").contains(F.col("passage"))).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
 
 
-@_query(f"with {_RRF} select query_id, doc_id, score, r::int as \"rank\" from (select *, row_number() over (partition by query_id order by score desc, doc_id) r from fused) where r <= 10")
+@query(f"with {_RRF} select query_id, doc_id, score, r::int as \"rank\" from (select *, row_number() over (partition by query_id order by score desc, doc_id) r from fused) where r <= 10")
 def hybrid_rrf(spark, sf):
     dense = retrieval.vector_topk(*_probe(spark, sf))
     sparse = retrieval.bm25(fx.table(spark, sf, "documents"), _queries(spark, sf), 10, all_terms=False)
     return retrieval.reciprocal_rank_fusion([dense, sparse], _exact_passage(spark, sf))
 
 
-@_query(
+@query(
     f"with {_MATURITY}, {_BM25}, scored0 as (select query_id, doc_id, round(s, 6) sc0, found / need overlap from sc join need using (query_id)), r0 as (select *, row_number() over (partition by query_id order by sc0 desc, doc_id) r from scored0), "
     "scored as (select query_id, r0.doc_id, round(40 * round(1 / (60 + r), 6) + 0.35 * overlap + 0.25 * maturity + 0.1 * (lifecycle = 'final')::int, 6) score from r0 join l using (doc_id) where r <= 10) " + _TOP5
 )
@@ -271,12 +257,12 @@ def rerank(spark, sf):
     return retrieval.rerank(rows).select("query_id", "doc_id", "score", "rank")
 
 
-@_query("select vec_id, label, len(embedding)::int dims, len(list_filter(embedding, lambda x: x <> 0))::int filled from embeddings")
+@query("select vec_id, label, len(embedding)::int dims, len(list_filter(embedding, lambda x: x <> 0))::int filled from embeddings")
 def embedding_health(spark, sf):
     return fx.table(spark, sf, "embeddings").select("vec_id", "label", F.size("embedding").alias("dims"), F.size(F.filter("embedding", lambda x: x != 0)).alias("filled"))
 
 
-@_query(
+@query(
     "with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) t, generate_subscripts(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1) - 1 i from documents), "
     "s as (select doc_id, ('0x' || substr(sha256(t), 1, 8))::bigint % 64 k, sum(1 / (1 + 0.05 * i)) v from w group by all) select doc_id, round(max(v) / sqrt(sum(v * v)), 5) top, count(*) filled from s group by all"
 )
@@ -290,8 +276,8 @@ def hashed_embeddings(spark, sf):
 # Classification -----------------------------------------------------------------------------------------------------
 
 
-@_query(
-    f"with k(category, keyword, is_child) as (values {_values(KEYWORDS)}), w as (select distinct doc_id, unnest({_WORDS}) keyword from documents), "
+@query(
+    f"with k(category, keyword, is_child) as (values {values(KEYWORDS)}), w as (select distinct doc_id, unnest({_WORDS}) keyword from documents), "
     "h as (select doc_id, category, is_child, count(*) hits from w join k using (keyword) group by all), c as (select *, round(least(0.95, 0.72 + 0.08 * hits) + 0.05 * is_child::int, 4)::double confidence from h) "
     "select doc_id, category, hits, confidence from (select *, row_number() over (partition by doc_id order by confidence desc, category) r from c where confidence > 0.5) where r = 1"
 )
@@ -300,17 +286,17 @@ def keyword_classes(spark, sf):
     return taxonomy.classify(fx.table(spark, sf, "documents"), kw)
 
 
-@_query("select lang, count(*) docs, sum(regexp_matches(lower(text), '@')::int)::bigint mail, sum(regexp_matches(lower(text), 'token|password')::int)::bigint secret, round(100 * sum(regexp_matches(lower(text), '@')::int) / count(*), 2) mail_pct, round(100 * sum(regexp_matches(lower(text), 'token|password')::int) / count(*), 2) secret_pct from documents group by lang")
+@query("select lang, count(*) docs, sum(regexp_matches(lower(text), '@')::int)::bigint mail, sum(regexp_matches(lower(text), 'token|password')::int)::bigint secret, round(100 * sum(regexp_matches(lower(text), '@')::int) / count(*), 2) mail_pct, round(100 * sum(regexp_matches(lower(text), 'token|password')::int) / count(*), 2) secret_pct from documents group by lang")
 def label_breakdown(spark, sf):
     return taxonomy.label_breakdown(fx.table(spark, sf, "documents"), {"mail": "@", "secret": "token|password"}, "lang")
 
 
-@_query(f"with g(term, node_id, confidence) as (values {_values(GAZETTEER)}), w as (select distinct doc_id, unnest({_WORDS}) term from documents) select doc_id, node_id, max(confidence)::double confidence from w join g using (term) group by all")
+@query(f"with g(term, node_id, confidence) as (values {values(GAZETTEER)}), w as (select distinct doc_id, unnest({_WORDS}) term from documents) select doc_id, node_id, max(confidence)::double confidence from w join g using (term) group by all")
 def entity_links(spark, sf):
     return taxonomy.mentions(fx.table(spark, sf, "documents"), spark.createDataFrame(GAZETTEER, "term string, node_id string, confidence double"))
 
 
-@_query(f"with g(term, node_id, confidence) as (values {_values(GAZETTEER)}), w as (select distinct doc_id, unnest({_WORDS}) term from documents) select term, count(*) docs from w semi join g using (term) group by all")
+@query(f"with g(term, node_id, confidence) as (values {values(GAZETTEER)}), w as (select distinct doc_id, unnest({_WORDS}) term from documents) select term, count(*) docs from w semi join g using (term) group by all")
 def keyword_documents(spark, sf):
     """Documents that mention each keyword of a list."""
     terms = spark.createDataFrame([(t,) for t, _, _ in GAZETTEER], "term string")
@@ -330,20 +316,20 @@ def _rules():
     return [("red", F.lower("name").contains("red"), "colour_red", 0.95), ("large", F.col("size") > 40, "large", 0.9), ("tin", F.col("type").contains("TIN") | F.col("type").contains("tin"), "tin", 0.85)]
 
 
-@_query(f"with p as (select p_partkey id, p_name name, p_brand category, p_size size, p_type \"type\" from part), r as (select category old_category, {_RULES_SQL.replace(' type ', ' \"type\" ')} new_category from p) select old_category, new_category, count(*) docs from r where old_category <> new_category group by all")
+@query(f"with p as (select p_partkey id, p_name name, p_brand category, p_size size, p_type \"type\" from part), r as (select category old_category, {_RULES_SQL.replace(' type ', ' \"type\" ')} new_category from p) select old_category, new_category, count(*) docs from r where old_category <> new_category group by all")
 def evolution(spark, sf):
     _, audit = taxonomy.evolve(_parts(spark, sf), _rules(), "v2", dry_run=True)
     return audit.groupBy("old_category", "new_category").agg(F.sum("docs").alias("docs"))
 
 
-@_query(f"with p as (select p_partkey id, p_name name, p_brand category, p_size size, p_type \"type\" from part), r as (select id, category was, {_RULES_SQL.replace(' type ', ' \"type\" ')} category from p) select category, count(*) docs, sum((was <> category)::int)::bigint requeued, round(100 * sum((was <> category)::int) / count(*), 2) migrated_pct from r group by all")
+@query(f"with p as (select p_partkey id, p_name name, p_brand category, p_size size, p_type \"type\" from part), r as (select id, category was, {_RULES_SQL.replace(' type ', ' \"type\" ')} category from p) select category, count(*) docs, sum((was <> category)::int)::bigint requeued, round(100 * sum((was <> category)::int) / count(*), 2) migrated_pct from r group by all")
 def evolution_status(spark, sf):
     led, _ = taxonomy.evolve(_parts(spark, sf), _rules(), "v2")
     moved = F.sum(F.col("requeue").cast("long"))
     return led.groupBy("category").agg(F.count(F.lit(1)).alias("docs"), moved.alias("requeued"), F.round(100 * moved / F.count(F.lit(1)), 2).alias("migrated_pct"))
 
 
-@_query("select case when p_brand in ('Brand#11', 'Brand#12', 'Brand#1', 'Brand#2') then 'Brand#13' else p_brand end category, count(*) docs from part group by all")
+@query("select case when p_brand in ('Brand#11', 'Brand#12', 'Brand#1', 'Brand#2') then 'Brand#13' else p_brand end category, count(*) docs from part group by all")
 def category_merge(spark, sf):
     mapping = spark.createDataFrame([(b, "Brand#13") for b in ("Brand#11", "Brand#12", "Brand#1", "Brand#2")], "source string, target string")
     docs = _parts(spark, sf)
@@ -351,18 +337,18 @@ def category_merge(spark, sf):
     return tagged.groupBy("category").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@_query("with u as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') p from pages) select array_to_string(string_split(p, '/')[1:2], '/') folder, count(*) docs from u group by all")
+@query("with u as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') p from pages) select array_to_string(string_split(p, '/')[1:2], '/') folder, count(*) docs from u group by all")
 def folder_topology(spark, sf):
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     return fx.table(spark, sf, "pages").groupBy(F.array_join(F.slice(F.split(path, "/"), 1, 2), "/").alias("folder")).agg(F.count(F.lit(1)).alias("docs"))
 
 
-@_query(None)
+@query(None)
 def markup_text(spark, sf):
     return files.markup_text(fx.table(spark, sf, "pages"))
 
 
-@_query("select c_custkey, 'customer_' || regexp_replace(regexp_replace(trim(lower(c_name)), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s-]+', '_', 'g') node_id, length(c_name) between 3 and 55 clean from customer where not starts_with(lower(c_name), 'customer_') union all select c_custkey, lower(c_name), true from customer where starts_with(lower(c_name), 'customer_')")
+@query("select c_custkey, 'customer_' || regexp_replace(regexp_replace(trim(lower(c_name)), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s-]+', '_', 'g') node_id, length(c_name) between 3 and 55 clean from customer where not starts_with(lower(c_name), 'customer_') union all select c_custkey, lower(c_name), true from customer where starts_with(lower(c_name), 'customer_')")
 def name_slugs(spark, sf):
     c = fx.table(spark, sf, "customer")
     own = F.regexp_replace(F.regexp_replace(F.trim(F.lower("c_name")), r"[^\p{L}\p{N}_\s-]", ""), r"[\s-]+", "_")
@@ -372,7 +358,7 @@ def name_slugs(spark, sf):
 # Graph --------------------------------------------------------------------------------------------------------------
 
 
-@_query("with p as (select distinct l_orderkey d, l_partkey p from lineitem), s as (select distinct l_orderkey d, l_suppkey s from lineitem) select p src, s dst, count(*) weight, 'seen_with' relation from p join s using (d) group by all")
+@query("with p as (select distinct l_orderkey d, l_partkey p from lineitem), s as (select distinct l_orderkey d, l_suppkey s from lineitem) select p src, s dst, count(*) weight, 'seen_with' relation from p join s using (d) group by all")
 def cooccurrence_edges(spark, sf):
     items = fx.table(spark, sf, "lineitem")
     return graph.cooccurrence(items.select("l_orderkey", F.col("l_partkey").alias("src")), items.select("l_orderkey", F.col("l_suppkey").alias("dst")), "l_orderkey", "seen_with")
@@ -387,27 +373,27 @@ def _stats(spark, sf):
     return graph.node_stats(fx.nodes(spark, sf), fx.edges(spark, sf), fx.links(spark, sf)).select("node_id", "node_type", "degree", "docs")
 
 
-@_query(f"with {_STATS} select * from stats")
+@query(f"with {_STATS} select * from stats")
 def node_degree(spark, sf):
     return _stats(spark, sf)
 
 
-@_query(f"with {_STATS} select node_type, count(*) nodes, sum(degree)::bigint degree, max(docs) most_docs from stats group by all")
+@query(f"with {_STATS} select node_type, count(*) nodes, sum(degree)::bigint degree, max(docs) most_docs from stats group by all")
 def graph_stats(spark, sf):
     return _stats(spark, sf).groupBy("node_type").agg(F.count(F.lit(1)).alias("nodes"), F.sum("degree").alias("degree"), F.max("docs").alias("most_docs"))
 
 
-@_query(f"with {_STATS} select node_id, node_type, degree * 2 + docs * 5 score from (select *, row_number() over (partition by node_type order by degree * 2 + docs * 5 desc, node_id) r from stats) where r <= 25")
+@query(f"with {_STATS} select node_id, node_type, degree * 2 + docs * 5 score from (select *, row_number() over (partition by node_type order by degree * 2 + docs * 5 desc, node_id) r from stats) where r <= 25")
 def stratified_nodes(spark, sf):
     return graph.stratified_nodes(_stats(spark, sf), 25).select("node_id", "node_type", "score")
 
 
-@_query(f"with {_STATS} select node_id, degree, docs from stats where degree <= 4 and docs <= 5")
+@query(f"with {_STATS} select node_id, degree, docs from stats where degree <= 4 and docs <= 5")
 def low_degree_candidates(spark, sf):
     return graph.low_degree_candidates(_stats(spark, sf), 4, 5).select("node_id", "degree", "docs")
 
 
-@_query("with d as (select o_orderkey doc_id, o_orderpriority theme, o_custkey::varchar || '-' || o_orderstatus name, o_orderstatus = 'O' pending from orders), a as (select *, row_number() over (partition by theme, name order by pending desc, doc_id) r from d) select doc_id, theme, pending from (select *, row_number() over (partition by theme order by pending desc, doc_id) k from a where r = 1) where k <= 45")
+@query("with d as (select o_orderkey doc_id, o_orderpriority theme, o_custkey::varchar || '-' || o_orderstatus name, o_orderstatus = 'O' pending from orders), a as (select *, row_number() over (partition by theme, name order by pending desc, doc_id) r from d) select doc_id, theme, pending from (select *, row_number() over (partition by theme order by pending desc, doc_id) k from a where r = 1) where k <= 45")
 def stratified_docs(spark, sf):
     d = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("theme"), F.concat(F.col("o_custkey").cast("string"), F.lit("-"), "o_orderstatus").alias("name"), (F.col("o_orderstatus") == "O").alias("pending"))
     return graph.stratified_documents(d, 45).select("doc_id", "theme", "pending")
@@ -421,41 +407,41 @@ def _seeds(spark):
     return spark.createDataFrame([(s,) for s in _SEEDS], "node_id string")
 
 
-@_query(f"with {fx.LINKS_SQL}, {_SEEDS_SQL} select a.node_id seed, b.node_id, count(*) shared from links a join links b using (doc) where a.node_id in (from seeds) and b.node_id not in (from seeds) group by all")
+@query(f"with {fx.LINKS_SQL}, {_SEEDS_SQL} select a.node_id seed, b.node_id, count(*) shared from links a join links b using (doc) where a.node_id in (from seeds) and b.node_id not in (from seeds) group by all")
 def shared_docs(spark, sf):
     return graph.shared_neighbours(fx.links(spark, sf), _seeds(spark))
 
 
-@_query(f"with {fx.LINKS_SQL} select distinct a.doc from links a join links b using (doc) where a.node_id in ('p1', 'p2', 'p3', 'p4', 'p5', 'p6', 'p7', 'p8', 'p9') and b.node_id in ('s1', 's2', 's3', 's4', 's5', 's6', 's7', 's8', 's9')")
+@query(f"with {fx.LINKS_SQL} select distinct a.doc from links a join links b using (doc) where a.node_id in ('p1', 'p2', 'p3', 'p4', 'p5', 'p6', 'p7', 'p8', 'p9') and b.node_id in ('s1', 's2', 's3', 's4', 's5', 's6', 's7', 's8', 's9')")
 def bridging_documents(spark, sf):
     of = lambda k: spark.createDataFrame([(f"{k}{i}",) for i in range(1, 10)], "node_id string")
     return graph.bridging_documents(fx.links(spark, sf), of("p"), of("s"))
 
 
-@_query(f"with {fx.EDGES_SQL}, {_SEEDS_SQL}, b as (select src x, dst y from edges union select dst, src from edges), h1 as (select distinct node_id seed, y from seeds join b on x = node_id), h2 as (select distinct seed, b.y from h1 join b on b.x = h1.y) select seed, y node_id, min(hop)::int hop from (select seed, y, 1 hop from h1 union all select seed, y, 2 from h2) where seed <> y group by all")
+@query(f"with {fx.EDGES_SQL}, {_SEEDS_SQL}, b as (select src x, dst y from edges union select dst, src from edges), h1 as (select distinct node_id seed, y from seeds join b on x = node_id), h2 as (select distinct seed, b.y from h1 join b on b.x = h1.y) select seed, y node_id, min(hop)::int hop from (select seed, y, 1 hop from h1 union all select seed, y, 2 from h2) where seed <> y group by all")
 def neighborhood_2hop(spark, sf):
     return graph.neighbourhood(fx.edges(spark, sf), _seeds(spark))
 
 
-@_query(f"with {fx.EDGES_SQL} select src, dst, weight from edges where substr(src, 2)::int % 3 = 0 and substr(dst, 2)::int % 2 = 0 order by weight desc, src, dst limit 3000")
+@query(f"with {fx.EDGES_SQL} select src, dst, weight from edges where substr(src, 2)::int % 3 = 0 and substr(dst, 2)::int % 2 = 0 order by weight desc, src, dst limit 3000")
 def induced_subgraph(spark, sf):
     n = fx.nodes(spark, sf).withColumn("k", F.substring("node_id", 2, 20).cast("int"))
     kept = n.where(((F.col("node_type") == "part") & (F.col("k") % 3 == 0)) | ((F.col("node_type") == "supplier") & (F.col("k") % 2 == 0)))
     return graph.induced_subgraph(fx.edges(spark, sf), kept).select("src", "dst", "weight")
 
 
-@_query(f"with {fx.EDGES_SQL}, m as (select case when substr(src, 2)::int % 10 = 7 then 'p1' else src end src, dst, weight from edges) select src, dst, 'supplied_by' relation, max(weight) weight from m group by all")
+@query(f"with {fx.EDGES_SQL}, m as (select case when substr(src, 2)::int % 10 = 7 then 'p1' else src end src, dst, weight from edges) select src, dst, 'supplied_by' relation, max(weight) weight from m group by all")
 def entity_consolidation(spark, sf):
     mapping = fx.nodes(spark, sf).where("node_type = 'part'").select(F.col("node_id").alias("alias")).where(F.substring("alias", 2, 20).cast("int") % 10 == 7).withColumn("canonical", F.lit("p1"))
     return graph.consolidate(fx.edges(spark, sf), mapping)
 
 
-@_query(f"with {fx.EDGES_SQL}, light as (select * from edges where weight >= 2), n as (select 'p' || p_partkey node_id, p_name name from part union all select 's' || s_suppkey, s_name from supplier) select node_id from n where node_id not in (select src from light union select dst from light)")
+@query(f"with {fx.EDGES_SQL}, light as (select * from edges where weight >= 2), n as (select 'p' || p_partkey node_id, p_name name from part union all select 's' || s_suppkey, s_name from supplier) select node_id from n where node_id not in (select src from light union select dst from light)")
 def orphan_nodes(spark, sf):
     return graph.orphans(fx.nodes(spark, sf), fx.edges(spark, sf).where("weight >= 2")).select("node_id")
 
 
-@_query("with recursive h(geo_id, parent_id) as (select 'world', null union all select 'r' || r_regionkey, 'world' from region union all select 'n' || n_nationkey, 'r' || n_regionkey from nation), t(geo_id, level) as (select geo_id, 0 from h where geo_id = 'world' union all select h.geo_id, t.level + 1 from h join t on h.parent_id = t.geo_id) select geo_id, level, count(c_custkey) customers, round(sum(c_acctbal), 2) balance from t left join customer on 'n' || c_nationkey = geo_id group by all")
+@query("with recursive h(geo_id, parent_id) as (select 'world', null union all select 'r' || r_regionkey, 'world' from region union all select 'n' || n_nationkey, 'r' || n_regionkey from nation), t(geo_id, level) as (select geo_id, 0 from h where geo_id = 'world' union all select h.geo_id, t.level + 1 from h join t on h.parent_id = t.geo_id) select geo_id, level, count(c_custkey) customers, round(sum(c_acctbal), 2) balance from t left join customer on 'n' || c_nationkey = geo_id group by all")
 def region_rollup(spark, sf):
     r, n = fx.table(spark, sf, "region"), fx.table(spark, sf, "nation")
     h = spark.sql("select 'world' as geo_id, cast(null as string) as parent_id").unionAll(r.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("world"))).unionAll(n.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")))
@@ -464,7 +450,7 @@ def region_rollup(spark, sf):
     return tree.join(c, "geo_id", "left").na.fill(0, ["customers"]).select("geo_id", "level", "customers", "balance")
 
 
-@_query("select n_name child, r_name parent, 'part_of' relation from nation join region on n_regionkey = r_regionkey")
+@query("select n_name child, r_name parent, 'part_of' relation from nation join region on n_regionkey = r_regionkey")
 def admin_edges(spark, sf):
     n, r = fx.table(spark, sf, "nation"), fx.table(spark, sf, "region")
     return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"), F.lit("part_of").alias("relation"))
@@ -473,7 +459,7 @@ def admin_edges(spark, sf):
 _RANGES = [(1, 10, "general", 1), (5, 20, "persons", 2), (21, 40, "things", 3)]
 
 
-@_query("select p_partkey article_id, p_size \"number\", case when p_size = 7 then 'special' when p_size between 1 and 10 then 'general' when p_size between 5 and 20 then 'persons' when p_size between 21 and 40 then 'things' end topic from part")
+@query("select p_partkey article_id, p_size \"number\", case when p_size = 7 then 'special' when p_size between 1 and 10 then 'general' when p_size between 5 and 20 then 'persons' when p_size between 21 and 40 then 'things' end topic from part")
 def article_topics(spark, sf):
     p = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("article_id"), F.col("p_size").alias("number"))
     return graph.range_topics(p, spark.createDataFrame(_RANGES, "lo int, hi int, topic string, seq int"), spark.createDataFrame([(7, "special")], "number int, topic string"))
@@ -482,12 +468,12 @@ def article_topics(spark, sf):
 _LIGHT = f"{fx.LINKS_SQL}, {fx.EDGES_SQL}, light as (select * from edges where weight >= 2), n as (select 'p' || p_partkey node_id from part union all select 's' || s_suppkey from supplier), alone as (select node_id from n where node_id not in (select src from light union select dst from light))"
 
 
-@_query(f"with {_LIGHT}, nb as (select a.node_id seed, b.node_id, count(*) shared from links a join links b using (doc) where a.node_id in (from alone) and b.node_id not in (from alone) group by all) select seed src, min_by(node_id, (-shared, node_id)) dst, max(shared) weight from nb group by seed")
+@query(f"with {_LIGHT}, nb as (select a.node_id seed, b.node_id, count(*) shared from links a join links b using (doc) where a.node_id in (from alone) and b.node_id not in (from alone) group by all) select seed src, min_by(node_id, (-shared, node_id)) dst, max(shared) weight from nb group by seed")
 def bridged_nodes(spark, sf):
     return graph.bridge_isolated(fx.nodes(spark, sf), fx.edges(spark, sf).where("weight >= 2"), fx.links(spark, sf))
 
 
-@_query("select 'd' || l_orderkey doc, 's' || l_suppkey node_id from lineitem where l_linenumber = 1 and l_suppkey % 2 = 0 group by all")
+@query("select 'd' || l_orderkey doc, 's' || l_suppkey node_id from lineitem where l_linenumber = 1 and l_suppkey % 2 = 0 group by all")
 def mirrored_links(spark, sf):
     items = fx.table(spark, sf, "lineitem").where("l_linenumber = 1")
     e = items.select(F.concat(F.lit("doc_d"), "l_orderkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
@@ -495,18 +481,18 @@ def mirrored_links(spark, sf):
     return graph.mirror_document_edges(e, n, fx.table(spark, sf, "orders").select(F.concat(F.lit("d"), "o_orderkey").alias("doc")))
 
 
-@_query("with t as (select p_brand brand, count(*) total, sum((p_size <= 25)::int)::bigint rendered from part group by all) select *, round(100 * rendered / total, 1) pct, rendered < total capped from t")
+@query("with t as (select p_brand brand, count(*) total, sum((p_size <= 25)::int)::bigint rendered from part group by all) select *, round(100 * rendered / total, 1) pct, rendered < total capped from t")
 def cluster_representativity(spark, sf):
     p = fx.table(spark, sf, "part").select(F.col("p_brand").alias("brand"), "p_size")
     return graph.representativity(p, p.where("p_size <= 25"), "brand")
 
 
-@_query("select o_custkey doc_id, o_orderstatus node_id, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) roles from orders group by all")
+@query("select o_custkey doc_id, o_orderstatus node_id, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) roles from orders group by all")
 def pair_roles(spark, sf):
     return taxonomy.roles_of_pairs(fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("node_id"), F.col("o_orderpriority").alias("role")))
 
 
-@_query("select s_suppkey node_id, s_name as \"name\", case when s_suppkey % 4 = 0 then 'purge' when s_suppkey % 4 = 1 then 'location' else 'retain' end outcome from supplier")
+@query("select s_suppkey node_id, s_name as \"name\", case when s_suppkey % 4 = 0 then 'purge' when s_suppkey % 4 = 1 then 'location' else 'retain' end outcome from supplier")
 def certification(spark, sf):
     c = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("name"))
     verdicts = c.where("node_id % 4 < 2").select(F.upper("name").alias("name"), F.when(F.col("node_id") % 4 == 0, "purge").otherwise("location").alias("verdict"))
@@ -516,37 +502,37 @@ def certification(spark, sf):
 # Obligations --------------------------------------------------------------------------------------------------------
 
 
-@_query(f"with {fx.ACTIONS_SQL} select action_id, c_name party, status, due, status = 'pending' and due < timestamp '{AS_OF}' overdue from actions left join customer on c_custkey = party where status = 'pending'")
+@query(f"with {fx.ACTIONS_SQL} select action_id, c_name party, status, due, status = 'pending' and due < timestamp '{AS_OF}' overdue from actions left join customer on c_custkey = party where status = 'pending'")
 def open_actions(spark, sf):
     flagged = A.with_urgency(fx.actions(spark, sf), _as_of())
     c = fx.table(spark, sf, "customer")
     return flagged.where("status = 'pending'").join(c, F.col("party") == F.col("c_custkey"), "left").select("action_id", F.col("c_name").alias("party"), "status", "due", "overdue")
 
 
-@_query(f"with {fx.ACTIONS_SQL} select action_id, status, due from actions order by (status <> 'pending'), not (status = 'pending' and due < timestamp '{AS_OF}'), due, action_id desc limit 100")
+@query(f"with {fx.ACTIONS_SQL} select action_id, status, due from actions order by (status <> 'pending'), not (status = 'pending' and due < timestamp '{AS_OF}'), due, action_id desc limit 100")
 def most_urgent_actions(spark, sf):
     return A.with_urgency(fx.actions(spark, sf), _as_of()).orderBy(*A.urgency()).select("action_id", "status", "due").limit(100)
 
 
-@_query(f"with {fx.ACTIONS_SQL}, e as (select l_orderkey action_id, l_shipdate as \"at\", l_linenumber::int n from lineitem where l_returnflag = 'N'), f as (select action_id, \"at\", n, row_number() over (partition by action_id order by \"at\", n) r from e join actions using (action_id) where \"at\" >= \"start\") select action_id, n evidence_id, \"at\" fulfilled_at from f where r = 1")
+@query(f"with {fx.ACTIONS_SQL}, e as (select l_orderkey action_id, l_shipdate as \"at\", l_linenumber::int n from lineitem where l_returnflag = 'N'), f as (select action_id, \"at\", n, row_number() over (partition by action_id order by \"at\", n) r from e join actions using (action_id) where \"at\" >= \"start\") select action_id, n evidence_id, \"at\" fulfilled_at from f where r = 1")
 def fulfilment(spark, sf):
     e = fx.table(spark, sf, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("action_id"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").cast("int").alias("evidence_id"))
     return A.first_fulfilment(fx.actions(spark, sf), e)
 
 
-@_query(f"with {fx.ACTIONS_SQL} select action_type, count(*) total, sum((status = 'pending')::int)::bigint pending, sum((status = 'pending' and due < timestamp '{AS_OF}')::int)::bigint overdue, sum((status = 'completed')::int)::bigint completed from actions group by all")
+@query(f"with {fx.ACTIONS_SQL} select action_type, count(*) total, sum((status = 'pending')::int)::bigint pending, sum((status = 'pending' and due < timestamp '{AS_OF}')::int)::bigint overdue, sum((status = 'completed')::int)::bigint completed from actions group by all")
 def action_stats(spark, sf):
     return A.action_stats(fx.actions(spark, sf), _as_of())
 
 
-@_query(f"with {fx.ACTIONS_SQL}, d as (select o_orderpriority theme, count(*) docs, sum((o_orderdate > timestamp '{AS_OF}' - interval 7 day and o_orderdate <= timestamp '{AS_OF}')::int)::bigint velocity from orders group by all), a as (select theme, sum((status = 'pending')::int)::bigint pending, sum((status = 'pending' and due < timestamp '{AS_OF}')::int)::bigint overdue from actions group by all) select theme, docs, velocity, pending, overdue, round(ln(1 + docs) + 2.5 * velocity + 3 * pending + 5 * overdue, 4)::double gravity from d join a using (theme)")
+@query(f"with {fx.ACTIONS_SQL}, d as (select o_orderpriority theme, count(*) docs, sum((o_orderdate > timestamp '{AS_OF}' - interval 7 day and o_orderdate <= timestamp '{AS_OF}')::int)::bigint velocity from orders group by all), a as (select theme, sum((status = 'pending')::int)::bigint pending, sum((status = 'pending' and due < timestamp '{AS_OF}')::int)::bigint overdue from actions group by all) select theme, docs, velocity, pending, overdue, round(ln(1 + docs) + 2.5 * velocity + 3 * pending + 5 * overdue, 4)::double gravity from d join a using (theme)")
 def gravity(spark, sf):
     o = fx.table(spark, sf, "orders")
     docs = o.select(F.col("o_orderpriority").alias("theme"), F.col("o_orderdate").alias("created"))
     return A.gravity(docs.select("theme").distinct(), docs, fx.actions(spark, sf), _as_of())
 
 
-@_query("with a as (select doc_id, unnest(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]{2})?)')) t from documents), t as (select distinct doc_id, case when contains(t, '.') then t else t || '.00' end amount from a), k as (select l_orderkey action_id, l_orderkey source_doc, printf('%.2f', l_quantity) amount from lineitem where l_linenumber = 1) select distinct action_id, doc_id from k join t using (amount) where doc_id <> source_doc")
+@query("with a as (select doc_id, unnest(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]{2})?)')) t from documents), t as (select distinct doc_id, case when contains(t, '.') then t else t || '.00' end amount from a), k as (select l_orderkey action_id, l_orderkey source_doc, printf('%.2f', l_quantity) amount from lineitem where l_linenumber = 1) select distinct action_id, doc_id from k join t using (amount) where doc_id <> source_doc")
 def amount_mentions(spark, sf):
     k = fx.table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("action_id"), F.col("l_orderkey").alias("source_doc"), F.col("l_quantity").alias("amount"))
     return A.amount_matches(k, fx.table(spark, sf, "documents"))
@@ -555,20 +541,20 @@ def amount_mentions(spark, sf):
 # Review -------------------------------------------------------------------------------------------------------------
 
 
-@_query("select doc_id, 'src' || doc_id % 7 node_id, quality / 1.0 + 0.0 confidence from labels where quality = 1 and toxic = 0 and doc_id % 5 <> 0")
+@query("select doc_id, 'src' || doc_id % 7 node_id, quality / 1.0 + 0.0 confidence from labels where quality = 1 and toxic = 0 and doc_id % 5 <> 0")
 def author_queue(spark, sf):
     l = fx.table(spark, sf, "labels")  # noqa: E741
     c = l.select("doc_id", F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string")).alias("node_id"), F.lit("qualified").alias("status"), F.col("quality").cast("double").alias("confidence"), (F.col("toxic") == 0).alias("verified"))
     return taxonomy.author_queue(c, c.where("doc_id % 5 = 0")).select("doc_id", "node_id", "confidence")
 
 
-@_query("with l as (select source node_id, doc_id, quality from documents join labels using (doc_id)), d as (select node_id, doc_id, max(quality) a from l group by all) select node_id, sum(a)::bigint as_author, sum(1 - a)::bigint other, sum(a) >= 10 corroborated from d group by all")
+@query("with l as (select source node_id, doc_id, quality from documents join labels using (doc_id)), d as (select node_id, doc_id, max(quality) a from l group by all) select node_id, sum(a)::bigint as_author, sum(1 - a)::bigint other, sum(a) >= 10 corroborated from d group by all")
 def author_corroboration(spark, sf):
     d = fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("node_id")).join(fx.table(spark, sf, "labels"), "doc_id")
     return taxonomy.corroboration(d.select("node_id", "doc_id", F.when(F.col("quality") == 1, "author").otherwise("reader").alias("role")))
 
 
-@_query("select node_id, doc_id from (select source node_id, doc_id, row_number() over (partition by source order by doc_id) r from documents) where r <= 3")
+@query("select node_id, doc_id from (select source node_id, doc_id, row_number() over (partition by source order by doc_id) r from documents) where r <= 3")
 def author_documents(spark, sf):
     return taxonomy.first_documents(fx.table(spark, sf, "documents").select(F.col("source").alias("node_id"), "doc_id"), 3).select("node_id", "doc_id")
 
@@ -576,12 +562,12 @@ def author_documents(spark, sf):
 # Ledger -------------------------------------------------------------------------------------------------------------
 
 
-@_query("select conv_id, turn, role, length(text)::int n from (select *, row_number() over (partition by conv_id order by turn desc) r from conversations) where r = 1")
+@query("select conv_id, turn, role, length(text)::int n from (select *, row_number() over (partition by conv_id order by turn desc) r from conversations) where r = 1")
 def history_latest(spark, sf):
     return ledger.latest(fx.table(spark, sf, "conversations"), ["conv_id"], [F.desc("turn")]).select("conv_id", "turn", "role", F.length("text").alias("n"))
 
 
-@_query("select user_id, max_by(event_type, event_id) event_type, max_by(value, event_id) filter (value > 50) value, max(event_id) event_id from events group by user_id")
+@query("select user_id, max_by(event_type, event_id) event_type, max_by(value, event_id) filter (value > 50) value, max(event_id) event_id from events group by user_id")
 def upsert_latest(spark, sf):
     e = fx.table(spark, sf, "events").select("user_id", "event_type", F.when(F.col("value") > 50, F.col("value")).alias("value"), "event_id")
     return ledger.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"], "event_id", ("value",))
@@ -590,38 +576,38 @@ def upsert_latest(spark, sf):
 _LISTING = f"with n as (select sha256(text) h, doc_id, source, {fx.FILE_NAME} name from documents), c as (select h, count(*) copies from n group by all), d as (select *, row_number() over (partition by h order by doc_id) r from n)"
 
 
-@_query(f"{_LISTING} select name, doc_id, copies from d join c using (h) where r = 1 and contains(lower(name), 'src1') and copies > 1 order by lower(name), doc_id limit 50 offset 5")
+@query(f"{_LISTING} select name, doc_id, copies from d join c using (h) where r = 1 and contains(lower(name), 'src1') and copies > 1 order by lower(name), doc_id limit 50 offset 5")
 def ledger_listing(spark, sf):
     d = fx.documents(spark, sf).withColumn("sha256_hash", F.sha2("text", 256)).withColumnRenamed("filename", "name").withColumns({"doc_date": F.lit(None).cast("timestamp"), "created": F.lit(None).cast("timestamp"), "mtime": F.lit(AS_OF).cast("timestamp")})
     first = ledger.latest(d, ["sha256_hash"], [F.asc("doc_id")]).drop("mtime")
     return ledger.listing(first, d.select("sha256_hash", "mtime"), "src1", True, [F.lower("name"), F.col("doc_id")], 5, 50).select("name", "doc_id", "copies")
 
 
-@_query("with n as (select sha256(text) h, doc_id, source from documents) select h sha256_hash, list(source order by doc_id)::varchar[] as roots from n group by h")
+@query("with n as (select sha256(text) h, doc_id, source from documents) select h sha256_hash, list(source order by doc_id)::varchar[] as roots from n group by h")
 def document_locations(spark, sf):
     n = fx.table(spark, sf, "documents").select(F.sha2("text", 256).alias("sha256_hash"), "doc_id", "source")
     return n.groupBy("sha256_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "source"))), lambda s: s["source"]).alias("roots"))
 
 
-@_query("with n as (select source root, sha256(text) h, doc_id, row_number() over (partition by sha256(text) order by doc_id) r from documents) select root, sum((r = 1)::int)::bigint as \"new\", sum((r > 1)::int)::bigint exact_duplicate from n group by all")
+@query("with n as (select source root, sha256(text) h, doc_id, row_number() over (partition by sha256(text) order by doc_id) r from documents) select root, sum((r = 1)::int)::bigint as \"new\", sum((r > 1)::int)::bigint exact_duplicate from n group by all")
 def scan_summary(spark, sf):
     f = fx.table(spark, sf, "documents").select(F.col("source").alias("root"), F.sha2("text", 256).alias("sha256_hash"), F.col("doc_id").alias("mtime"), F.col("doc_id").cast("string").alias("path"))
     judged = ledger.ingest_decisions(f, f.limit(0)).withColumnRenamed("decision", "status")
     return ledger.scan_summary(judged, ["new", "exact_duplicate"])
 
 
-@_query("select l_orderkey path, l_linenumber::bigint mtime, l_quantity size from lineitem where l_shipdate >= timestamp '1998-01-01' and not (l_linenumber % 2 = 0)")
+@query("select l_orderkey path, l_linenumber::bigint mtime, l_quantity size from lineitem where l_shipdate >= timestamp '1998-01-01' and not (l_linenumber % 2 = 0)")
 def changed_files(spark, sf):
     f = fx.table(spark, sf, "lineitem").where("l_shipdate >= timestamp '1998-01-01'").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("mtime"), F.col("l_quantity").alias("size"))
     return ledger.changes(f, f.where("mtime % 2 = 0"))
 
 
-@_query("select event_id, ts, event_type from events order by ts desc, event_id desc limit 100")
+@query("select event_id, ts, event_type from events order by ts desc, event_id desc limit 100")
 def audit_trail(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
 
 
-@_query(f"with {fx.EDGES_SQL}, ids as (select 'p' || p_partkey id from part where p_size > 45 union select 's' || s_suppkey from supplier where s_acctbal > 0) select src, dst, weight from edges where src in (from ids) and dst in (from ids) order by weight desc, src, dst limit 500")
+@query(f"with {fx.EDGES_SQL}, ids as (select 'p' || p_partkey id from part where p_size > 45 union select 's' || s_suppkey from supplier where s_acctbal > 0) select src, dst, weight from edges where src in (from ids) and dst in (from ids) order by weight desc, src, dst limit 500")
 def subset_export(spark, sf):
     p = fx.table(spark, sf, "part").where("p_size > 45").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     s = fx.table(spark, sf, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
@@ -631,20 +617,20 @@ def subset_export(spark, sf):
 # Streams, on tables -------------------------------------------------------------------------------------------------
 
 
-@_query("select time_bucket(interval 60 second, ts) window_start, event_type, count(*) events, round(sum(value), 4) value from events group by all")
+@query("select time_bucket(interval 60 second, ts) window_start, event_type, count(*) events, round(sum(value), 4) value from events group by all")
 def throughput_60s(spark, sf):
     out = jobs.throughput(fx.table(spark, sf, "events"))
     return out.select(F.col("window.start").alias("window_start"), "event_type", "events", F.round("value", 4).alias("value"))
 
 
-@_query("select distinct user_id from events")
+@query("select distinct user_id from events")
 def enqueue_dedup(spark, sf):
     return jobs.enqueue_once(fx.table(spark, sf, "events"), "user_id").select("user_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

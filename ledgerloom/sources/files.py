@@ -97,3 +97,28 @@ def markup_text(pages: DataFrame) -> DataFrame:
     clean = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     clean = F.regexp_replace(F.regexp_replace(clean, r"(?s)<[^>]+>", " "), r"&[a-z]+;", " ")
     return pages.select("page_id", F.trim(F.regexp_replace(clean, r"\s+", " ")).alias("text"))
+
+
+def code_and_language(path: Column) -> Column:
+    """struct(code, lang) of a statute's path: from a name like SR-220-...-DE.xml, else from folders like SR_220/DE; lang fr by default."""
+    name, folders = F.element_at(F.split(path, "/"), -1), F.split(path, "/")
+    own = r"(?i)^(?:RS|SR)[-_]([0-9]+(?:\.[0-9]+)?)[-_].*?[-_](FR|DE|IT|EN)\.xml$"
+    lang = F.filter(folders, lambda f: F.upper(f).isin("FR", "DE", "IT", "EN"))
+    code = F.filter(F.transform(folders, lambda f: F.regexp_extract(f, r"(?i)^SR[-_]([0-9]+(?:\.[0-9]+)?)$", 1)), lambda c: c != "")
+    by_name = F.struct(F.regexp_extract(name, own, 1).alias("code"), F.lower(F.regexp_extract(name, own, 2)).alias("lang"))
+    by_folder = F.struct(F.get(code, F.lit(0)).alias("code"), F.coalesce(F.lower(F.get(lang, F.lit(0))), F.lit("fr")).alias("lang"))
+    return F.when(name.rlike(own), by_name).otherwise(by_folder)
+
+
+def reviewed_themes(spark: SparkSession, path: str) -> DataFrame:
+    """(category, parent, keywords) of a JSON file {"themes": [{"id", "parent", "keywords"}]}; the last entry of an id counts."""
+    raw = spark.read.schema("themes array<struct<id: string, parent: string, keywords: array<string>>>").json(path, multiLine=True)
+    rows = raw.select(F.posexplode("themes").alias("n", "t")).where("t.id is not null")
+    return rows.groupBy(F.col("t.id").alias("category")).agg(F.max_by("t", "n").alias("t")).select("category", "t.parent", "t.keywords")
+
+
+def sync_taxonomy(taxonomy: DataFrame, seed: DataFrame, versions: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """(taxonomy, versions): seed rows (category, parent, keywords) replace those of their category; the version is registered once."""
+    kept = taxonomy.join(seed.select("category"), "category", "left_anti").select("category", "parent", "keywords")
+    known = versions.select("version").unionAll(versions.sparkSession.createDataFrame([(version,)], "version string")).distinct()
+    return kept.unionByName(seed.select("category", "parent", "keywords")), known
