@@ -214,3 +214,13 @@ def insert_absent(links: DataFrame, new: DataFrame, key: list[str]) -> DataFrame
 def missing_embeddings(chunks: DataFrame, embedded: DataFrame) -> DataFrame:
     """Chunks without an embedding: the ones a refresh has to read."""
     return chunks.join(embedded.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def attach_themes(links: DataFrame, themes: DataFrame) -> DataFrame:
+    """links (doc_id, node_id, role, confidence) whose theme links are those of `themes` (doc_id, theme).
+
+    Older theme links of the listed documents go, so a document without a theme (null or 'unclassified') keeps none.
+    """
+    old = themes.select("doc_id", F.lit("theme").alias("role")).distinct()
+    fresh = themes.where("theme is not null and theme <> 'unclassified'").select("doc_id", F.concat(F.lit("theme_"), "theme").alias("node_id"), F.lit("theme").alias("role"), F.lit(1.0).alias("confidence")).distinct()
+    return links.select("doc_id", "node_id", "role", "confidence").join(old, ["doc_id", "role"], "left_anti").select("doc_id", "node_id", "role", "confidence").unionByName(fresh)

@@ -150,3 +150,9 @@ def test_focus_and_portraits(spark):
     tier = lambda *rows: spark.createDataFrame(list(rows), "node_id string, doc long, excerpt string")
     got = R.portraits(n.where("node_id = 'p_1'"), [tier(("p_1", 2, "b")), tier(("p_1", 1, "a"), ("p_1", 2, "b"), ("q", 1, "z"))], 2).collect()
     assert [(r["doc"], r["tier"], r["rank"]) for r in got] == [(2, 0, 1), (1, 1, 2)]
+
+
+def test_themes_replace_older_ones(spark):
+    links = spark.createDataFrame([(1, "theme_x", "theme", 1.0), (1, "p", "party", 1.0), (2, "theme_x", "theme", 1.0), (3, "theme_x", "theme", 1.0)], "doc_id long, node_id string, role string, confidence double")
+    now = R.attach_themes(links, spark.createDataFrame([(1, "law"), (2, "unclassified"), (4, None), (5, "law")], "doc_id long, theme string"))
+    assert {(r["doc_id"], r["node_id"]) for r in now.collect()} == {(1, "p"), (1, "theme_law"), (3, "theme_x"), (5, "theme_law")}
