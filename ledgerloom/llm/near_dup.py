@@ -73,8 +73,9 @@ def prob_min_hash(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray, n:
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, content (hash of the exact text), bands (a hash per band of registers) and the distinct shingles.
 
-    Weights are counts of a shingle in its text. Shingles are kept as 32-bit hashes, sorted. Null texts have null
-    content and no bands; texts without a word have no bands and no shingles, and match exact copies only.
+    A shingle of count c weighs 2 - 1/c: repeats count, but a line that one copy repeats a hundred times and another
+    twice does not hide what they share, as plain counts would. Shingles are kept as 32-bit hashes, sorted. Null texts
+    have null content and no bands; texts without a word have no bands and no shingles, and match exact copies only.
     """
     seeds = mix64(np.arange(1, bands + 1, dtype=U64))
 
@@ -84,7 +85,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHING
                 batch = whole.iloc[start : start + 512]
                 texts = [t or "" for t in batch["text"]]
                 hashes, owner, counts = weigh(*shingle_hashes(texts, k))
-                signature = prob_min_hash(hashes, owner, counts.astype(np.float64), len(texts), bands * rows)
+                signature = prob_min_hash(hashes, owner, 2 - 1 / counts, len(texts), bands * rows)
                 keys = np.zeros((len(texts), bands), U64)
                 for r in range(rows):
                     keys = mix64(keys + signature[:, r::rows] + U64(r + 1))

@@ -202,6 +202,7 @@ def test_language(spark):
     assert sum(n for _, n, _ in model) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, t, lang in rows if t and lang)
     got = {r["doc_id"]: r for r in langid.classify(df, model).collect()}
     assert all(got[i]["lang_pred"] == lang and 0 <= got[i]["score"] <= 1 for i, _, lang in rows[:200])
+    assert langid.letters_of("½ ² 12 _ ١") == b"" and langid.letters_of("½a ²").decode() == " ½a "
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "aa"
     kept = {r["doc_id"] for r in langid.keep_identified(df, model).collect()}
     assert kept == {i for i, r in got.items() if not r["rejected"]} and 900 not in kept
@@ -323,6 +324,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dup.near_duplicates(df.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).where("class_id is null").count() == 3
 
 
+def test_repeated_lines_do_not_hide_copies(spark):
+    texts = some_texts(40, 12)
+    line = " this line comes again and again below every entry"
+    rows = [t + line * n for t in texts for n in (1, 60)]
+    sets = sets_of(rows)
+    near = [len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(near) >= 15
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert [got[2 * i] == got[2 * i + 1] for i in range(len(texts))] == near
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(9)
     ids = common.mix64(np.arange(300, dtype=np.uint64))
