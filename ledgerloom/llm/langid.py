@@ -20,7 +20,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def letters_of(text: str | None) -> bytes:
     """The distinct lower-cased runs of letters of a whole text in order of first use, as UTF-8; empty without a letter."""
-    words = dict.fromkeys(_NOT_LETTERS.sub(" ", (text or "").lower()).split())
+    words = [w for w in dict.fromkeys(_NOT_LETTERS.sub(" ", (text or "").lower()).split()) if w.isascii() or any(map(str.isalpha, w))]
     return f" {' '.join(words)} ".encode("utf-8", "replace") if words else b""
 
 
