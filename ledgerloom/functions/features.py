@@ -242,6 +242,8 @@ def cosine(a: Column, b: Column) -> Column:
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Deterministic vector of a text: each word adds 1 / (1 + 0.05 * position) at a hashed place; unit length."""
     placed = F.transform(words(text), lambda w, i: F.struct((F.conv(F.substring(F.sha2(w, 256), 1, 8), 16, 10).cast("long") % dim).alias("k"), (1 / (1 + 0.05 * i)).alias("v")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(placed, lambda p: p["k"] == k), F.lit(0.0), lambda s, p: s + p["v"]))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
-    return F.when(norm == 0, raw).otherwise(F.transform(raw, lambda v: v / norm))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  # a lambda's variable is worked out once
+    summed = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(own, lambda p: p["k"] == k), F.lit(0.0), lambda s, p: s + p["v"]))
+    norm = lambda raw: F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
+    unit = lambda raw: once(norm(raw), lambda n: F.when(n == 0, raw).otherwise(F.transform(raw, lambda v: v / n)))
+    return once(placed, lambda own: once(summed(own), unit))

@@ -12,6 +12,7 @@ from ledgerloom.operators import actions as A
 from ledgerloom.operators import dedup, graph, ledger, retrieval, taxonomy
 from ledgerloom.plans import extracted as _extracted  # noqa: F401
 from ledgerloom.plans import fixtures as fx
+from ledgerloom.plans import refreshed as _refreshed  # noqa: F401
 from ledgerloom.plans.registered import QUERIES, SQL, query, values
 from ledgerloom.sources import files
 from ledgerloom.streaming import jobs
