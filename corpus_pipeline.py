@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm import common, langid, mixing, near_dup, packing, secret_scan
 from pyspark.sql import functions as F
 
+#: Target weights of the sources; None weights them by the root of their size.
+WEIGHTS: dict | None = None
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not in doubt stay; a text that is null, has no letter or fits two languages alike goes."""
@@ -30,13 +33,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; the files hold them in the order of the mix, sources weighted by the root of their size."""
-    return mixing.in_mixed_order(docs)
+    """All documents stay; the files hold them in the order of the mix, sources weighted by WEIGHTS."""
+    return mixing.in_mixed_order(docs, weights=WEIGHTS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document with its sequence and offset."""
-    return packing.pack_documents(docs)
+    """One row per piece of a document with its sequence and offset; the sequences follow the order of the files."""
+    return packing.pack_documents(docs, order=mixing.place_in_files())
 
 
 STAGES = [

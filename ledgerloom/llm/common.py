@@ -48,6 +48,20 @@ def number_within(df: DataFrame, key: str, order: list[str], sizes: DataFrame, o
     return numbered.join(base, (numbered[key] == base["_bk"]) & (numbered["_part"] == base["_bp"])).withColumn(out, F.col("_own") + F.col("_base")).drop("_own", "_base", "_bk", "_bp", "_part")
 
 
+def number_in_order(df: DataFrame, key: str, place: str, then: list[str], out: str) -> DataFrame:
+    """Number the rows of each key from 0 by (place, *then), where place is a long that no more than a few rows share.
+
+    A key is split by ranges of 1024 places, each numbered by itself and shifted by the sizes of the ranges before it, so
+    that no task holds a whole hot key.
+    """
+    dealt = df.withColumn("_part", F.shiftright(place, 10))
+    by_part = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = by_part.select(F.col(key).alias("_bk"), F.col("_part").alias("_bp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    numbered = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(key, "_part").orderBy(place, *then)) - 1)
+    return numbered.join(base, (numbered[key] == base["_bk"]) & (numbered["_part"] == base["_bp"])).withColumn(out, F.col("_own") + F.col("_base")).drop("_own", "_base", "_bk", "_bp", "_part")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b), longs: one row (node, label) per node of an edge; label is the smallest node.
 

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise, number_within
+from ledgerloom.llm.common import materialise, number_in_order, number_within
 
 CAPACITY = 1024
+ROUNDS = 64
 END_ID = 2
 VOCABULARY = "byte_bpe_50k"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -45,29 +47,31 @@ def piece_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     return [first] * (first > 0) + [capacity] * (n // capacity)
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Tokenise whole documents and cut them: a row (doc_id, piece, start, length, ids_crc32[, ids]) per piece.
+def cut_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, keep_ids: bool = False, order: Column | None = None) -> DataFrame:
+    """Tokenise whole documents and cut them: a row (doc_id, piece, start, length, ids_crc32[, ids][, place]) per piece.
 
     No shuffle. A null text counts as empty and gives one piece that holds the end id alone. Every row is a document
-    of its own, so repeated rows give repeated pieces. Other columns are not read.
+    of its own, so repeated rows give repeated pieces. Other columns are not read. order: a long per document, kept as place.
     """
+    given = [] if order is None else [order.cast("long").alias("place")]
+    more = ["ids"] * keep_ids + ["place"] * len(given)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(vocabulary)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text, *place in zip(*(batch[c] for c in batch.columns), strict=True):
                 ids = np.append(coder.encode_to_numpy(text or ""), np.uint32(END_ID)).astype("<u4")
                 start = 0
                 for piece, length in enumerate(piece_lengths(len(ids), capacity)):
                     own = ids[start : start + length]
-                    out.append((doc_id, piece, start, length, zlib.crc32(own.tobytes())) + ((own.astype(np.int32),) if keep_ids else ()))
+                    out.append((doc_id, piece, start, length, zlib.crc32(own.tobytes())) + ((own.astype(np.int32),) if keep_ids else ()) + tuple(place))
                     start += length
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *more])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECE_SCHEMA + ", ids array<int>" * keep_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *given).mapInPandas(cut, PIECE_SCHEMA + ", ids array<int>" * keep_ids + ", place long" * len(given))
 
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
@@ -112,6 +116,22 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int = CAPACITY) -> list[
     return plan
 
 
+def spread(plan: list[tuple[dict[int, int], int]], rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """The same bins in another order: the equal bins of every entry dealt evenly over the rounds.
+
+    Bins of a round then take the same part of the pieces of each of their lengths, to about one round. Entries of few
+    bins begin at different rounds.
+    """
+    out = []
+    for r in range(rounds):
+        for e, (need, times) in enumerate(plan):
+            shift = e * 0.6180339887498949 % 1
+            low, high = (min(times, max(0, math.ceil(x * times / rounds - shift))) if 0 < x < rounds else times * (x > 0) for x in (r, r + 1))
+            if high > low:
+                out.append((need, high - low))
+    return out
+
+
 def _places(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """By length: first item numbers of the plan's entries, items in a bin, first sequence, first offset."""
     rows: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -127,18 +147,22 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarra
     return {length: tuple(np.array(x, np.int64) for x in zip(*own, strict=True)) for length, own in rows.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, order: str | None = None) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, ...).
 
     Only the histogram of lengths, at most `capacity` rows whatever the input, reaches the driver, where the plan is
     made; the plan says where the n-th piece of each length goes. Pieces are numbered within their length by salted
     sub-groups, then placed by a search in the plan. An empty table gives an empty result; ties go by any order.
+
+    order: a long column with the place of a piece's document. Pieces are then numbered within their length by (order,
+    piece), bins take pieces of about the same place, and sequences are numbered by the first place that they hold.
     """
     sizes = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("rows"))
     counts = {int(r["length"]): int(r["rows"]) for r in sizes.collect()}
-    places = _places(minimum_bin_slack(counts, capacity))
+    plan = minimum_bin_slack(counts, capacity)
+    places = _places(plan if order is None else spread(plan))
     sizes = pieces.sparkSession.createDataFrame(list(counts.items()), "length long, rows long")
-    numbered = number_within(pieces, "length", ["doc_id", "piece", "ids_crc32"], sizes, "nth")
+    numbered = number_within(pieces, "length", ["doc_id", "piece", "ids_crc32"], sizes, "nth") if order is None else number_in_order(pieces, "length", order, ["piece"], "nth")
     names = pieces.columns
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,9 +179,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield batch[names].assign(sequence_id=sequences, offset=offsets)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return numbered.mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    placed = numbered.mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    if order is None:
+        return placed
+    placed = materialise(placed, "placed")
+    bins = placed.groupBy("sequence_id").agg(F.min(F.struct(F.col(order).alias("place"), "piece")).alias("_at")).select(F.lit(0).alias("_all"), F.col("sequence_id").alias("_bin"), "_at.place", "_at.piece")
+    ranked = number_in_order(bins, "_all", "place", ["piece"], "_rank").select("_bin", "_rank")
+    return placed.join(ranked, placed["sequence_id"] == ranked["_bin"]).select(*[placed[f"`{c}`"] for c in names], F.col("_rank").alias("sequence_id"), "offset")
+
 
+def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, keep_ids: bool = False, order: Column | None = None) -> DataFrame:
+    """Tokenise, cut and pack documents (doc_id, text) into sequences of at most `capacity` ids; a row per piece.
 
-def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack documents (doc_id, text) into sequences of at most `capacity` ids; a row per piece."""
-    return pack(materialise(cut_pieces(docs, vocabulary, capacity, keep_ids), "pieces"), capacity)
+    order: the place of a document, unique to its row; sequences follow it as far as the lengths allow.
+    """
+    pieces = materialise(cut_pieces(docs, vocabulary, capacity, keep_ids, order), "pieces")
+    return pack(pieces, capacity) if order is None else pack(pieces, capacity, "place").drop("place")

@@ -252,6 +252,48 @@ def test_bin_slack_is_close_to_the_bound():
     assert sum(t for _, t in plan) <= 1.01 * math.ceil(sum(k * n for k, n in counts.items()) / 1024) + 1
 
 
+def test_spread_keeps_the_bins():
+    plan = [({1024: 1}, 1000), ({700: 1, 324: 1}, 3), ({5: 2}, 1), ({9: 1, 1: 4}, 130)]
+    dealt = packing.spread(plan)
+    assert [sum(n for need, n in dealt if need == own) for own, _ in plan] == [times for _, times in plan]
+    at = [sum(n for _, n in dealt[:i]) for i, (need, _) in enumerate(dealt) if need == plan[3][0]]
+    assert min(at) < 50 and max(at) > 1000
+
+
+def test_packed_sequences_follow_the_order(spark):
+    rng = np.random.default_rng(11)
+    sizes = [int(n) * 25 for n in rng.integers(1, 36, 3000)]
+    rows = [(i, p, 0, n if p == 0 else 1024, i, (i % 7 << 44) + i // 7) for i, n in enumerate(sizes) for p in range(1 + (i % 50 == 0))]
+    pieces = spark.createDataFrame(rows, packing.PIECE_SCHEMA + ", place long")
+    got = packing.pack(pieces, order="place").toPandas()
+    assert sorted(got["length"]) == sorted(r[3] for r in rows) and got.groupby("sequence_id")["length"].sum().max() <= 1024
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own["offset"].tolist() == [0, *own["length"].cumsum()[:-1]]
+    plain = packing.pack(pieces)
+    assert got["sequence_id"].nunique() == plain.select("sequence_id").distinct().count() == got["sequence_id"].max() + 1
+    first = got.sort_values(["place", "piece"]).drop_duplicates("sequence_id")
+    assert first["sequence_id"].tolist() == list(range(len(first)))
+    assert np.corrcoef(got["place"].rank(), got["sequence_id"])[0, 1] > 0.9
+    assert packing.pack(pieces.limit(0), order="place").count() == 0
+
+
+def test_weights_of_the_mix_reach_the_sequences(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    words = {"aa": ["kalo", "miru", "tesan", "polik", "durane"], "bb": ["schtum", "verl", "ungheit", "zwick", "brot"]}
+    rows = [(i, " ".join(w + "abcdefghij"[int(rng.integers(10))] for w in rng.choice(words[lang], size=int(rng.integers(20, 400)))), lang, "xy"[i // 2 % 2], 1) for i in range(2000) for lang in [("aa", "bb")[i % 2]]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    share = {}
+    for weights in ({"x": 9, "y": 1}, {"x": 1, "y": 9}):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
+        got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+        early = got[got["sequence_id"] <= got["sequence_id"].max() // 4]
+        share[weights["x"]] = early.loc[early["doc_id"] // 2 % 2 == 0, "length"].sum() / early["length"].sum()
+    assert share[9] > 0.8 and share[1] < 0.2
+
+
 def test_packing_round_trip(spark):
     texts = [*ODD, *some_texts(60)]
     got = packing.pack_documents(docs_of(spark, texts).withColumn("piece", F.lit("clash")), keep_ids=True).toPandas()
