@@ -132,7 +132,8 @@ def _spelled(match: re.Match) -> str:
 def find_disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans, in source offsets, that appear only after the transducers: look-alikes, at and dot, then spelled digits.
 
-    A span counts if it holds a rewritten character and touches no base span of its kind.
+    A span counts if it holds a rewritten character and no one base span of its kind contains it wholly; a wider one stays
+    beside the base span that is a fragment of it.
     """
     odd = not text.isascii() and _ODD.search(text) is not None
     brackets = "(" in text or "[" in text or "{" in text or "<" in text
@@ -154,7 +155,7 @@ def find_disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[in
     for begin, kind, end in find_base(mapped.text):
         if 1 in mapped.changed[begin:end]:
             span = (mapped.starts[begin], kind, mapped.ends[end - 1])
-            if not any(k == kind and s < span[2] and span[0] < e for s, k, e in base):
+            if not any(k == kind and s <= span[0] and span[2] <= e for s, k, e in base):
                 out.append(span)
     return out
 

@@ -129,6 +129,29 @@ def test_pii_sees_through_disguises(text, kind, source):
     assert (kind, source) in found
 
 
+@pytest.mark.parametrize(
+    ("text", "whole", "fragment"),
+    [
+        ("to jоhn@site.org now", "jоhn@site.org", "hn@site.org"),  # Cyrillic o in the middle of the local part
+        ("to john@site.oрg now", "john@site.oрg", "john@site.o"),  # Cyrillic r in the last label
+        ("ring +49 30 5551２34 now", "+49 30 5551２34", None),
+        ("ring +49 30 5551234５ now", "+49 30 5551234５", "+49 30 5551234"),
+    ],
+)
+def test_pii_reports_wider_spans_beside_fragments(spark, text, whole, fragment):
+    base = pii.find_base(text)
+    assert [text[s:e] for s, _, e in base] == [fragment] * (fragment is not None)
+    assert [text[s:e] for s, _, e in pii.find_disguised(text, base)] == [whole]
+    got = pii.digest(pii.find_pii(docs_of(spark, [text]))).first()
+    assert got["n_added"] == 1 and got["n_email"] + got["n_phone"] == len(base) and f"{text.index(whole)}:{text.index(whole) + len(whole)}" in got["spans"]
+
+
+def test_pii_drops_added_spans_within_base_spans():
+    text = "ring +1 (.) 5551234567 now"
+    base = pii.find_base(text)
+    assert [text[s:e] for s, _, e in base] == ["+1 (.) 5551234567"] and pii.find_disguised(text, base) == []
+
+
 def test_pii_leaves_clean_text(spark):
     for text in ("we met at noon, one two three dots on the page", "a (b) [c] at home", "Ünd Äpfel là où"):
         assert pii.find_disguised(text, pii.find_base(text)) == []
