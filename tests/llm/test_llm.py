@@ -56,6 +56,31 @@ def test_phases_use_every_slot_once():
         assert sum(hi - lo for x, lo, hi, *_ in plan if x == s) == n
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": 1.0, "b": 0.0003, "c": 3**0.5}, {str(i): (i + 1) ** 0.5 for i in range(20)}])
+def test_phases_keep_the_exact_weights(weights):
+    total = sum(weights.values())
+    blocks = {s: math.ceil(60_000 * w / total) for s, w in weights.items()}
+    plan = mixing.plan_phases(blocks, weights)
+    ends = min(base for _, _, _, base, *_ in plan if base) if any(p[3] for p in plan) else sum(blocks.values())
+    assert ends > 50 * mixing.PERIOD
+    owner = np.empty(sum(blocks.values()), object)
+    for s, lo, hi, base, share, span, slots in plan:
+        for i in range(hi - lo):
+            owner[base + i // share * span + slots[i % share]] = s
+    for s, w in weights.items():
+        given = np.cumsum(owner[:ends] == s)
+        assert np.abs(given - np.arange(1, ends + 1) * w / total).max() < 1
+
+
+def test_mix_places_every_block_in_its_slot(spark):
+    sources = ["a"] * 700 + ["b"] * 1400 + ["c"] * 5
+    got = mixing.mix(docs_of(spark, ["t"] * len(sources), sources), {"a": 1, "b": 2, "c": 0.001}, block_rows=1, period=16).toPandas().sort_values("mix_slot")
+    assert got["mix_slot"].tolist() == list(range(len(sources)))
+    for s, w in (("a", 1), ("b", 2), ("c", 0.001)):
+        given = (got["source"] == s).cumsum().to_numpy()[:2000]
+        assert np.abs(given - np.arange(1, 2001) * w / 3.001).max() < 1
+
+
 def test_mix_keeps_rows_and_weights(spark):
     sources = ["hot"] * 300 + [None] * 60 + [""] * 40 + ["b"] * 100
     df = docs_of(spark, ["t"] * 500, sources).union(docs_of(spark, ["t"] * 5, sources[:5]))
