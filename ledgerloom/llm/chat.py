@@ -41,7 +41,7 @@ def encode_turn(role: str, text: str, coder, loss_roles: tuple = LOSS_ROLES) ->
     spliced between them. So no merge crosses a border and no content gives a reserved id.
     """
     name, body = escape(role), escape(text)
-    segments = [[RESERVED + BEGIN], coder.encode_to_numpy(name), [RESERVED + OPEN], coder.encode_to_numpy(body), [RESERVED + CLOSE, RESERVED + END]]
+    segments = [[RESERVED + BEGIN], coder.encode(name), [RESERVED + OPEN], coder.encode(body), [RESERVED + CLOSE, RESERVED + END]]
     ends = np.cumsum([len(s) for s in segments])
     loss = (int(ends[2]), int(ends[3])) if role in loss_roles else (0, 0)
     chars = len(name) + len(body) + sum(len(CONTROLS[i]) for i in (BEGIN, OPEN, CLOSE, END))
@@ -82,7 +82,7 @@ def decode(ids: np.ndarray, coder) -> tuple[str, str, str]:
     marks = np.flatnonzero(ids >= RESERVED)
     if [int(ids[i]) - RESERVED for i in marks] != [BEGIN, OPEN, CLOSE, END]:
         raise ValueError("a turn's reserved ids are out of order")
-    name, body = (coder.decode_bytes(ids[a + 1 : b].tolist()).decode("utf-8") for a, b in ((marks[0], marks[1]), (marks[1], marks[2])))
+    name, body = (coder.decode(ids[a + 1 : b]) for a, b in ((marks[0], marks[1]), (marks[1], marks[2])))
     written = f"{CONTROLS[BEGIN]}{name}{CONTROLS[OPEN]}{body}{CONTROLS[CLOSE]}{CONTROLS[END]}"
     return written, unescape(name), unescape(body)
 
@@ -114,7 +114,7 @@ def digest(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode("utf-8", "replace"))
                 if hi > lo:
-                    learnt = unescape(coder.decode_bytes(ids[lo - start : hi - start].tolist()).decode("utf-8"))
+                    learnt = unescape(coder.decode(ids[lo - start : hi - start]))
                     state[3] += len(learnt)
                     state[4].update(learnt.encode("utf-8", "replace"))
                 state[5] += len(written)

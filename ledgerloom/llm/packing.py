@@ -20,23 +20,48 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_encoders: dict[str, object] = {}
+_coders: dict[str, Coder] = {}
 
 
-def encoder(vocabulary: str):
-    """A function text -> numpy ids of a vocabulary of public_tokenizers, kept for the life of the worker.
+class Coder:
+    """Ids of a byte-level vocabulary of public_tokenizers; control strings in a text are ordinary text.
 
-    The rank file of a byte-level vocabulary holds the same ids as its JSON file and encodes several times faster;
-    control strings in a text are ordinary text.
+    The rank file of the vocabulary holds the same ids as its JSON file and encodes several times faster. Its pattern gives
+    up on runs of several 100,000 white-space characters; those texts are encoded by the JSON file's own tokenizer.
     """
-    if vocabulary not in _encoders:
+
+    def __init__(self, vocabulary: str):
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[vocabulary] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[vocabulary]
+        self._fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._path, self._whole = public_tokenizers.path(f"{vocabulary}.json"), None
+
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return self._fast.encode_to_numpy(text)
+        except ValueError:
+            return self.encode_whole(text)
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._path)
+            self._whole.encode_special_tokens = True
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self._fast.decode_bytes(ids.tolist()).decode("utf-8")
+
+
+def encoder(vocabulary: str) -> Coder:
+    """The coder of a vocabulary, kept for the life of the worker."""
+    if vocabulary not in _coders:
+        _coders[vocabulary] = Coder(vocabulary)
+    return _coders[vocabulary]
 
 
 def piece_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -61,7 +86,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CA
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text, *place in zip(*(batch[c] for c in batch.columns), strict=True):
-                ids = np.append(coder.encode_to_numpy(text or ""), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(coder.encode(text or ""), np.uint32(END_ID)).astype("<u4")
                 start = 0
                 for piece, length in enumerate(piece_lengths(len(ids), capacity)):
                     own = ids[start : start + length]
