@@ -16,12 +16,17 @@ MIN_MARGIN = 0.004
 BLOCK_BYTES = 4096
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Word characters that are neither letters nor digits, such as fractions.
+_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(128, 1 << 17)) if c.isalnum() and not c.isalpha()) + "]")
 
 
 def letters_of(text: str | None) -> bytes:
-    """The distinct lower-cased runs of letters of a whole text in order of first use, as UTF-8; empty without a letter."""
-    words = [w for w in dict.fromkeys(_NOT_LETTERS.sub(" ", (text or "").lower()).split()) if w.isascii() or any(map(str.isalpha, w))]
-    return f" {' '.join(words)} ".encode("utf-8", "replace") if words else b""
+    """A whole text as UTF-8, lower-cased, all that lies between its words of letters as one space; empty without a letter."""
+    plain = _NOT_LETTERS.sub(" ", (text or "").lower())
+    if not plain.isascii() and _NUMERALS.search(plain):  # a word of numerals alone has no letter
+        plain = " ".join(w for w in plain.split() if any(map(str.isalpha, w)))
+    plain = plain.strip()
+    return f" {plain} ".encode("utf-8", "replace") if plain else b""
 
 
 def is_training(doc_id) -> F.col:
@@ -33,8 +38,9 @@ def fit(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_docume
     """Learn (language, labelled documents, dictionary) from labelled rows (doc_id, text, lang), most frequent first.
 
     A dictionary is the raw content of at most sample_documents texts of its language, in the order of a hash of
-    doc_id, cut at dictionary_bytes: that is the documented bound of the sample. The counts, which break ties, cover
-    all labelled rows. Rows with a null text or lang or with no letter teach nothing.
+    doc_id, cut at dictionary_bytes: that is the documented bound of the sample, and texts beyond it never reach the
+    driver. The counts, which break ties, cover all labelled rows. Rows with a null text or lang or with no letter teach
+    nothing.
     """
     known = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
@@ -45,9 +51,11 @@ def fit(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_docume
     shares = docs.sparkSession.createDataFrame([(x, min(1.0, 4 * sample_documents / n)) for x, n in counts.items()], "lang string, share double")
     drawn = F.xxhash64("doc_id", F.lit(5))
     some = known.join(F.broadcast(shares), "lang").withColumn("draw", drawn).where(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("r") <= sample_documents)
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    ranked = some.select("lang", "draw", "doc_id", F.substring("text", 1, dictionary_bytes).alias("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_documents)
+    letters = F.sum(F.length(F.regexp_replace("text", r"[^\p{L}]+", " "))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     texts: dict[str, list] = {x: [] for x in counts}
-    for r in ranked.select("lang", "r", F.substring("text", 1, dictionary_bytes).alias("text")).collect():
+    for r in ranked.withColumn("before", F.coalesce(letters, F.lit(0))).where(F.col("before") < 4 * dictionary_bytes).select("lang", "r", "text").collect():  # copies add nothing
         texts[r["lang"]].append((r["r"], r["text"]))
     out = []
     for lang, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
