@@ -31,6 +31,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Durable intermediate tables of one job, in a folder of their own below the shared one.
+
+    A kept table ends the lineage, so a lost executor costs no recomputation. Tables that nothing reads any more are
+    dropped at once, the whole folder at the end of the job.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._path, self._n = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self._paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self._n += 1
+        path = f"{self._path}/{self._n}-{name}"
+        df.write.parquet(path)
+        out = self._spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            self._delete(self._paths.pop(id(table)))
+
+    def close(self) -> None:
+        self._delete(self._path)
+
+    def _delete(self, path: str) -> None:
+        target = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def number_within(df: DataFrame, key: str, order: list[str], sizes: DataFrame, out: str, group_rows: int = 256) -> DataFrame:
     """Number the rows of each key from 0, in a pseudo-random but reproducible order.
 
@@ -62,23 +93,24 @@ def number_in_order(df: DataFrame, key: str, place: str, then: list[str], out: s
     return numbered.join(base, (numbered[key] == base["_bk"]) & (numbered["_part"] == base["_bp"])).withColumn(out, F.col("_own") + F.col("_base")).drop("_own", "_base", "_bk", "_bp", "_part")
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """Connected components of edges (a, b), longs: one row (node, label) per node of an edge; label is the smallest node.
 
     Minimum labels spread along the edges and jump through labels already found, so stars need two rounds and chains a
-    logarithmic number. Each round is written to the shared folder; only the count of changed labels reaches the driver.
+    logarithmic number. Each round is kept in the workspace and takes the place of the one before; only the count of
+    changed labels reaches the driver.
     """
-    both = materialise(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), f"{name}-edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-labels")
-    while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, labels["node"] == heard["a"], "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        spread = materialise(spread, f"{name}-spread")
+    both = work.keep(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges")
+    labels = work.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.col("a").alias("was"), F.least("a", "m").alias("label")), "labels")
+    while not labels.where("label <> was").isEmpty():
+        heard = both.join(labels.select("node", "label"), both["b"] == F.col("node")).groupBy("a").agg(F.min("label").alias("heard"))
+        spread = work.keep(labels.drop("was").join(heard, F.col("node") == heard["a"], "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label")), "spread")
         via = spread.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        jumped = materialise(spread.join(via, spread["label"] == via["via"], "left").select("node", "was", F.least("label", "beyond").alias("label")), f"{name}-labels")
-        if jumped.where("label <> was").isEmpty():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
+        jumped = work.keep(spread.join(via, spread["label"] == via["via"], "left").select("node", "was", F.least("label", "beyond").alias("label")), "labels")
+        work.drop(spread, labels)
+        labels = jumped
+    work.drop(both)
+    return labels.select("node", "label")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -414,6 +414,41 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dup.near_duplicates(df.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).where("class_id is null").count() == 3
 
 
+def test_one_doc_id_with_several_texts(spark):
+    texts = some_texts(6, 21)
+    near = lambda t: t + " " + t.split()[0]
+    a, b, c = (" ".join(texts[i : i + 2]) for i in (0, 2, 4))
+    rows = [(1, a), (1, b), (1, b), (2, near(a)), (3, near(b)), (5, c), (4, c), (5, b), (None, a), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["class_id"], r["copy_of"]) for r in near_dup.near_duplicates(df).collect())
+    assert got == Counter([(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 2), (3, 1, 3), (5, 4, 4), (4, 4, 4), (5, 1, 1), (None, None, None), (7, 7, 7)])
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dup.keep_one(df).collect())
+    assert kept == Counter([(1, a), (1, b), (1, b), (4, c), (None, a), (7, None)])
+
+
+def test_spent_tables_are_removed(spark):
+    import os
+
+    folder = common.checkpoint_dir(spark)
+    before = set(os.listdir(folder))
+    assert near_dup.near_duplicates(docs_of(spark, near_texts()[:30])).count() == 30
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["classes"]
+
+
+def test_recall_on_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.where("text is not null").collect()
+    hashes, owner, _ = near_dup.weigh(*near_dup.shingle_hashes([r["text"] for r in rows]))
+    sizes, common_, where = np.bincount(owner, minlength=len(rows)), Counter(), {}
+    for h, o in zip(hashes.tolist(), owner.tolist(), strict=True):
+        where.setdefault(h, []).append(o)
+    for own in where.values():
+        common_.update((i, j) for n, i in enumerate(own) for j in own[n + 1 :])
+    pairs = [(i, j) for (i, j), n in common_.items() if n / (sizes[i] + sizes[j] - n) >= 0.8]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert len(pairs) > 100 and np.mean([got[rows[i]["doc_id"]] == got[rows[j]["doc_id"]] for i, j in pairs]) >= 0.99
+
+
 def test_repeated_lines_do_not_hide_copies(spark):
     texts = some_texts(40, 12)
     line = " this line comes again and again below every entry"
@@ -437,7 +472,7 @@ def test_signatures_estimate_probability_jaccard():
 
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
-    got = {r["node"]: r["label"] for r in common.components(edges, "t").collect()}
+    got = {r["node"]: r["label"] for r in common.components(edges, common.Workspace(spark, "t")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
