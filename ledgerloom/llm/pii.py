@@ -75,8 +75,14 @@ _SPELLED_HINT = re.compile(rf"\b{_WORD}[\s,-]+(?:(?:dot|point|punto|punkt)\s+)?{
 _TOKEN = re.compile(r"[^\s,-]+")
 _BRACKET_AT = re.compile(r"\s*[(\[{<]\s*(?:at|@|arroba|klammeraffe)\s*[)\]}>]\s*", re.I)
 _BRACKET_DOT = re.compile(r"\s*[(\[{<]\s*(?:dot|\.|punto|punkt|point)\s*[)\]}>]\s*", re.I)
-_BARE_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*[(\[{]\s*dot\s*[)\]}]\s*)[A-Za-z0-9])", re.I)
+# A bare "at" counts before a domain whose dot is spelled too, or behind a word that announces an address; a bare dot word
+# other than "dot" counts only in a text that has an at word.
+_BARE_AT = re.compile(r"(?<=[A-Za-z0-9])\s+(?:at|arroba|klammeraffe)\s+(?=[A-Za-z0-9-]+(?:\s+(?:dot|punto|punkt|point)\s+|\s*[(\[{]\s*(?:dot|punto|punkt|point)\s*[)\]}]\s*)[A-Za-z0-9])", re.I)
+_TOLD_AT = re.compile(r"(?:\b(?:e-?mail|mail|contact|reach|correo|courriel)\b[^\n@]{0,40}?\s[A-Za-z0-9._%+-]+)(\s+at\s+)(?=[A-Za-z0-9-]+\.[A-Za-z])|(?<=[A-Za-z0-9])(\s+(?:arroba|klammeraffe)\s+)(?=[A-Za-z0-9-]+\.[A-Za-z])", re.I)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
+_OTHER_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+(?:punto|punkt|point)\s+(?=[A-Za-z0-9])", re.I)
+_AT_WORD = re.compile(r"\s(?:at|arroba|klammeraffe)\s")
+_TOLD = re.compile(r"\b(?:e-?mail|mail|contact|reach|correo|courriel)\b")
 _ODD = re.compile("[ ­ɐ-\U0010ffff]")
 
 
@@ -137,8 +143,9 @@ def find_disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[in
     """
     odd = not text.isascii() and _ODD.search(text) is not None
     brackets = "(" in text or "[" in text or "{" in text or "<" in text
-    dots = "dot" in text or "DOT" in text or "Dot" in text
-    if not (odd or brackets or dots or _SPELLED_HINT.search(text.lower())):
+    low = text.lower()
+    at_word = _AT_WORD.search(low) is not None and ("arroba" in low or "klammeraffe" in low or "dot" in low or "punkt" in low or "point" in low or _TOLD.search(low) is not None)
+    if not (odd or brackets or "dot" in low or at_word or _SPELLED_HINT.search(low)):
         return []
     mapped = Mapped(text)
     if odd:
@@ -146,9 +153,13 @@ def find_disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[in
         mapped.rewrite([(i, i + 1, new) for i, new in found if new is not None])
     mapped.rewrite([(*m.span(), "@") for m in _BRACKET_AT.finditer(mapped.text)])
     mapped.rewrite([(*m.span(), "@") for m in _BARE_AT.finditer(mapped.text)])
+    if at_word:
+        mapped.rewrite([(*m.span(m.lastindex), "@") for m in _TOLD_AT.finditer(mapped.text)])
     mapped.rewrite([(*m.span(), _spelled(m)) for m in _SPELLED.finditer(mapped.text)])
     mapped.rewrite([(*m.span(), ".") for m in _BRACKET_DOT.finditer(mapped.text)])
     mapped.rewrite([(*m.span(), ".") for m in _BARE_DOT.finditer(mapped.text)])
+    if at_word:
+        mapped.rewrite([(*m.span(), ".") for m in _OTHER_DOT.finditer(mapped.text)])
     if 1 not in mapped.changed:
         return []
     out = []
