@@ -14,7 +14,6 @@ from ledgerloom.llm.common import U64, mix64, word_hashes
 
 LOW_SHARE, HIGH_SHARE = 0.0005, 0.1
 SUBSETS = 32
-MIN_TERMS = 8
 NO_KEY = -(2**63)
 
 
@@ -70,20 +69,18 @@ def lexicon(docs: DataFrame, low: float = LOW_SHARE, high: float = HIGH_SHARE) -
     return np.sort(rows["term"].to_numpy(np.int64).view(U64))
 
 
-def fingerprints(texts: list[str], known: np.ndarray, subsets: int = SUBSETS, min_terms: int = MIN_TERMS) -> list[str]:
+def fingerprints(texts: list[str], known: np.ndarray, subsets: int = SUBSETS) -> list[str]:
     """A fingerprint per text: for two scales s, the hash of the text's terms in each of `subsets` random lexicon subsets.
 
     A subset of scale s holds each term with probability 2^-s, so that a text of n terms has one to two of them in a
-    subset of its first scale, floor(log2 n), and half as many in its second. A text with fewer than min_terms terms of
-    the lexicon uses all its terms. Written as "scale:hashes" twice; a subset without a term is "----"; "-" for a text
-    without terms. Equal texts have equal fingerprints whatever stands beside them.
+    subset of its first scale, floor(log2 n), and half as many in its second. Written as "scale:hashes" twice; a subset
+    without a term is "----". A text without a term in the band has none of that: its fingerprint is "-" and a hash of
+    its whole, so that it is like equal texts only. Equal texts have equal fingerprints whatever stands beside them.
     """
     terms, owner = distinct_terms(texts)
     at = np.searchsorted(known, terms)
     inside = known[np.minimum(at, len(known) - 1)] == terms if len(known) else np.zeros(len(terms), bool)
-    poor = np.bincount(owner[inside], minlength=len(texts)) < min_terms
-    keep = inside | poor[owner]
-    terms, owner = terms[keep], owner[keep]
+    terms, owner = terms[inside], owner[inside]
     n = np.bincount(owner, minlength=len(texts))
     scale = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
     starts = np.cumsum(n) - n
@@ -103,7 +100,7 @@ def fingerprints(texts: list[str], known: np.ndarray, subsets: int = SUBSETS, mi
     result = []
     for j in range(len(texts)):
         if not n[j]:
-            result.append("-")
+            result.append("-" + hashlib.sha256(texts[j].encode("utf-8", "replace")).hexdigest()[:32])
             continue
         parts = []
         for i in (0, 1):
@@ -114,10 +111,13 @@ def fingerprints(texts: list[str], known: np.ndarray, subsets: int = SUBSETS, mi
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the subsets in which either text has terms where both hashes agree, at the first scale that both have."""
+    """Share of the subsets in which either text has terms where both hashes agree, at the first scale that both have.
+
+    0 beside a text without a term in the band, unless the texts are equal.
+    """
     if a == b:
         return 1.0
-    if "-" in (a, b):
+    if a[0] == "-" or b[0] == "-":
         return 0.0
     left, right = (dict(p.split(":") for p in x.split(";")) for x in (a, b))
     common = [s for s in left if s in right]
