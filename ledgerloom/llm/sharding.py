@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def place(df: DataFrame, key: str, shards: dict[str, int] | list[str], slots: in
     """
     df = without(df, ADDED)
     slots = slots or next_prime(SLOTS_PER_SHARD * len(shards))
-    listed = ",".join(fill_table(shards, slots))
-    table = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(listed), ",")).alias("_slot", "shard"))
+    listed = F.from_json(F.lit(json.dumps(fill_table(shards, slots))), "array<string>")
+    table = df.sparkSession.range(1).select(F.posexplode(listed).alias("_slot", "shard"))
     keyed = df.withColumn("shard_slot", slot_of(F.col(key), slots))
     return keyed.join(F.broadcast(table), F.col("shard_slot") == F.col("_slot").cast("long")).drop("_slot")

@@ -49,16 +49,18 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id, a query's own id is no candidate
     (nor are repeated rows of it), and a query with fewer candidates gets them all. Rows with a null id, a null vector
-    or a null, NaN or infinite component take no part; only vectors of equal length meet. If a query's id repeats, its
+    or a null, NaN or infinite component, and empty vectors, take no part; only vectors of equal length meet. If a query's id repeats, its
     smallest vector asks. Other columns are not read.
 
     Queries and vectors are dealt over a grid: query tiles of about query_tile rows, shards of about shard_tile rows,
     both by hash, so repeats of a vector spread. One task holds one tile and one shard, computes their matrix product
     and keeps k rows a query; the lists are then merged in two levels, so no task merges more than the square root of
-    the number of shards. The counts that set the grid are the only values the driver sees.
+    the number of shards. The counts that set the grid are the only values the driver sees. Exact search is quadratic:
+    each vector is sent once per tile of queries and each query once per shard of vectors, so the shuffle is
+    rows * (queries / query_tile) + queries * (rows / shard_tile) vectors; larger tiles lower it against a task's memory.
     """
     good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
-    good = good.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).withColumn("dim", F.size("v"))
+    good = good.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).withColumn("dim", F.size("v")).where("dim > 0")
     asked = good.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), "dim").agg(F.min("v").alias("v"))
     asked = asked.groupBy("query_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("query_id", "q.dim", "q.v")
     n = good.count()

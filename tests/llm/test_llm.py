@@ -93,17 +93,25 @@ def test_mix_keeps_rows_and_weights(spark):
     assert ordered.columns == df.columns and ordered.count() == 505
 
 
+def test_mix_bounds_the_schedule(spark):
+    sources = [f"s{i % 40}" for i in range(2000)]
+    df = docs_of(spark, ["t"] * 2000, sources).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    got = mixing.mix(df, {"s0": 50.0}, block_rows=4, max_sources=10, max_blocks=100).toPandas()
+    assert len(got) == 2000 and got["mix_position"].is_unique and got["mix_slot"].nunique() <= 110
+    assert got.groupby("mix_slot").size().max() == 20 and Counter(got["source"]) == Counter(sources)
+
+
 # Top-k ------------------------------------------------------------------------------------------------------------
 
 
 def test_topk_is_exact(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=8)], "k") for i in range(600)]
-    rows += [(700 + i, rows[5][1], "k") for i in range(50)] + [(1000, None, "k"), (1001, [1.0, None] * 4, "k"), (1100, [float("nan")] * 8, "k"), (1200, [float("inf")] * 8, "k"), (1300, [0.5, 0.25], "k"), (None, [1.0] * 8, "k"), (1400, [1e300] * 8, "k")]
+    rows += [(700 + i, rows[5][1], "k") for i in range(50)] + [(1000, None, "k"), (1001, [1.0, None] * 4, "k"), (1100, [float("nan")] * 8, "k"), (1200, [float("inf")] * 8, "k"), (1300, [0.5, 0.25], "k"), (None, [1.0] * 8, "k"), (1400, [1e300] * 8, "k"), (1500, [], "k"), (1501, [], "k")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     got = topk.top_k(df, query_tile=3, shard_tile=90)
     assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
-    whole = {i: [math.floor(1024 * x) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     want = set()
     for q in whole:
         if q % 100 == 0:
@@ -143,6 +151,9 @@ def test_pii_base_equals_brute_force():
         ("write to jo (at) site [dot] org now", "email", "jo (at) site [dot] org"),
         ("write to jo at site dot org now", "email", "jo at site dot org"),
         ("jо@sіte.org", "email", "jо@sіte.org"),
+        ("write to jo aT site dOt org now", "email", "jo aT site dOt org"),
+        ("contact: jo at site.org", "email", "jo at site.org"),
+        ("mi correo es jo arroba sitio punto com", "email", "jo arroba sitio punto com"),
         ("call plus four nine three zero five five five one two three", "phone", "plus four nine three zero five five five one two three"),
         ("host one nine two dot one six eight dot one dot two up", "ip", "one nine two dot one six eight dot one dot two"),
         ("４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
@@ -178,7 +189,7 @@ def test_pii_drops_added_spans_within_base_spans():
 
 
 def test_pii_leaves_clean_text(spark):
-    for text in ("we met at noon, one two three dots on the page", "a (b) [c] at home", "Ünd Äpfel là où"):
+    for text in ("look at site.org or at point b", "en este punto llegamos a tal punto", "we met at noon, one two three dots on the page", "a (b) [c] at home", "Ünd Äpfel là où"):
         assert pii.find_disguised(text, pii.find_base(text)) == []
     got = {r["doc_id"]: r for r in pii.digest(pii.find_pii(docs_of(spark, [*ODD, "mail a@b.cd 10.0.0.1"]))).collect()}
     assert len(got) == len(ODD) + 1 and got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
@@ -212,6 +223,55 @@ def test_secrets_equal_brute_force(spark):
     assert secret_scan.find_secrets(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def brute_spans(text):
+    """All spans by plain loops: patterns, then candidates apart from them whose fullest window reaches the limit."""
+    base, out = brute_secrets(text), []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        s = m[0]
+        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or any(re.search(p.replace("*+", "*").replace("++", "+").replace("}+", "}"), s) for p in secret_scan.ALLOWED):
+            continue
+        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else "alnum" if s.isalnum() else "base64"
+        if brute_entropy(s) >= secret_scan.THRESHOLDS[kind] - 1e-12 and not any(b < m.end() and m.start() < e for b, _, e in base):
+            out.append((m.start(), 3, m.end()))
+    return sorted(base + out)
+
+
+def check_digests(spark, texts):
+    got = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.find_secrets(docs_of(spark, texts))).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        spans = brute_spans(t or "")
+        written = lambda own: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in own)
+        assert got[i]["spans"] == written(spans), t[:200]
+        assert got[i]["base_sha256"] == hashlib.sha256(written([s for s in spans if s[1] < 3]).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in secret_scan.KINDS] == [sum(s[1] == j for s in spans) for j in range(4)]
+
+
+def test_all_spans_and_digests_equal_brute_force(spark):
+    rng = np.random.default_rng(31)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    draw = lambda n: "".join(rng.choice(alphabet, size=n))
+    parts = [lambda: draw(int(rng.integers(15, 60))), lambda: "token=" + draw(8), lambda: "word", lambda: "é ü", lambda: "".join(rng.choice(list("0123456789abcdef"), size=30)), lambda: "AKIA" + "Q7" * 9]
+    texts = [" ;"[i % 2].join(parts[int(k)]() for k in rng.integers(0, len(parts), size=int(rng.integers(1, 40)))) for i in range(80)]
+    check_digests(spark, [*texts, *ODD])
+
+
+def test_long_candidates_and_many_matches(spark):
+    import time
+
+    rng = np.random.default_rng(32)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    run = "".join(rng.choice(alphabet, size=200_000))
+    texts = [run, "token=abcdef12 " * 10_000, f"{run} token=abcdef12 {run}", "-a1" * 60_000]
+    began = time.time()
+    got = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.find_secrets(docs_of(spark, texts))).collect()}
+    assert got[0]["spans"] == "entropy:0:200000" and got[1]["n_assign"] == 10_000 and got[3]["spans"] == ""
+    assert got[2]["spans"] == "entropy:0:200000,assign:200001:200015,entropy:200016:400016"
+    cleaned = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs_of(spark, texts)).collect()}
+    assert cleaned[0] == "[SECRET]" and cleaned[1] == "[SECRET] " * 10_000 and cleaned[2] == "[SECRET] [SECRET] [SECRET]"
+    assert time.time() - began < 120
+
+
 def test_entropy_window(spark):
     rng = np.random.default_rng(4)
     alphabet = list("ABCDEFGHabcdefgh0123456789+/_=-zZ")
@@ -257,6 +317,16 @@ def test_language(spark):
     assert langid.fit(df.limit(0)) == [] and langid.classify(df, []).where("lang_pred <> 'und'").count() == 0
 
 
+def test_sizes_cover_whole_texts():
+    model = [("aa", 5, b" kalo miru tesan polik durane" * 40), ("bb", 4, b" schtum verl ungheit zwick brot" * 40)]
+    tools = langid.compressors(model)
+    short, long = langid.letters_of("Kalo, MIRU! 12 tesan"), langid.letters_of(("kalo miru tesan " * 700 + "schtum verl ") * 3)
+    assert short.decode() == " kalo miru tesan " and len(long) > 8 * langid.BLOCK_BYTES
+    blocks = [long[i : i + langid.BLOCK_BYTES] for i in range(0, len(long), langid.BLOCK_BYTES)]
+    assert b"".join(blocks) == long and langid.sizes_of(long, tools) == [sum(len(t.compress(b)) for b in blocks) for t in langid.compressors(model)]
+    assert langid.sizes_of(short, tools)[0] < langid.sizes_of(short, tools)[1]
+
+
 # Sharding ---------------------------------------------------------------------------------------------------------
 
 
@@ -282,6 +352,9 @@ def test_sharding(spark):
         assert r["shard_slot"] == int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % sharding.next_prime(200)
     with pytest.raises(ValueError):
         sharding.fill_table(shards, 700)
+    odd = ["a,b", 'c"d', "", "é\\"]
+    assert {r["shard"] for r in sharding.place(spark.range(500), "id", odd).collect()} == set(odd)
+    assert sharding.place(df.limit(0), "doc_id", odd).count() == 0
 
 
 # Packing ----------------------------------------------------------------------------------------------------------
@@ -363,6 +436,20 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs_of(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mark", [" ", "\t", "\n", "\u00a0"])
+def test_long_white_space_is_tokenised(spark, mark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    text = mark * 1_000_000 + "x"
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(packing.VOCABULARY).encode(text).tolist() == want
+    got = packing.pack_documents(docs_of(spark, [text, "b"]), keep_ids=True).where("doc_id = 0").orderBy("piece").collect()
+    assert [x for r in got for x in r["ids"]] == [*want, 2]
+    turns = chat.digest(chat.format_turns(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")))
+    assert turns.first()["loss_chars"] == len(text)
+
+
 # Near-duplicates --------------------------------------------------------------------------------------------------
 
 
@@ -501,6 +588,33 @@ def test_fingerprints(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_fingerprint_equals_brute_force():
+    texts = [*some_texts(30, 41), "only other words here", "", "two two"]
+    words = [set(re.findall(r"[a-z0-9_]+", t)) for t in texts]
+    df = Counter(w for own in words for w in own)
+    hash_of = lambda w: int(common.word_hashes([w])[0][0])
+    band = {w for w, n in df.items() if 2 <= n <= 6}
+    known = np.array(sorted(hash_of(w) for w in band), np.uint64)
+    mix = lambda x: int(common.mix64(np.array([x % 2**64], np.uint64))[0])
+    got = imatch.fingerprints(texts, known)
+    for text, own, print_ in zip(texts, words, got, strict=True):
+        terms = [hash_of(w) for w in own & band]
+        if not terms:
+            assert print_ == "-" + hashlib.sha256(text.encode()).hexdigest()[:32]
+            continue
+        scale = int(math.log2(len(terms)))
+        parts = []
+        for s in (scale, scale + 1):
+            cells = []
+            for k in range(imatch.SUBSETS):
+                drawn = [mix(t ^ mix(k + 1)) for t in terms]
+                chosen = [d for d in drawn if d % 2**s == 0]
+                cells.append(f"{mix(sum(map(mix, chosen))) >> 48:04x}" if chosen else "----")
+            parts.append(f"{s}:{''.join(cells)}")
+        assert print_ == ";".join(parts)
+    assert imatch.likeness(got[-1], got[-2]) == 0.0 and imatch.likeness(got[-1], got[-1]) == 1.0
+
+
 def test_parts_follow_each_other(spark):
     df = docs_of(spark, some_texts(300, 12)).union(docs_of(spark, ["same"] * 2)).withColumn("doc_id", F.when(F.col("doc_id") != 9, F.col("doc_id") * 3))
     parts = imatch.next_documents(df, 20)
