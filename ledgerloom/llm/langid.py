@@ -16,14 +16,12 @@ MIN_MARGIN = 0.004
 BLOCK_BYTES = 4096
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Word characters that are neither letters nor digits, such as fractions.
-_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(128, 1 << 17)) if c.isalnum() and not c.isalpha()) + "]")
 
 
 def letters_of(text: str | None) -> bytes:
     """A whole text as UTF-8, lower-cased, all that lies between its words of letters as one space; empty without a letter."""
     plain = _NOT_LETTERS.sub(" ", (text or "").lower())
-    if not plain.isascii() and _NUMERALS.search(plain):  # a word of numerals alone has no letter
+    if not plain.isascii() and not plain.replace(" ", "").isalpha():  # a word of numerals such as fractions has no letter
         plain = " ".join(w for w in plain.split() if any(map(str.isalpha, w)))
     plain = plain.strip()
     return f" {plain} ".encode("utf-8", "replace") if plain else b""
