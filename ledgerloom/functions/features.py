@@ -69,6 +69,9 @@ def simhash(texts: pd.Series) -> pd.Series:
     return texts.map(simhash_of).astype("int64")
 
 
+simhash = simhash.asNondeterministic()  # it is not, but a filter on its result must not make it run a second time
+
+
 def simhash_hex(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
@@ -97,15 +100,29 @@ def name_tokens(name: Column) -> Column:
     return F.filter(F.split(F.lower(cut), r"[^a-z0-9]+"), lambda w: F.length(w) > 0)
 
 
+#: Small words inside names of persons, titles that are no part of a name.
+PARTICLES = ["de", "del", "della", "der", "den", "di", "da", "du", "la", "le", "van", "von", "zu", "y", "e"]
+TITLES = ["mr", "mrs", "ms", "dr", "prof", "herr", "frau", "monsieur", "madame", "sir"]
+
+
 def looks_like_person(name: Column) -> Column:
-    """Two to six capitalised words without digits."""
-    parts = F.split(F.trim(name), r"\s+")
-    return F.size(parts).between(2, 6) & F.forall(parts, lambda p: p.rlike(r"^\p{Lu}[\p{L}'.-]*$"))
+    """Two to six capitalised words without digits; particles may be small, and a title makes it no plain name."""
+    parts = F.filter(F.split(F.trim(name), r"\s+"), lambda p: p != "")
+    bare = F.transform(parts, lambda p: F.regexp_replace(F.lower(p), r"\.$", ""))
+    own = F.filter(parts, lambda p: ~F.lower(p).isin(PARTICLES))
+    return F.size(parts).between(2, 6) & (F.size(own) >= 2) & ~F.arrays_overlap(bare, F.array(*[F.lit(t) for t in TITLES])) & F.forall(own, lambda p: p.rlike(r"^\p{Lu}[\p{L}'.-]*$"))
+
+
+def is_clean_party(name: Column, places: list[str], blacklist: tuple[str, ...] = ()) -> Column:
+    """A party's name has 3 to 55 characters, no line break or tab, no punctuation at an edge, and is no place or listed word."""
+    low = F.lower(F.trim(name))
+    return F.length(name).between(3, 55) & ~name.rlike(r"[\n\r\t]") & ~name.rlike(r"^[.,;:!?-]|[,;:!?-]$") & ~low.isin([p.lower() for p in (*places, *blacklist)])
 
 
-def is_clean_party(name: Column, places: list[str]) -> Column:
-    """A party's name has 3 to 55 characters, no line break and is no place."""
-    return F.length(name).between(3, 55) & ~name.contains("\n") & ~F.lower(name).isin([p.lower() for p in places])
+def is_entity_name(name: Column, bad_starts: tuple[str, ...] = ("the", "a", "an", "and", "der", "die", "das", "le", "la", "les", "und", "et")) -> Column:
+    """A name worth showing: 3 to 60 characters with a capital letter, no sentence marks inside, not begun by an article or conjunction."""
+    first = F.lower(F.regexp_extract(name, r"^(\S+)", 1))
+    return F.length(name).between(3, 60) & name.rlike(r"\p{Lu}") & ~name.rlike(r"[!?;:|<>{}]|\.\s") & ~first.isin(list(bad_starts))
 
 
 def excerpt(text: Column, word: Column, before: int = 60, after: int = 80) -> Column:

@@ -39,6 +39,30 @@ def near_pairs(groups: DataFrame, k: int = 3, extra: int = 3) -> DataFrame:
     return met.select("a", "b", "docs_a", "docs_b", hamming(F.col("sa"), F.col("sb")).alias("distance")).distinct().withColumn("similarity", similarity(F.col("distance")))
 
 
+def near_links(groups: DataFrame, k: int = 8, tile_rows: int = 4096) -> DataFrame:
+    """Per distinct fingerprint (first_doc, docs): how many others lie within k bits (links) and how far the nearest is.
+
+    For distances at which blocks of equal bits no longer select: fingerprints are dealt into tiles, every pair of tiles
+    meets once in one task's join on its number, and only counts leave it. The work is quadratic in distinct
+    fingerprints; each of them travels once per tile.
+    """
+    n = groups.count()
+    tiles = max(1, -(-n // tile_rows))
+    dealt = groups.withColumn("tile", F.pmod(F.xxhash64("simhash"), F.lit(tiles)).cast("int"))
+    numbers = F.sequence(F.lit(0), F.lit(tiles - 1))
+    a = dealt.select(F.explode(F.filter(numbers, lambda t: t >= F.col("tile"))).alias("other"), "tile", F.col("simhash").alias("sa"), F.col("first_doc").alias("a"))
+    b = dealt.select(F.col("tile").alias("other"), F.explode(F.filter(numbers, lambda t: t <= F.col("tile"))).alias("tile"), F.col("simhash").alias("sb"), F.col("first_doc").alias("b"))
+    near = (hamming(F.col("sa"), F.col("sb")) <= k) & ((F.col("tile") < F.col("other")) | (F.col("sa") < F.col("sb")))
+    met = a.join(b, ["tile", "other"]).where(near).select("a", "b", hamming(F.col("sa"), F.col("sb")).alias("d"))
+    ends = met.select(F.explode(F.array("a", "b")).alias("first_doc"), "d").groupBy("first_doc").agg(F.count(F.lit(1)).alias("links"), F.min("d").alias("nearest"))
+    return groups.select("first_doc", "docs").join(ends, "first_doc", "left").na.fill(0, ["links"])
+
+
+def recent_links(links: DataFrame, order: list, limit: int) -> DataFrame:
+    """The most recent lineage edges."""
+    return links.orderBy(*order).limit(limit)
+
+
 def version_links(pairs: DataFrame, maturity: DataFrame) -> DataFrame:
     """Lineage edges parent -> child (the later document): supersedes if the child's maturity is higher, else derived_from."""
     m = maturity.select("doc_id", "maturity")
@@ -58,21 +82,23 @@ def canonical_candidate(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("score", score).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def duplicate_check(incoming: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
+def duplicate_check(incoming: DataFrame, docs: DataFrame, related: DataFrame, k: int = 12, shard_rows: int = 65_536) -> DataFrame:
     """Category of each incoming text (item_id, sha256_hash, simhash) against documents of the same columns and maturity.
 
-    EXACT_MATCH, else EVOLVED_VERSION or DRAFT_EXISTS (the best near match is mature or not), MULTIPLE_MATCHES if
-    several near fingerprints exist, else NOT_FOUND.
+    EXACT_MATCH, else MULTIPLE_MATCHES if several distinct fingerprints lie within k bits, else EVOLVED_VERSION or
+    DRAFT_EXISTS (the one near match is mature or not), else RELATED_DOCUMENT if a search (related: item_id, doc_id)
+    finds one, else NOT_FOUND. The incoming batch meets every shard of fingerprints, whatever k is; only counts leave a shard.
     """
     exact = docs.groupBy("sha256_hash").agg(F.min("doc_id").alias("exact_doc"))
-    ledger = docs.where("simhash <> 0").groupBy("simhash").agg(F.min("doc_id").alias("first_doc"), F.max("maturity").alias("maturity"))
-    blocks = [F.struct(F.lit(i).alias("i"), F.col("simhash").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)).alias("v")) for i, m in ((i, 0xFFFF << 16 * i) for i in range(4))]
-    if k > 3:
-        raise ValueError("four blocks find at most three differing bits")
-    left = incoming.where("simhash <> 0").select("item_id", F.col("simhash").alias("s"), F.explode(F.array(*blocks)).alias("key"))
-    right = ledger.select("simhash", "first_doc", "maturity", F.explode(F.array(*blocks)).alias("key"))
-    near = left.join(right, "key").where(hamming(F.col("s"), F.col("simhash")) <= k).select("item_id", "simhash", "first_doc", "maturity").distinct()
-    near = near.groupBy("item_id").agg(F.count(F.lit(1)).alias("near"), F.max("maturity").alias("best"))
-    both = incoming.join(exact, "sha256_hash", "left").join(near, "item_id", "left")
-    category = F.when(F.col("exact_doc").isNotNull(), "EXACT_MATCH").when(F.col("near") > 1, "MULTIPLE_MATCHES").when(F.col("best") >= 0.6, "EVOLVED_VERSION").when(F.col("near") == 1, "DRAFT_EXISTS").otherwise("NOT_FOUND")
-    return both.select("item_id", "exact_doc", F.coalesce("near", F.lit(0)).cast("long").alias("near"), category.alias("category"))
+    known = docs.groupBy("simhash").agg(F.min("doc_id").alias("first_doc"), F.max("maturity").alias("maturity")).where("simhash <> 0")
+    shards = max(1, -(-docs.count() // shard_rows))
+    right = known.withColumn("shard", F.pmod(F.xxhash64("simhash"), F.lit(shards)).cast("int"))
+    left = incoming.where("simhash <> 0").select("item_id", F.col("simhash").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    near = left.join(right, "shard").where(hamming(F.col("s"), F.col("simhash")) <= k).groupBy("item_id").agg(F.count(F.lit(1)).alias("near"), F.max("maturity").alias("best"))
+    found = related.groupBy("item_id").agg(F.min("doc_id").alias("related_doc"))
+    both = incoming.join(exact, "sha256_hash", "left").join(near, "item_id", "left").join(found, "item_id", "left")
+    category = (
+        F.when(F.col("exact_doc").isNotNull(), "EXACT_MATCH").when(F.col("near") > 1, "MULTIPLE_MATCHES").when(F.col("best") >= 0.6, "EVOLVED_VERSION")
+        .when(F.col("near") == 1, "DRAFT_EXISTS").when(F.col("related_doc").isNotNull(), "RELATED_DOCUMENT").otherwise("NOT_FOUND")
+    )
+    return both.select("item_id", "exact_doc", F.coalesce("near", F.lit(0)).cast("long").alias("near"), "related_doc", category.alias("category"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.durable import durable
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """In plus out degree: endpoints are unioned, so no disjunctive join is needed."""
@@ -107,24 +109,45 @@ def prune(nodes: DataFrame, edges: DataFrame, links: DataFrame, bad: Column, pla
     return kept, edges, links.join(drop, "node_id", "left_anti")
 
 
-def descendants(spark, table: DataFrame, root: str, depth: int = 16) -> DataFrame:
-    """A region and all below it from (geo_id, parent_id); the depth is capped, so cycles end."""
-    table.createOrReplaceTempView("_hierarchy")
-    return spark.sql(
-        f"""with recursive tree(geo_id, level) as (
-        select geo_id, 0 from _hierarchy where geo_id = '{root}'
-        union all select h.geo_id, t.level + 1 from _hierarchy h join tree t on h.parent_id = t.geo_id where t.level < {depth})
-        select geo_id, min(level) as level from tree group by geo_id"""
-    )
+def descendants(table: DataFrame, root: str) -> DataFrame:
+    """A region and all below it from (geo_id, parent_id): geo_id, level (the smallest).
+
+    Level by level; a node met before is left out, so cycles end and no depth is too great. Each level is kept, and only
+    whether it is empty reaches the driver.
+    """
+    below = table.select("geo_id", "parent_id").where("parent_id is not null").distinct()
+    front = table.where(F.col("geo_id") == F.lit(root)).select("geo_id").distinct().withColumn("level", F.lit(0))
+    found, level = front, 0
+    while not front.isEmpty():
+        level += 1
+        met = front.select(F.col("geo_id").alias("parent_id")).join(below, "parent_id").select("geo_id").distinct()
+        front = durable(met.join(found.select("geo_id"), "geo_id", "left_anti").withColumn("level", F.lit(level)))
+        found = found.unionByName(front)
+    return found
 
 
-def range_topics(articles: DataFrame, ranges: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Topic of each numbered article: an exact override, else the first range (lo, hi, topic, seq) that holds it."""
-    hit = articles.join(F.broadcast(ranges), F.col("number").between(F.col("lo"), F.col("hi")), "left")
-    first = hit.groupBy("article_id", "number").agg(F.min_by("topic", "seq").alias("ranged"))
+def range_topics(articles: DataFrame, ranges: DataFrame, overrides: DataFrame, bin_size: int = 64) -> DataFrame:
+    """Topic of each numbered article: an exact override, else the first range (lo, hi, topic, seq) that holds it.
+
+    A range is listed under each bin of numbers that it touches, so articles and ranges meet by equality.
+    """
+    binned = ranges.select("*", F.explode(F.sequence(F.floor(F.col("lo") / bin_size), F.floor(F.col("hi") / bin_size))).alias("_bin"))
+    own = articles.withColumn("_bin", F.floor(F.col("number") / bin_size))
+    hit = own.join(binned, "_bin", "left").withColumn("_in", F.col("number").between(F.col("lo"), F.col("hi")))
+    first = hit.groupBy("article_id", "number").agg(F.min_by("topic", F.when(F.col("_in"), F.col("seq"))).alias("ranged"))
     return first.join(overrides.select("number", F.col("topic").alias("own")), "number", "left").select("article_id", "number", F.coalesce("own", "ranged").alias("topic"))
 
 
+def graph_stats(stats: DataFrame) -> DataFrame:
+    """Nodes, degree and the most documents of a node, by type, of node_stats's result."""
+    return stats.groupBy("node_type").agg(F.count(F.lit(1)).alias("nodes"), F.sum("degree").alias("degree"), F.max("docs").alias("most_docs"))
+
+
+def relation_counts(edges: DataFrame) -> DataFrame:
+    """Edges and their weight by relation."""
+    return edges.groupBy("relation").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"))
+
+
 def mirror_document_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, prefix: str = "doc_") -> DataFrame:
     """Edges that start at a document (prefix + its id) as links (doc, node_id), where both ends exist."""
     own = edges.where(F.col("src").startswith(prefix)).select(F.expr(f"substring(src, {len(prefix) + 1})").alias("doc"), F.col("dst").alias("node_id"))

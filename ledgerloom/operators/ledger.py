@@ -41,12 +41,92 @@ def changes(listing: DataFrame, known: DataFrame) -> DataFrame:
     return listing.join(known.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti")
 
 
-def ingest_decisions(files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """new, exact_duplicate (of the ledger or of an earlier file of the batch) per file (path, sha256_hash, mtime)."""
-    order = F.row_number().over(Window.partitionBy("sha256_hash").orderBy("mtime", "path"))
+def ingest_decisions(files: DataFrame, ledger: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """unchanged, new or exact_duplicate per file (path, sha256_hash, mtime).
+
+    A file is unchanged if the known locations (path, mtime, sha256_hash) hold it as it is, a duplicate if its content
+    is in the ledger or in an earlier file of the batch. The first file of a content is found by an aggregation, so
+    copies are never gathered in one task.
+    """
+    first = files.groupBy("sha256_hash").agg(F.min(F.struct("mtime", "path")).alias("_first"))
     known = ledger.select("sha256_hash", F.lit(True).alias("_known")).distinct()
-    judged = files.withColumn("_r", order).join(known, "sha256_hash", "left")
-    return judged.withColumn("decision", F.when(F.col("_known") | (F.col("_r") > 1), "exact_duplicate").otherwise("new")).drop("_r", "_known")
+    judged = files.join(first.join(known, "sha256_hash", "left"), "sha256_hash")
+    decision = F.when(F.col("_known") | (F.struct("mtime", "path") != F.col("_first")), "exact_duplicate").otherwise("new")
+    if locations is not None:
+        same = locations.select("path", "mtime", "sha256_hash", F.lit(True).alias("_same")).distinct()
+        judged = judged.join(same, ["path", "mtime", "sha256_hash"], "left")
+        decision = F.when(F.col("_same"), "unchanged").otherwise(decision)
+    return judged.withColumn("decision", decision).select(*files.columns, "decision")
+
+
+#: Names that scanners and cameras give: letters such as scan or img with numbers only, or numbers alone.
+RAW_NAME = r"(?i)^(?:scan|scanned|img|image|dsc|doc|document|file|photo|untitled)?[\s_-]*[0-9]*(?:[_-][0-9]+)*\.[a-z0-9]+$"
+
+
+def upgrade_names(ledger: DataFrame, files: DataFrame, raw: str = RAW_NAME) -> DataFrame:
+    """The ledger (sha256_hash, name, ...) where a raw scanner name gives way to the first real name of a copy (sha256_hash, name)."""
+    real = files.where(~F.col("name").rlike(raw)).groupBy("sha256_hash").agg(F.min("name").alias("_real"))
+    name = F.when(F.col("name").rlike(raw), F.coalesce("_real", "name")).otherwise(F.col("name"))
+    return ledger.join(real, "sha256_hash", "left").withColumn("name", name).drop("_real")
+
+
+def location_of(locations: DataFrame, paths: DataFrame) -> DataFrame:
+    """The known location of each asked path (path)."""
+    return locations.join(paths.select("path").distinct(), "path", "left_semi")
+
+
+def best_text(full: Column, snippet: Column, least: int = 30) -> Column:
+    """The full text if it has more than `least` characters without the white space around it, else the snippet, else ""."""
+    return F.coalesce(F.when(F.length(F.trim(full)) > least, full), snippet, F.lit(""))
+
+
+def requeue(documents: DataFrame, chunks: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks): the chosen documents (doc_id) are pending again, without an error, and lose their chunks."""
+    ids = chosen.select("doc_id").distinct()
+    marked = documents.join(ids.withColumn("_again", F.lit(True)), "doc_id", "left")
+    again = marked.withColumn("status", F.when(F.col("_again"), "pending").otherwise(F.col("status"))).drop("_again")
+    return again, chunks.join(ids, "doc_id", "left_anti")
+
+
+def recently_processed(documents: DataFrame, n: int) -> DataFrame:
+    """The n most recently processed documents (doc_id, processed); ties to the larger id."""
+    return documents.where("processed is not null").orderBy(F.desc("processed"), F.desc("doc_id")).limit(n)
+
+
+def chunks_of(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """The chunks of each asked document (doc_id) with their place in order."""
+    own = chunks.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")))
+
+
+def entities_of(links: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Entities of each asked document (doc): doc, node_id, node_type, name, best link first by role and name."""
+    return links.join(asked.select("doc").distinct(), "doc", "left_semi").join(nodes, "node_id").select("doc", "node_id", "node_type", "name")
+
+
+def queue_stats(queue: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Queue entries by status, and one row "chunks" with the number of chunks and of documents that have one."""
+    by_status = queue.groupBy("status").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("doc_id").alias("docs"))
+    whole = chunks.agg(F.lit("chunks").alias("status"), F.count(F.lit(1)).alias("entries"), F.countDistinct("doc_id").alias("docs"))
+    return by_status.unionByName(whole)
+
+
+def ledger_stats(locations: DataFrame) -> DataFrame:
+    """Locations, distinct contents and copies saved per root and over all (root null), of locations (root, sha256_hash)."""
+    n, unique = F.count(F.lit(1)), F.countDistinct("sha256_hash")
+    return locations.rollup("root").agg(n.alias("locations"), unique.alias("unique_docs"), F.greatest(F.lit(0).cast("long"), n - unique).alias("saved"))
+
+
+def path_counts(locations: DataFrame, part: str) -> DataFrame:
+    """Categories of the locations (path, category, doc_id) whose path holds a text, case ignored: rows and distinct documents."""
+    hit = locations.where(F.lower("path").contains(part.lower()))
+    return hit.groupBy("category").agg(F.count(F.lit(1)).alias("locations"), F.countDistinct("doc_id").alias("docs"))
+
+
+def prioritised(parts: list[DataFrame]) -> DataFrame:
+    """Rows of all parts (node_id, name), each with the number of its part as priority, earlier parts first."""
+    numbered = [p.select("node_id", "name", F.lit(i).alias("priority")) for i, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, numbered)
 
 
 def scan_summary(decisions: DataFrame, statuses: list[str]) -> DataFrame:
@@ -64,6 +144,14 @@ def listing(docs: DataFrame, locations: DataFrame, text_filter: str | None, only
     return page.orderBy(*sort).offset(offset).limit(limit)
 
 
+def with_family(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """Each document with its parents and children of the lineage (parent_doc, child_doc), as sorted arrays."""
+    side = lambda key, of, out: links.groupBy(F.col(key).alias("doc_id")).agg(F.array_sort(F.collect_set(of)).alias(out))
+    both = docs.join(side("child_doc", "parent_doc", "parents"), "doc_id", "left").join(side("parent_doc", "child_doc", "children"), "doc_id", "left")
+    none = F.array().cast("array<bigint>")
+    return both.withColumns({"parents": F.coalesce("parents", none), "children": F.coalesce("children", none)})
+
+
 def with_locations(docs: DataFrame, locations: DataFrame) -> DataFrame:
     """Each document with its locations nested, primary first, then newest."""
     order = lambda a, b: F.when(a["is_primary"] != b["is_primary"], F.when(a["is_primary"], -1).otherwise(1)).when(a["mtime"] > b["mtime"], -1).when(a["mtime"] < b["mtime"], 1).when(a["path"] < b["path"], -1).otherwise(1)

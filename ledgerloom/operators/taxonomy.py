@@ -6,12 +6,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.features import words
+from ledgerloom.operators.durable import durable
 
 
-def keyword_hits(docs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(doc_id, category, hits): distinct keywords of a category (category, keyword, is_child) that a text has as words."""
-    seen = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("keyword"))
-    return seen.join(keywords, "keyword").groupBy("doc_id", "category", "is_child").agg(F.count(F.lit(1)).alias("hits"))
+def keyword_hits(docs: DataFrame, keywords: DataFrame, longest: int = 3) -> DataFrame:
+    """(doc_id, category, is_child, hits): distinct keywords of a category (category, keyword, is_child) that a text holds.
+
+    A keyword is a word or a phrase of up to `longest` words; as a word run it must occur whole. The runs of a text that
+    no keyword equals never leave their row: the keyword list travels as one array.
+    """
+    listed = F.broadcast(keywords.agg(F.collect_set(F.lower("keyword")).alias("_asked"), F.coalesce(F.max(F.size(F.split("keyword", r"\s+"))), F.lit(1)).alias("_most")))  # one row
+    w = F.col("_w")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("_most"), F.greatest(F.lit(1), F.size(w)))), lambda n: F.when(n == 1, w).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))))
+    seen = docs.select("doc_id", F.array_distinct(words(F.col("text"))).alias("_u"), words(F.col("text")).alias("_w")).crossJoin(listed)
+    found = F.array_intersect(F.when(F.col("_most") > 1, runs).otherwise(F.col("_u")), F.col("_asked"))
+    each = seen.select("doc_id", F.explode(found).alias("keyword"))
+    return each.join(keywords.withColumn("keyword", F.lower("keyword")), "keyword").groupBy("doc_id", "category", "is_child").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def keyword_in(keyword: str, text: Column, stem: int = 6) -> Column:
+    """Whether a keyword occurs as a whole word, or anywhere if it has at least `stem` characters."""
+    whole = text.rlike(r"(?iu)(?<![\p{L}\p{N}_])\Q" + keyword.replace("\\E", "") + r"\E(?![\p{L}\p{N}_])")
+    return F.coalesce(F.lower(text).contains(keyword.lower()) if len(keyword) >= stem else whole, F.lit(False))
+
+
+#: Precedence over keyword classes: (category, words in the name, words in the text of which two must occur), first that holds.
+PRECEDENCE = [
+    ("curriculum_vitae", ("cv", "resume", "lebenslauf", "curriculum"), ("work experience", "education", "skills", "languages", "berufserfahrung", "formation")),
+    ("job_advert", ("vacancy", "job ad", "stellenanzeige"), ("we are looking for", "your profile", "apply now", "your tasks", "ihr profil")),
+    ("cover_letter", ("cover letter", "motivation", "bewerbung"), ("i am applying", "application for", "bewerbe mich", "ma candidature")),
+    ("portfolio", ("portfolio",), ("selected works", "case study", "portfolio of")),
+    ("profile", ("profile", "profil"), ("about me", "personal profile", "kurzprofil")),
+    ("reference", ("reference", "zeugnis", "certificat"), ("to whom it may concern", "was employed", "arbeitszeugnis")),
+    ("bank_statement", ("statement", "kontoauszug", "relevé"), ("iban", "account balance", "opening balance", "kontostand")),
+]
+
+
+def precedence(name: Column, text: Column, rules=PRECEDENCE) -> Column:
+    """Category of the first rule with a word in the file name or two of its phrases in the text; null without one."""
+    low, out = F.lower(text), F.lit(None).cast("string")
+    for category, names, phrases in reversed(rules):
+        named = F.coalesce(F.lower(name).rlike(r"(?u)(?<![\p{L}\p{N}])(?:" + "|".join(names) + r")(?![\p{L}\p{N}])"), F.lit(False))
+        held = sum((F.coalesce(low.contains(x), F.lit(False)).cast("int") for x in phrases), F.lit(0))
+        out = F.when(named | (held >= 2), F.lit(category)).otherwise(out)
+    return out
 
 
 def classify(docs: DataFrame, keywords: DataFrame, floor: float = 0.5) -> DataFrame:
@@ -63,13 +101,36 @@ def merge_categories(docs: DataFrame, categories: DataFrame, mapping: DataFrame)
     return tagged, merged
 
 
-def theme_of(types: DataFrame, parents: DataFrame, aliases: DataFrame, roots: list[str], depth: int = 8) -> DataFrame:
-    """Root theme of each distinct document type: alias, then up the parents to a root; cycles end at the depth cap."""
+def category_counts(categories: DataFrame, docs: DataFrame) -> DataFrame:
+    """Live number of documents (category) of each category (category, parent), roots first, then by name."""
+    live = docs.groupBy("category").agg(F.count(F.lit(1)).alias("docs"))
+    counted = categories.join(live, "category", "left").na.fill(0, ["docs"])
+    return counted.withColumn("is_root", F.col("parent").isNull())
+
+
+def theme_counts(themes: DataFrame) -> DataFrame:
+    """Documents of each theme."""
+    return themes.groupBy("theme").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def theme_of(types: DataFrame, parents: DataFrame, aliases: DataFrame, roots: list[str], cues: list[tuple[str, str]] = ()) -> DataFrame:
+    """Root theme of each distinct document type: alias, then up the parents to a root, then by cue words (word, theme).
+
+    The climb goes on until no type moves, at most as often as there are categories, so that cycles end and no depth is
+    too great. A type that reaches no root takes the theme of the first cue that its name contains, else "unclassified".
+    """
     at = types.select("doc_type").distinct().join(aliases, F.lower("doc_type") == F.col("alias"), "left").select("doc_type", F.coalesce("category", F.lower("doc_type")).alias("node"))
-    for _ in range(depth):
-        up = parents.select(F.col("category").alias("_c"), "parent")
-        at = at.join(up, F.col("node") == F.col("_c"), "left").select("doc_type", F.when(F.col("node").isin(roots), F.col("node")).otherwise(F.coalesce("parent", "node")).alias("node"))
-    return at.select("doc_type", F.when(F.col("node").isin(roots), F.col("node")).otherwise("unclassified").alias("theme"))
+    up = parents.select(F.col("category").alias("_c"), "parent").where("parent is not null")
+    for step in range(1, parents.select("category").distinct().count() + 1):
+        at = at.join(up, (F.col("node") == F.col("_c")) & ~F.col("node").isin(roots), "left").select("doc_type", F.coalesce("parent", "node").alias("node"))
+        if step % 8 == 0:
+            at = durable(at)
+            if at.where(~F.col("node").isin(roots)).join(up, F.col("node") == F.col("_c"), "left_semi").isEmpty():
+                break
+    cue = F.lit("unclassified")
+    for word, theme in reversed(list(cues)):
+        cue = F.when(F.lower("doc_type").contains(word), F.lit(theme)).otherwise(cue)
+    return at.select("doc_type", F.when(F.col("node").isin(roots), F.col("node")).otherwise(cue).alias("theme"))
 
 
 def nearest_folder_category(paths: DataFrame, rules: DataFrame, depth: int = 3) -> DataFrame:

@@ -43,7 +43,7 @@ def pillar_counts(spark, sf):
     return E.pillar_counts(E.financial_links(_docs(spark, sf), pillars=PILLARS))
 
 
-_PARTY = "party as (select distinct doc_id, kind || '_' || lower(regexp_replace(name, '[\\s-]+', '_', 'g')) node_id, kind node_type, case kind when 'organization' then 'counterparty' else 'signatory' end as \"role\" from (select doc_id, name, case when regexp_matches(name, '" + E.ORGANISATION + "') then 'organization' else 'person' end kind from (select doc_id, trim(regexp_replace(trim(unnest(list_distinct(" + " || ".join(f"regexp_extract_all(coalesce(text, ''), '{p}', 1)" for p in PATTERNS) + "))), '\\s*\\([^)]*\\)', '', 'g')) name from documents) where length(name) between 3 and 55 and not contains(name, chr(10)) and not regexp_matches(name, '[.,;:!?]$') and not regexp_matches(lower(name), 'agreement|contract|page|date')))"
+_PARTY = "party as (select distinct doc_id, kind || '_' || lower(regexp_replace(name, '[\\s-]+', '_', 'g')) node_id, kind node_type, case kind when 'organization' then 'counterparty' else 'signatory' end as \"role\" from (select doc_id, name, case when regexp_matches(name, '" + E.ORGANISATION + "') then 'organization' else 'person' end kind from (select doc_id, trim(regexp_replace(trim(unnest(list_distinct(" + " || ".join("regexp_extract_all(coalesce(text, ''), '" + p.replace("'", "''") + "', 1)" for p in PATTERNS) + "))), '\\s*\\([^)]*\\)', '', 'g')) name from documents) where length(name) between 3 and 55 and not contains(name, chr(10)) and not regexp_matches(name, '[.,;:!?]$') and not regexp_matches(lower(name), 'agreement|contract|page|date')))"
 
 
 @query(f"with {_PARTY} select * from party")

@@ -85,19 +85,108 @@ def test_chunks(spark):
 
 
 def test_retrieval_tiers(spark):
-    docs = spark.createDataFrame([(1, "red apple tree"), (2, "red car"), (3, "green pear tree")], "doc_id long, text string")
-    asked = spark.createDataFrame([(1, "red tree"), (2, "blue pear")], "query_id long, text string")
+    docs = spark.createDataFrame([(1, "a.txt", "red apple tree"), (2, "b.txt", "red car"), (3, "my list.pdf", "green pear tree")], "doc_id long, filename string, text string")
+    asked = spark.createDataFrame([(1, "red tree"), (2, "blue pear"), (3, 'the "My List.pdf"'), (4, "gree xyz"), (5, "zzz ppl"), (6, "b"), (7, "nothing")], "query_id long, text string")
     got = {(r["query_id"], r["doc_id"], r["tier"]) for r in retrieval.cascade(docs, asked).collect()}
-    assert got == {(1, 1, 1), (2, 3, 2)}
+    assert got == {(1, 1, 1), (2, 3, 2), (3, 3, 0), (4, 3, 2), (5, 1, 3), (6, 2, 0)}
+    index, terms = retrieval.postings(docs), retrieval.query_terms(asked)
+    for every in (True, False):
+        assert {tuple(r) for r in retrieval.bm25_terms(docs, terms, 5, every).collect()} == {tuple(r) for r in retrieval.bm25_terms(docs, terms, 5, every, index=index).collect()}
     lists = [spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "query_id long, doc_id long, rank int"), spark.createDataFrame([(1, 8, 1)], "query_id long, doc_id long, rank int")]
     assert [r["doc_id"] for r in retrieval.reciprocal_rank_fusion(lists).orderBy("rank").collect()] == [8, 7]
 
 
 def test_duplicate_categories(spark):
     docs = spark.createDataFrame([(1, "h1", 0xFF, 0.9), (2, "h2", 0xFF00, 0.2), (3, "h3", 0xFF0000, 0.5), (4, "h4", 0xFF0001, 0.5)], "doc_id long, sha256_hash string, simhash long, maturity double")
-    asked = spark.createDataFrame([(1, "h1", 0), (2, "x", 0xFE), (3, "y", 0xFE00), (4, "z", 0xFE0000), (5, "w", -1)], "item_id long, sha256_hash string, simhash long")
-    got = {r["item_id"]: r["category"] for r in dedup.duplicate_check(asked, docs).collect()}
-    assert got == {1: "EXACT_MATCH", 2: "EVOLVED_VERSION", 3: "DRAFT_EXISTS", 4: "MULTIPLE_MATCHES", 5: "NOT_FOUND"}
+    asked = spark.createDataFrame([(1, "h1", 0), (2, "x", 0xFE), (3, "y", 0xFE00), (4, "z", 0xFE0000), (5, "w", -1), (6, "v", -1), (7, "u", 0xFF00FF)], "item_id long, sha256_hash string, simhash long")
+    related = spark.createDataFrame([(6, 3), (6, 2), (1, 1)], "item_id long, doc_id long")
+    got = {r["item_id"]: r["category"] for r in dedup.duplicate_check(asked, docs, related, 3).collect()}
+    assert got == {1: "EXACT_MATCH", 2: "EVOLVED_VERSION", 3: "DRAFT_EXISTS", 4: "MULTIPLE_MATCHES", 5: "NOT_FOUND", 6: "RELATED_DOCUMENT", 7: "NOT_FOUND"}
+    wide = {r["item_id"]: (r["near"], r["category"]) for r in dedup.duplicate_check(asked, docs, related, 12).collect()}
+    assert wide[7] == (sum(bits(0xFF00FF, x) <= 12 for x in (0xFF, 0xFF00, 0xFF0000, 0xFF0001)), "MULTIPLE_MATCHES")
+
+
+@pytest.mark.parametrize("tile_rows", [7, 4096])
+def test_near_links_equal_the_nested_loop(spark, tile_rows):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    values = [v - 2**64 if v >= 2**63 else v for v in dict.fromkeys(base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 14))) for b in base for _ in range(4)])]
+    df = spark.createDataFrame([*enumerate(values), (900, values[0])], "doc_id long, simhash long")
+    got = {r["first_doc"]: (r["docs"], r["links"], r["nearest"]) for r in dedup.near_links(dedup.fingerprint_groups(df), 8, tile_rows).collect()}
+    near = lambda i: [bits(values[i], v) for j, v in enumerate(values) if j != i and bits(values[i], v) <= 8]
+    assert got == {i: (1 + (i == 0), len(near(i)), min(near(i), default=None)) for i in range(len(values))}
+
+
+def test_exact_signals(spark):
+    docs = spark.createDataFrame([(1, "ab" * 32, "a.txt", 7), (2, "cd" * 32, "b.txt", 2**40)], "doc_id long, sha256_hash string, filename string, simhash long")
+    asked = spark.createDataFrame([(1, f"is {'AB' * 32} known", 0), (2, 'where is "b.txt"', 0), (3, "one two three four five six seven eight", 3), (4, "too few words", 3)], "query_id long, text string, simhash long")
+    assert {tuple(r) for r in retrieval.exact_signals(docs, asked).collect()} == {(1, 1, "hash"), (2, 2, "name"), (3, 1, "near"), (3, 2, "near")}
+
+
+def test_vector_tiles_equal_plain_cosine(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(90)] + [(200, [0.0] * 5), (201, [1.0, 2.0]), (202, [])]
+    v = spark.createDataFrame(rows, "doc_id long, v array<double>")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.vector_topk(v, v.where("doc_id % 50 = 0").selectExpr("doc_id query_id", "v q"), 4, 0.25, 20, 1).collect()}
+    want = {}
+    norm = lambda x: sum(a * a for a in x) ** 0.5
+    for q, a in rows:
+        if q % 50 == 0 and norm(a):
+            near = sorted(((-round(sum(x * y for x, y in zip(a, b)) / norm(a) / norm(b), 6), d) for d, b in rows if d != q and len(a) == len(b) and norm(b)))
+            want |= {(q, d): -s for s, d in near[:4] if -s >= 0.25}
+    assert got == want and want
+
+
+def test_lookups_and_statistics(spark):
+    docs = spark.createDataFrame([(1, "done", 5), (2, "done", 9), (3, "pending", None)], "doc_id long, status string, processed long")
+    chunks = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "c")], "doc_id long, chunk_index int, chunk_text string")
+    assert [r["doc_id"] for r in ledger.recently_processed(docs, 1).collect()] == [2]
+    again, kept = ledger.requeue(docs, chunks, docs.where("doc_id = 2"))
+    assert {r["doc_id"]: r["status"] for r in again.collect()} == {1: "done", 2: "pending", 3: "pending"} and kept.count() == 2
+    assert [(r["place"], r["chunk_text"]) for r in ledger.chunks_of(chunks, docs.where("doc_id = 1")).orderBy("place").collect()] == [(1, "a"), (2, "b")]
+    assert {tuple(r) for r in ledger.queue_stats(docs, chunks).collect()} == {("done", 2, 2), ("pending", 1, 1), ("chunks", 3, 2)}
+    best = lambda full, short: spark.createDataFrame([(full, short)], "a string, b string").select(ledger.best_text(F.col("a"), F.col("b")).alias("t")).first()["t"]
+    assert best("x" * 31, "s") == "x" * 31 and best("short", "s") == "s" and best(None, None) == ""
+    names = spark.createDataFrame([("h", "scan_0001.pdf"), ("g", "lease.pdf"), ("f", "IMG 22.pdf")], "sha256_hash string, name string")
+    files_ = spark.createDataFrame([("h", "offer.pdf"), ("h", "scan2.pdf"), ("g", "z.pdf"), ("f", "0001.pdf")], "sha256_hash string, name string")
+    assert {tuple(r) for r in ledger.upgrade_names(names, files_).select("sha256_hash", "name").collect()} == {("h", "offer.pdf"), ("g", "lease.pdf"), ("f", "IMG 22.pdf")}
+    known = spark.createDataFrame([("/a", 1, "h")], "path string, mtime long, sha256_hash string")
+    seen = spark.createDataFrame([("/a", 1, "h"), ("/b", 1, "h"), ("/c", 2, "n"), ("/d", 3, "n")], "path string, mtime long, sha256_hash string")
+    assert {r["path"]: r["decision"] for r in ledger.ingest_decisions(seen, known, known).collect()} == {"/a": "unchanged", "/b": "exact_duplicate", "/c": "new", "/d": "exact_duplicate"}
+    family = ledger.with_family(docs.select("doc_id"), spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "parent_doc long, child_doc long"))
+    assert {r["doc_id"]: (r["parents"], r["children"]) for r in family.collect()} == {1: ([], [2, 3]), 2: ([1], [3]), 3: ([1, 2], [])}
+    assert [(r["node_id"], r["priority"]) for r in ledger.prioritised([spark.createDataFrame([("n", "x")], "node_id string, name string")] * 2).collect()] == [("n", 0), ("n", 1)]
+
+
+def test_keywords_phrases_and_precedence(spark):
+    docs = spark.createDataFrame([(1, "The rental agreement of a flat"), (2, "agreement rental"), (3, None), (4, "RENTAL-agreement, rent")], "doc_id long, text string")
+    kw = spark.createDataFrame([("lease", "rental agreement", False), ("lease", "flat", False), ("money", "rent", True)], "category string, keyword string, is_child boolean")
+    assert {(r["doc_id"], r["category"], r["hits"]) for r in taxonomy.keyword_hits(docs, kw).collect()} == {(1, "lease", 2), (4, "lease", 1), (4, "money", 1)}
+    held = lambda k, t: spark.createDataFrame([(t,)], "t string").select(taxonomy.keyword_in(k, F.col("t")).alias("v")).first()["v"]
+    assert held("rent", "the rent.") and not held("rent", "parents") and held("insurance", "reinsurances") and not held("a.b", "axb") and not held("x", None)
+    named = spark.createDataFrame([("my_cv.pdf", ""), ("x.pdf", "Your profile: ... Apply now"), ("x.pdf", "your profile only"), (None, None), ("discovery.pdf", "")], "n string, t string")
+    assert [r["c"] for r in named.select(taxonomy.precedence(F.col("n"), F.col("t")).alias("c")).collect()] == ["curriculum_vitae", "job_advert", None, None, None]
+
+
+def test_themes_without_a_depth_cap(spark):
+    parents = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(30)], "category string, parent string")
+    types = spark.createDataFrame([("c0",), ("c29",), ("odd invoice",), ("odd",)], "doc_type string")
+    got = taxonomy.theme_of(types, parents, spark.createDataFrame([("x", "y")], "alias string, category string"), ["c30"], [("invoice", "finance")])
+    assert {r["doc_type"]: r["theme"] for r in got.collect()} == {"c0": "c30", "c29": "c30", "odd invoice": "finance", "odd": "unclassified"}
+    tree = graph.descendants(spark.createDataFrame([("it's", None), *[(f"g{i}", f"g{i - 1}" if i else "it's") for i in range(25)], ("it's", "g24")], "geo_id string, parent_id string"), "it's")
+    assert {r["geo_id"]: r["level"] for r in tree.collect()} == {"it's": 0, **{f"g{i}": i + 1 for i in range(25)}}
+
+
+def test_obligations_and_their_fulfilment(spark):
+    docs = spark.createDataFrame([(1, "Rechnung, zahlbar bis 31.03.2024"), (2, "invoice of EUR 250.00"), (3, "invoice only"), (4, "please sign, due date: 2024-02-30"), (5, "we paid 250.00 to Alder"), (6, "Alder has signed"), (7, "a reply to Birch"), (8, "250.00 and Alder")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["action_type"], r["amount"] and float(r["amount"]), r["due"] and str(r["due"])) for r in actions.obligations(docs).collect()}
+    assert got == {1: ("payment", None, "2024-03-31"), 2: ("payment", 250.0, None), 4: ("signature", None, None)}
+    asked = spark.createDataFrame([(1, 2, "payment", None, 250.0, "pending"), (2, 4, "signature", "Alder", None, "pending"), (3, 9, "reply", "birch", None, "pending"), (4, 5, "payment", None, 250.0, "pending"), (5, 1, "payment", None, 250.0, "completed")], "action_id long, source_doc long, action_type string, party string, amount double, status string")
+    met = actions.fulfilment_candidates(asked, docs)
+    assert {tuple(r) for r in met.collect()} == {(1, 5, "payment"), (2, 6, "signature"), (3, 7, "reply")}
+    now, edges, audit = actions.fulfil(asked, met)
+    assert {r["action_id"]: r["status"] for r in now.collect()} == {1: "completed", 2: "completed", 3: "completed", 4: "pending", 5: "completed"}
+    assert {tuple(r) for r in edges.collect()} == {("doc_5", "action_1", "FULFILLS", 2.0), ("doc_6", "action_2", "FULFILLS", 2.0), ("doc_7", "action_3", "FULFILLS", 2.0)} and audit.count() == 3
 
 
 def test_ledger_merges(spark):
