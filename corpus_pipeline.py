@@ -50,7 +50,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Compression sizes and tokenizer ids have no SQL form; tests compare the stages with brute force.
+#: Compression sizes and tokenizer ids have no SQL form; tests compare the operators with brute force and count the stages' rows.
 ORACLE_SQL = None
 
 
