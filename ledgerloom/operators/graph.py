@@ -16,9 +16,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def node_stats(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes with degree and distinct documents; 0 where there is none."""
-    docs = links.groupBy("node_id").agg(F.countDistinct("doc").alias("docs"))
+def node_stats(nodes: DataFrame, edges: DataFrame, links: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """nodes with degree and distinct documents; 0 where there is none. With dates (doc, doc_date) also the latest one."""
+    counted = [F.countDistinct("doc").alias("docs")]
+    if dates is not None:
+        links = links.join(dates.groupBy("doc").agg(F.max("doc_date").alias("doc_date")), "doc", "left")
+        counted.append(F.max("doc_date").alias("latest"))
+    docs = links.groupBy("node_id").agg(*counted)
     return nodes.join(degrees(edges), "node_id", "left").join(docs, "node_id", "left").na.fill(0, ["degree", "docs"])
 
 
@@ -63,6 +67,16 @@ def stratified_nodes(stats: DataFrame, quota: int) -> DataFrame:
     return stats.withColumn("score", score).withColumn("r", F.row_number().over(order)).where(F.col("r") <= quota)
 
 
+def sampled_nodes(stats: DataFrame, quota: int, limit: int) -> DataFrame:
+    """The best `limit` of the nodes within their type's quota by 2 degree + 3 docs + 10 a year of the latest date since 2005.
+
+    stats has the column `latest`; without a date a node counts as of 2005. Ties go to the smaller node_id.
+    """
+    years = F.coalesce(F.year("latest"), F.lit(2005)) - 2005
+    kept = stratified_nodes(stats, quota).withColumn("overall", F.col("degree") * 2 + F.col("docs") * 3 + years * 10)
+    return kept.orderBy(F.desc("overall"), "node_id").limit(limit).drop("r")
+
+
 def stratified_documents(docs: DataFrame, per_theme: int) -> DataFrame:
     """One document per (theme, name), pending ones first, and at most per_theme of them a theme."""
     first = Window.partitionBy("theme", "name").orderBy(F.desc("pending"), "doc_id")
@@ -88,6 +102,17 @@ def consolidate(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.where("src <> dst").groupBy("src", "dst", "relation").agg(F.max("weight").alias("weight"))
 
 
+def consolidate_links(links: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Links (doc, node_id) with alias nodes replaced by canonical ones (alias, canonical), each once."""
+    moved = links.select("doc", "node_id").join(mapping.select(F.col("alias").alias("node_id"), "canonical"), "node_id", "left")
+    return moved.select("doc", F.coalesce("canonical", "node_id").alias("node_id")).distinct()
+
+
+def first_edges(edges: DataFrame, order: str) -> DataFrame:
+    """One edge per (src, dst, relation), the first by `order`; of equal places the one of the smallest weight."""
+    return edges.groupBy("src", "dst", "relation").agg(F.min_by("weight", F.struct(order, "weight")).alias("weight"))
+
+
 def mirror_by_slug_or_property(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (doc, key) to nodes by node_id or by a property: two equi-joins and a union instead of an OR."""
     by_id = links.join(nodes.select("node_id", F.col("node_id").alias("key")), "key").select("doc", "node_id")
@@ -95,18 +120,49 @@ def mirror_by_slug_or_property(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return by_id.union(by_property).distinct()
 
 
-def prune(nodes: DataFrame, edges: DataFrame, links: DataFrame, bad: Column, places: DataFrame, dry_run: bool = False):
-    """Deterministic pruning: parties named like a place become locations, bad orphans and their links go.
+#: Parts of the names of true contract types.
+CONTRACTS = (
+    "employment_contract", "lease_contract", "lease_agreement", "nda", "service_agreement", "consulting_agreement", "license_agreement",
+    "procurement_contract", "arbeitsvertrag", "mietvertrag", "dienstleistungsvertrag", "legal_contract",
+)
+
+#: Beginnings and parts of names that are no organisation and no person.
+BLACKLIST = {
+    "organization": r"^memory bank$|^data bank$|^power bank$|^piggy bank$|^court order|^order document regarding|^supreme court decision|^system architecture|^technical architecture|^table of contents|^general terms|^confidential|^all rights reserved|vor dem kantonsgericht|an das kantonsgericht|^verschiebung|^kontoauszug|^buchungsanzeige|^belastung|^gutschrift|^peugeot motocycles sa$",
+    "person": r"^table of contents|^executive summary|^general terms|^project manager|^software engineer|^managing director|^technical overview|^dear sir|^yours sincerely|^first party|^second party|^unterschrift|^signature|^signed by|^arbeitgeber|^arbeitnehmer|^vermieter|^mieter",
+}
+
 
-    Returns (nodes, edges, links), or with dry_run one row of counts.
+def noisy_name(name: Column) -> Column:
+    """Whether a name has a line break, under 2 or over 60 characters."""
+    return name.rlike(r"[\n\r]") | ~F.length(name).between(2, 60)
+
+
+def prune(nodes: DataFrame, edges: DataFrame, links: DataFrame, bad: Column, places: DataFrame, dry_run: bool = False, contracts=CONTRACTS, blacklist=BLACKLIST, parties=("party", "organization", "person")):
+    """Deterministic pruning of a graph by four rules, judged on each node in this order.
+
+    Contract types that name no contract become document categories; parties named like a place (name) become locations;
+    nodes that are `bad` and without an edge go, with their links; what remains of a type with a blacklist and matches it
+    goes with its edges and links. Returns (nodes, edges, links), or with dry_run one row of counts.
     """
-    named = places.select(F.lower("name").alias("_place")).distinct()
-    typed = nodes.join(named, F.lower("name") == F.col("_place"), "left").withColumn("retype", (F.col("node_type") == "party") & F.col("_place").isNotNull())
-    drop = orphans(nodes, edges).where(bad).select("node_id")
+    low = F.lower(F.trim("name"))
+    named = places.select(F.lower(F.trim("name")).alias("_place")).distinct()
+    alone = orphans(nodes, edges).select("node_id", F.lit(True).alias("_alone"))
+    is_contract = F.exists(F.array(*[F.lit(c) for c in contracts]), lambda c: F.replace(low, F.lit(" "), F.lit("_")).contains(c))
+    judged = nodes.join(named, low == F.col("_place"), "left").join(alone, "node_id", "left")
+    judged = judged.withColumn("_retyped", F.col("node_type").isin(*parties) & F.col("_place").isNotNull()).withColumn("_recategorised", (F.col("node_type") == "contract_type") & ~F.coalesce(is_contract, F.lit(False)))
+    judged = judged.withColumn("node_type", F.when(F.col("_retyped"), "location").when(F.col("_recategorised"), "document_category").otherwise(F.col("node_type")))
+    judged = judged.withColumn("_noise", F.col("_alone").isNotNull() & F.coalesce(bad, F.lit(False)))
+    listed = reduce(lambda a, b: a | b, [(F.col("node_type") == t) & low.rlike(p) for t, p in blacklist.items()], F.lit(False))
+    judged = judged.withColumn("_listed", ~F.col("_noise") & F.coalesce(listed, F.lit(False)))
     if dry_run:
-        return typed.select(F.sum(F.col("retype").cast("int")).alias("retyped")).crossJoin(drop.select(F.count(F.lit(1)).alias("dropped")))
-    kept = typed.withColumn("node_type", F.when(F.col("retype"), "location").otherwise(F.col("node_type"))).drop("_place", "retype").join(drop, "node_id", "left_anti")
-    return kept, edges, links.join(drop, "node_id", "left_anti")
+        count = lambda flag: F.coalesce(F.sum(F.col(flag).cast("long")), F.lit(0))
+        return judged.select(count("_recategorised").alias("recategorised"), count("_retyped").alias("retyped"), count("_noise").alias("dropped"), count("_listed").alias("blacklisted"))
+    gone = judged.where("_noise or _listed").select("node_id")
+    left = edges
+    for end in ("src", "dst"):
+        left = left.join(gone.select(F.col("node_id").alias(end)), end, "left_anti")
+    return judged.where("not _noise and not _listed").select(nodes.columns), left.select(edges.columns), links.join(gone, "node_id", "left_anti")
 
 
 def descendants(table: DataFrame, root: str) -> DataFrame:
@@ -154,13 +210,25 @@ def mirror_document_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, p
     return own.join(nodes.select("node_id"), "node_id", "left_semi").join(docs.select(F.col("doc").cast("string").alias("doc")), "doc", "left_semi").distinct()
 
 
-def bridge_isolated(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
-    """Edges from each node without one to the linked node that shares most documents with it; ties to the smaller id."""
+#: The relation of two nodes of which one has a type, the first that fits.
+BRIDGES = (("location", "LOCATED_IN"), ("statute", "SUBJECT_TO"), ("currency", "DENOMINATED_IN"), ("financial_pillar", "INVOLVES_PAYMENT"))
+
+
+def bridge_isolated(nodes: DataFrame, edges: DataFrame, links: DataFrame, bridges=BRIDGES, other: str = "CO_OCCURS") -> DataFrame:
+    """Edges from each node without one to the linked node that shares most documents with it; ties to the smaller id.
+
+    The relation follows from the two types by `bridges`, else it is `other`; the weight is the number of shared documents.
+    """
     alone = orphans(nodes, edges).select("node_id")
     near = shared_neighbours(links, alone)
-    best = near.groupBy("seed").agg(F.max("shared").alias("most"))
-    tied = near.join(best, "seed").where("shared = most")
-    return tied.groupBy(F.col("seed").alias("src")).agg(F.min("node_id").alias("dst"), F.max("shared").alias("weight"))
+    best = near.groupBy("seed").agg(F.min_by("node_id", F.struct(-F.col("shared"), "node_id")).alias("dst"), F.max("shared").alias("weight"))
+    typed = best.withColumnRenamed("seed", "src")
+    for end in ("src", "dst"):
+        typed = typed.join(nodes.select(F.col("node_id").alias(end), F.col("node_type").alias(f"_{end}")), end, "left")
+    relation = F.lit(other)
+    for node_type, name in reversed(bridges):
+        relation = F.when((F.col("_src") == node_type) | (F.col("_dst") == node_type), name).otherwise(relation)
+    return typed.select("src", "dst", relation.alias("relation"), "weight")
 
 
 def representativity(total: DataFrame, rendered: DataFrame, key: str) -> DataFrame:

@@ -12,14 +12,17 @@ from ledgerloom.operators.durable import durable
 def keyword_hits(docs: DataFrame, keywords: DataFrame, longest: int = 3) -> DataFrame:
     """(doc_id, category, is_child, hits): distinct keywords of a category (category, keyword, is_child) that a text holds.
 
-    A keyword is a word or a phrase of up to `longest` words; as a word run it must occur whole. The runs of a text that
-    no keyword equals never leave their row: the keyword list travels as one array.
+    A keyword is a word or a phrase of up to `longest` words; as a word run it must occur whole. Runs begin at first
+    words of keywords only, and those that no keyword equals never leave their row: the list travels as one array.
     """
-    listed = F.broadcast(keywords.agg(F.collect_set(F.lower("keyword")).alias("_asked"), F.coalesce(F.max(F.size(F.split("keyword", r"\s+"))), F.lit(1)).alias("_most")))  # one row
+    first = F.element_at(F.split(F.lower("keyword"), r"\s+"), 1)
+    most = F.coalesce(F.max(F.size(F.split("keyword", r"\s+"))), F.lit(1))
+    listed = F.broadcast(keywords.agg(F.collect_set(F.lower("keyword")).alias("_asked"), F.collect_set(first).alias("_first"), F.least(F.lit(longest), most).alias("_most")))  # one row
     w = F.col("_w")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("_most"), F.greatest(F.lit(1), F.size(w)))), lambda n: F.when(n == 1, w).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))))
-    seen = docs.select("doc_id", F.array_distinct(words(F.col("text"))).alias("_u"), words(F.col("text")).alias("_w")).crossJoin(listed)
-    found = F.array_intersect(F.when(F.col("_most") > 1, runs).otherwise(F.col("_u")), F.col("_asked"))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w))), lambda i: F.array_contains(F.col("_first"), F.get(w, i - 1)))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.col("_most"), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))
+    seen = docs.select("doc_id", words(F.col("text")).alias("_w")).crossJoin(listed)
+    found = F.array_intersect(F.when(F.col("_most") > 1, runs).otherwise(F.array_distinct(w)), F.col("_asked"))
     each = seen.select("doc_id", F.explode(found).alias("keyword"))
     return each.join(keywords.withColumn("keyword", F.lower("keyword")), "keyword").groupBy("doc_id", "category", "is_child").agg(F.count(F.lit(1)).alias("hits"))
 

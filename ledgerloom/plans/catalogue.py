@@ -518,9 +518,9 @@ def article_topics(spark, sf):
 _LIGHT = f"{fx.LINKS_SQL}, {fx.EDGES_SQL}, light as (select * from edges where weight >= 2), n as (select 'p' || p_partkey node_id from part union all select 's' || s_suppkey from supplier), alone as (select node_id from n where node_id not in (select src from light union select dst from light))"
 
 
-@query(f"with {_LIGHT}, nb as (select a.node_id seed, b.node_id, count(*) shared from links a join links b using (doc) where a.node_id in (from alone) and b.node_id not in (from alone) group by all) select seed src, min_by(node_id, (-shared, node_id)) dst, max(shared) weight from nb group by seed")
+@query(f"with {_LIGHT}, nb as (select a.node_id seed, b.node_id, count(*) shared from links a join links b using (doc) where a.node_id in (from alone) and b.node_id not in (from alone) group by all) select seed src, min_by(node_id, (-shared, node_id)) dst, case when seed[1] = 's' or min_by(node_id, (-shared, node_id))[1] = 's' then 'SUPPLIED_BY' else 'CO_OCCURS' end relation, max(shared) weight from nb group by seed")
 def bridged_nodes(spark, sf):
-    return graph.bridge_isolated(fx.nodes(spark, sf), fx.edges(spark, sf).where("weight >= 2"), fx.links(spark, sf))
+    return graph.bridge_isolated(fx.nodes(spark, sf), fx.edges(spark, sf).where("weight >= 2"), fx.links(spark, sf), bridges=(("supplier", "SUPPLIED_BY"),))
 
 
 @query("select 'd' || l_orderkey doc, 's' || l_suppkey node_id from lineitem join supplier on l_suppkey = s_suppkey where s_acctbal > 0 group by all")

@@ -31,18 +31,36 @@ def throughput(events: DataFrame, at: str = "ts", window: str = "60 seconds", la
 def queue(source: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, dead: str, checkpoint: str):
     """Run `work` on each micro-batch; rows with an `error` go to the dead-letter folder, the others to `out`.
 
-    Each batch overwrites its own folder, so a batch that is run again after a failure changes nothing.
+    Dead letters carry their number of failures (retries). Each batch overwrites its own folder, so a batch that is run
+    again after a failure changes nothing.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         done = work(batch).persist()
         done.where("error is null").drop("error").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        done.where("error is not null").write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
+        done.where("error is not null").withColumn("retries", F.lit(1)).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
         done.unpersist()
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def retry(letters: DataFrame, work: Callable[[DataFrame], DataFrame], most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(done, failed): `work` on dead letters that failed fewer than `most` times; what fails again counts one failure more.
+
+    Letters that failed `most` times stay as they are. `work` keeps the column retries.
+    """
+    again = work(letters.where(F.col("retries") < most).drop("error", "batch"))
+    spent = letters.where(F.col("retries") >= most).drop("batch")
+    failed = again.where("error is not null").withColumn("retries", F.col("retries") + 1)
+    return again.where("error is null").drop("error", "retries"), failed.unionByName(spent)
+
+
+def stranded(entries: DataFrame, now, seconds: int = 60) -> DataFrame:
+    """Queue entries (status, enqueued_at) whose work began more than `seconds` ago and never ended are pending again."""
+    late = (F.col("status") == "processing") & (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("enqueued_at") > seconds)
+    return entries.withColumn("status", F.when(late, "pending").otherwise(F.col("status")))
+
+
 def match_on_arrival(arrivals: DataFrame, open_actions: DataFrame, match: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str):
     """Join each micro-batch of documents with the open actions of that moment."""
 
