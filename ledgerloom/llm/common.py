@@ -62,15 +62,15 @@ class Workspace:
         target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def number_within(df: DataFrame, key: str, order: list[str], sizes: DataFrame, out: str, group_rows: int = 256, deal: Column | None = None) -> DataFrame:
+def number_within(df: DataFrame, key: str, order: list[str], sizes: DataFrame, out: str, group_rows: int = 256, deal: Column | None = None, few: bool = True) -> DataFrame:
     """Number the rows of each key from 0, in a pseudo-random but reproducible order.
 
     df: rows with a non-null `key`. sizes: one row (key, rows) per key, few enough to broadcast (the callers state
-    why). A key is split by `deal` (a long, else a hash of `order`) into sub-groups of about max(group_rows, sqrt(rows)) rows, each numbered
+    why) unless few is False. A key is split by `deal` (a long, else a hash of `order`) into sub-groups of about max(group_rows, sqrt(rows)) rows, each numbered
     by itself and shifted by the sizes of the sub-groups before it, so that no task holds a whole hot key.
     """
     parts = sizes.select(F.col(key).alias("_k"), F.greatest(F.lit(1), F.ceil(F.col("rows") / F.greatest(F.lit(float(group_rows)), F.sqrt("rows")))).cast("long").alias("_parts"))
-    dealt = df.join(F.broadcast(parts), df[key] == F.col("_k")).withColumn("_part", F.pmod(F.xxhash64(*order) if deal is None else deal, F.col("_parts"))).drop("_k", "_parts")
+    dealt = df.join(F.broadcast(parts) if few else parts, df[key] == F.col("_k")).withColumn("_part", F.pmod(F.xxhash64(*order) if deal is None else deal, F.col("_parts"))).drop("_k", "_parts")
     by_part = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select(F.col(key).alias("_bk"), F.col("_part").alias("_bp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -36,7 +36,7 @@ def fit(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_docume
     """Learn (language, labelled documents, dictionary) from labelled rows (doc_id, text, lang), most frequent first.
 
     A dictionary is the raw content of at most sample_documents texts of its language, in the order of a hash of
-    doc_id, cut at dictionary_bytes: that is the documented bound of the sample, and texts beyond it never reach the
+    doc_id and text, cut at dictionary_bytes: that is the documented bound of the sample, and texts beyond it never reach the
     driver. The counts, which break ties, cover all labelled rows. Rows with a null text or lang or with no letter teach
     nothing.
     """
@@ -47,9 +47,9 @@ def fit(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_docume
     if not counts:
         return []
     shares = docs.sparkSession.createDataFrame([(x, min(1.0, 4 * sample_documents / n)) for x, n in counts.items()], "lang string, share double")
-    drawn = F.xxhash64("doc_id", F.lit(5))
+    drawn = F.xxhash64("doc_id", "text", F.lit(5))
     some = known.join(F.broadcast(shares), "lang").withColumn("draw", drawn).where(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
     ranked = some.select("lang", "draw", "doc_id", F.substring("text", 1, dictionary_bytes).alias("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_documents)
     letters = F.sum(F.length(F.regexp_replace("text", r"[^\p{L}]+", " "))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     texts: dict[str, list] = {x: [] for x in counts}

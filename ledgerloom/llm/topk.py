@@ -63,9 +63,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
     good = good.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).withColumn("dim", F.size("v")).where("dim > 0")
     asked = good.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), "dim").agg(F.min("v").alias("v"))
     asked = asked.groupBy("query_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("query_id", "q.dim", "q.v")
-    n = good.count()
-    shards = max(1, -(-n // shard_tile))
-    tiles = max(1, -(-(n // every + 1) // query_tile))
+    shards = max(1, -(-good.count() // shard_tile))
+    tiles = max(1, -(-asked.count() // query_tile))
     left = good.select("dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), "vec_id", "v")
     right = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(tiles)).cast("int").alias("tile"), "query_id", "v")
     keys = ["dim", "shard", "tile"]

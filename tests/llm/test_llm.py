@@ -1,10 +1,13 @@
 """The training-data operators against brute force, on small tables with nulls, ties, repeats and odd columns."""
 
 import hashlib
+import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -32,46 +35,62 @@ def some_texts(n=120, seed=3):
 # Mixing -----------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shares", [{"a": 1, "b": 2, "c": 5}, {"a": 7, "b": 1}, {"a": 3, "b": 3, "c": 3, "d": 7}, {"a": 1}])
-def test_pfair_stays_within_one_block(shares):
-    period, slots = sum(shares.values()), mixing.pfair_period(shares)
-    assert sorted(x for s in slots.values() for x in s) == list(range(period))
-    for s, own in slots.items():
-        for t in range(period + 1):
-            assert abs(sum(x < t for x in own) - t * shares[s] / period) < 1
-
-
-def test_quanta_add_up():
-    for weights in ({"a": 1e-9, "b": 1.0}, {"a": 1, "b": 1, "c": 1}, {str(i): i + 1 for i in range(60)}):
-        got = mixing.quanta(weights, 1024)
-        assert sum(got.values()) == 1024 and min(got.values()) >= 1
-
-
-def test_phases_use_every_slot_once():
-    blocks = {"a": 500, "b": 3, "c": 70}
-    plan = mixing.plan_phases(blocks, {"a": 1, "b": 1, "c": 2}, 64)
-    used = [base + (i // share) * span + slots[i % share] for s, lo, hi, base, share, span, slots in plan for i in range(hi - lo)]
-    assert sorted(used) == list(range(573))
-    for s, n in blocks.items():
-        assert sum(hi - lo for x, lo, hi, *_ in plan if x == s) == n
+def brute_schedule(blocks, weights):
+    """Earliest deadline first over all sources at each slot, with exact fractions."""
+    left, out = {s: n for s, n in blocks.items() if n > 0}, []
+    while left:
+        share = {s: Fraction(weights[s]) for s in left}
+        total, given = sum(share.values()), dict.fromkeys(left, 0)
+        for slot in itertools.count():
+            due = {s: (given[s] + 1) * total / share[s] for s in left if math.floor(given[s] * total / share[s]) <= slot}
+            s = min(due, key=lambda s: (math.ceil(due[s]), due[s] == math.floor(due[s]), -share[s], str(s)))
+            out.append(s)
+            given[s] += 1
+            if given[s] == left[s]:
+                break
+        left = {s: n - given[s] for s, n in left.items() if n > given[s]}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_schedule_equals_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    blocks = {f"s{i}": int(n) for i, n in enumerate(rng.integers(0, 40, rng.integers(1, 12)))}
+    weights = {s: float(rng.integers(1, 4)) if seed % 2 else float(rng.random() + 1e-3) for s in blocks}
+    got = list(mixing.schedule(blocks, weights))
+    assert got == brute_schedule(blocks, weights) and Counter(got) == Counter({s: n for s, n in blocks.items() if n})
 
 
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": 1.0, "b": 0.0003, "c": 3**0.5}, {str(i): (i + 1) ** 0.5 for i in range(20)}])
-def test_phases_keep_the_exact_weights(weights):
+def test_schedule_keeps_the_exact_weights(weights):
     total = sum(weights.values())
     blocks = {s: math.ceil(60_000 * w / total) for s, w in weights.items()}
-    plan = mixing.plan_phases(blocks, weights)
-    ends = min(base for _, _, _, base, *_ in plan if base) if any(p[3] for p in plan) else sum(blocks.values())
-    assert ends > 50 * mixing.PERIOD
-    owner = np.empty(sum(blocks.values()), object)
-    for s, lo, hi, base, share, span, slots in plan:
-        for i in range(hi - lo):
-            owner[base + i // share * span + slots[i % share]] = s
+    owner = np.array(list(mixing.schedule(blocks, weights)), object)
+    ends = min(int(np.flatnonzero(owner == s)[-1]) for s in weights) + 1
+    assert len(owner) == sum(blocks.values()) and ends > 50_000
     for s, w in weights.items():
         given = np.cumsum(owner[:ends] == s)
         assert np.abs(given - np.arange(1, ends + 1) * w / total).max() < 1
 
 
+def test_schedule_of_many_sources_is_quick():
+    blocks = {f"s{i}": 1 + i % 128 for i in range(4096)}
+    began = time.time()
+    assert Counter(mixing.schedule(blocks, {s: n**0.5 for s, n in blocks.items()})) == Counter(blocks)
+    assert time.time() - began < 15
+
+
+def test_long_schedules_are_tables(spark):
+    sources = [f"s{i % 7}" for i in range(1500)]
+    df = docs_of(spark, ["t"] * 1500, sources)
+    plans = [mixing.mix(df, block_rows=2, period=16, local_slots=n).toPandas().sort_values("doc_id").reset_index(drop=True) for n in (1 << 20, 100)]
+    assert plans[0].equals(plans[1]) and plans[0]["mix_position"].is_unique
+    for n in (1 << 20, 100):
+        plan, small = mixing.stored_schedule(spark, {"a": 300, "b": 77}, {"a": 1, "b": 3}, 16, n)
+        assert small == (n > 377) and sorted(x for r in plan.collect() for x in r["_slots"]) == list(range(377))
+        assert all(len(r["_slots"]) <= 16 for r in plan.collect())
+
+
 def test_mix_places_every_block_in_its_slot(spark):
     sources = ["a"] * 700 + ["b"] * 1400 + ["c"] * 5
     got = mixing.mix(docs_of(spark, ["t"] * len(sources), sources), {"a": 1, "b": 2, "c": 0.001}, block_rows=1, period=16).toPandas().sort_values("mix_slot")
@@ -101,6 +120,19 @@ def test_mix_bounds_the_schedule(spark):
     assert got.groupby("mix_slot").size().max() == 20 and Counter(got["source"]) == Counter(sources)
 
 
+def test_query_tiles_follow_the_queries(spark):
+    """Ids that all ask give as many query tiles as they need."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(90, 4))
+    df = spark.createDataFrame([(100 * i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, k=3, query_tile=8, shard_tile=16)
+    plan = got._jdf.queryExecution().toString()
+    assert re.search(r"pmod\(xxhash64\(query_id[^)]*\), 12\)", plan)
+    q = np.floor(1024 * v).astype(int)
+    want = sorted((100 * i, r, 100 * j, int(s)) for i in range(90) for r, (s, j) in enumerate(sorted(((q[i] @ q[j], j) for j in range(90) if j != i), key=lambda x: (-x[0], x[1]))[:3], 1))
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 # Top-k ------------------------------------------------------------------------------------------------------------
 
 
@@ -201,6 +233,30 @@ def test_pii_leaves_clean_text(spark):
 # Secrets ----------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("mark", [" ", "\t", "\n", "( ", "(at ", "[", " at ", "a at ", "one ", "mail ", "@", "a@", "+1 ", "1.", "x.", "(dot)", " dot "])
+def test_pii_is_linear_in_long_runs(mark):
+    for text in (f"dot ( {mark * (1_000_000 // len(mark))}x", f"mail(at){mark * (1_000_000 // len(mark))}@x"):
+        began = time.time()
+        base = pii.find_base(text)
+        found = pii.find_disguised(text, base)
+        assert time.time() - began < 12 and all(0 <= s < e <= len(text) for s, _, e in found)
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n"])
+def test_pii_and_a_million_spaces(space):
+    run = space * 1_000_000
+    for text in (f"({run}x dot", f"a{run}(at){run}b.org dot", f"{run}[dot]{run}", f"a at{run}b dot c"):
+        began = time.time()
+        pii.find_disguised(text, pii.find_base(text))
+        assert time.time() - began < 1
+    text = f"jo{run}(at){run}x{run}(dot){run}org"
+    assert [text[s:e] for s, _, e in pii.find_disguised(text, [])] == [text]
+
+
+def test_pii_brackets_beside_each_other():
+    assert pii.with_space(pii._BRACKET_AT, "a (at)  (at) b") == [(1, 8), (8, 13)]
+
+
 def brute_secrets(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[1]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -317,6 +373,14 @@ def test_language(spark):
     assert langid.fit(df.limit(0)) == [] and langid.classify(df, []).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_under_one_doc_id(spark):
+    """A language whose texts share one doc_id is learnt too: the sample is drawn by doc_id and text."""
+    rows = [(7, f"el perro numero {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} come mucho pan con queso y la casa grande", "es") for i in range(6000)]
+    rows += [(i, f"the dog number {chr(97 + i % 26)} eats the bread and the cheese in the big house", "en") for i in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_documents=16)
+    assert {lang for lang, _, _ in model} == {"es", "en"}
+
+
 def test_sizes_cover_whole_texts():
     model = [("aa", 5, b" kalo miru tesan polik durane" * 40), ("bb", 4, b" schtum verl ungheit zwick brot" * 40)]
     tools = langid.compressors(model)
@@ -357,6 +421,17 @@ def test_sharding(spark):
     assert sharding.place(df.limit(0), "doc_id", odd).count() == 0
 
 
+def test_sharding_by_unequal_weights(spark):
+    for weights in ({"a": 1000, "b": 1}, {"a": 3, "b": 2, "c": 1}, {"b": 1, "a": 1000, "c": 500}):
+        slots = sharding.next_prime(sharding.least_slots(weights))
+        taken, total = Counter(sharding.fill_table(weights, slots)), sum(weights.values())
+        assert all(abs(taken[s] - slots * w / total) <= 2 and taken[s] > 0 for s, w in weights.items())
+    with pytest.raises(ValueError):
+        sharding.fill_table({"a": 1000, "b": 1}, 211)
+    with pytest.raises(ValueError):
+        sharding.place(spark.range(1), "id", {"a": 10**7, "b": 1})
+
+
 # Packing ----------------------------------------------------------------------------------------------------------
 
 
