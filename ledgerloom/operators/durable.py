@@ -1,18 +1,51 @@
-"""Cut the lineage of loops in the shared folder of spark.checkpoint.dir."""
+"""Intermediate tables of loops and of jobs that read a result more than once, in the shared folder of spark.checkpoint.dir."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder; a temporary folder only in local mode with the setting unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only in local mode with the setting unset."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerloom-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+class Workspace:
+    """Tables of one job in a folder of its own: a kept table ends the lineage, so a lost executor costs no recomputation.
+
+    As a context manager it removes its tables at the end; `result` keeps one table beyond that, which is left to the
+    cleaning of the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._path, self._n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df computed once, as a table of the workspace."""
+        self._n += 1
+        return self._written(df, f"{self._path}/{self._n}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df computed once, as a table that outlives the workspace."""
+        return self._written(df, f"{self._path}-result-{uuid.uuid4().hex}")
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        target = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)

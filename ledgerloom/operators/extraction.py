@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.features import is_clean_party
+from ledgerloom.operators.automaton import phrase_hits
 
 #: Words and signs of currencies, words of payments, and codes of statutes by abbreviation.
 CURRENCIES = [("CHF", "CHF|sFr|Franken", ""), ("EUR", "EUR|Euro", "€"), ("USD", "USD|US-Dollar", "$"), ("GBP", "GBP|Pound", "£"), ("JPY", "JPY|Yen", "¥")]
@@ -222,3 +223,33 @@ def statute_chunks(chunks: DataFrame, articles: DataFrame, per_language: int = 1
     order = Window.partitionBy("code", "article", "lang").orderBy("chunk_id")
     own = chunks.join(articles.select("code", "article").distinct(), ["code", "article"], "left_semi")
     return own.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r")
+
+
+def statute_mentions(chunks: DataFrame, articles: DataFrame, per_language: int = 1) -> DataFrame:
+    """(code, article, lang, chunk_id, by): the first chunks of each language for asked articles (code, article).
+
+    chunks: chunk_id (long or string), name (of its file), text. A chunk is of an article if its name ends with the binding key
+    `_code_article`, or `_code_art_article` (by "key"), or if its text holds "SR code" and "Art. article" as whole phrases
+    (by "text"); a key counts before a text. The language comes from the name (-DE. and so on), else from words of the text.
+    Keys are parsed once and looked up; phrases of all articles are met in one pass over the texts.
+    """
+    asked = articles.select("code", "article").distinct()
+    parsed = F.regexp_extract_all(F.lower("name"), F.lit(r"_([0-9]+(?:\.[0-9]+)?)_(?:art_)?([0-9]+[a-z]?)(?=$|[_.-])"), F.lit(0))
+    part = lambda n: F.regexp_extract("_k", r"_([0-9]+(?:\.[0-9]+)?)_(?:art_)?([0-9]+[a-z]?)", n)
+    by_key = chunks.select("chunk_id", F.explode(parsed).alias("_k")).select("chunk_id", part(1).alias("code"), part(2).alias("article"), F.lit("key").alias("by"))
+    of_code, of_article = F.concat(F.lit("sr "), F.lower("code")), F.concat(F.lit("art. "), F.lower("article"))
+    phrases = asked.select(of_code.alias("phrase")).union(asked.select(of_article.alias("phrase")))
+    held = phrase_hits(chunks, F.col("text"), phrases, key="chunk_id").where("whole > 0").groupBy("chunk_id").agg(F.collect_set("phrase").alias("_held"))  # distinct phrases of one chunk
+    codes, own = F.filter("_held", lambda p: p.startswith("sr ")), F.filter("_held", lambda p: p.startswith("art. "))
+    pairs = held.select("chunk_id", F.explode(codes).alias("_c"), own.alias("_own")).select("chunk_id", "_c", F.explode("_own").alias("_a"))
+    by_text = pairs.select("chunk_id", F.substring("_c", 4, 1000).alias("code"), F.substring("_a", 6, 1000).alias("article"), F.lit("text").alias("by"))
+    met = by_key.unionByName(by_text).join(asked, ["code", "article"], "left_semi").groupBy("code", "article", "chunk_id").agg(F.min("by").alias("by"))
+    told = met.join(chunks.select("chunk_id", chunk_language(F.col("name"), F.col("text")).alias("lang")), "chunk_id")
+    order = Window.partitionBy("code", "article", "lang").orderBy("by", "chunk_id")
+    return told.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language).select("code", "article", "lang", "chunk_id", "by")
+
+
+def chunk_language(name: Column, text: Column) -> Column:
+    """Language of a statute's chunk: a mark in the file name, else a German or English short title in the text, else French."""
+    marked = F.regexp_extract(F.lower(name), r"[-/](de|en|it|fr)(?=[./])", 1)
+    return F.when(marked != "", marked).when(text.contains(" (OR "), "de").when(text.contains(" (CO SR ") & text.contains("Federal"), "en").otherwise("fr")

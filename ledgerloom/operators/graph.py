@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.durable import durable
+from ledgerloom.operators.durable import Workspace
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -120,30 +120,18 @@ def mirror_by_slug_or_property(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return by_id.union(by_property).distinct()
 
 
-#: Parts of the names of true contract types.
-CONTRACTS = (
-    "employment_contract", "lease_contract", "lease_agreement", "nda", "service_agreement", "consulting_agreement", "license_agreement",
-    "procurement_contract", "arbeitsvertrag", "mietvertrag", "dienstleistungsvertrag", "legal_contract",
-)
-
-#: Beginnings and parts of names that are no organisation and no person.
-BLACKLIST = {
-    "organization": r"^memory bank$|^data bank$|^power bank$|^piggy bank$|^court order|^order document regarding|^supreme court decision|^system architecture|^technical architecture|^table of contents|^general terms|^confidential|^all rights reserved|vor dem kantonsgericht|an das kantonsgericht|^verschiebung|^kontoauszug|^buchungsanzeige|^belastung|^gutschrift|^peugeot motocycles sa$",
-    "person": r"^table of contents|^executive summary|^general terms|^project manager|^software engineer|^managing director|^technical overview|^dear sir|^yours sincerely|^first party|^second party|^unterschrift|^signature|^signed by|^arbeitgeber|^arbeitnehmer|^vermieter|^mieter",
-}
-
-
 def noisy_name(name: Column) -> Column:
     """Whether a name has a line break, under 2 or over 60 characters."""
     return name.rlike(r"[\n\r]") | ~F.length(name).between(2, 60)
 
 
-def prune(nodes: DataFrame, edges: DataFrame, links: DataFrame, bad: Column, places: DataFrame, dry_run: bool = False, contracts=CONTRACTS, blacklist=BLACKLIST, parties=("party", "organization", "person")):
+def prune(nodes: DataFrame, edges: DataFrame, links: DataFrame, bad: Column, places: DataFrame, contracts: list[str], blacklist: dict[str, str], dry_run: bool = False, parties=("party", "organization", "person")):
     """Deterministic pruning of a graph by four rules, judged on each node in this order.
 
     Contract types that name no contract become document categories; parties named like a place (name) become locations;
     nodes that are `bad` and without an edge go, with their links; what remains of a type with a blacklist and matches it
-    goes with its edges and links. Returns (nodes, edges, links), or with dry_run one row of counts.
+    goes with its edges and links. contracts: parts of the names of true contract types; blacklist: per node type a pattern
+    of names that are none. Returns (nodes, edges, links), or with dry_run one row of counts.
     """
     low = F.lower(F.trim("name"))
     named = places.select(F.lower(F.trim("name")).alias("_place")).distinct()
@@ -168,18 +156,19 @@ def prune(nodes: DataFrame, edges: DataFrame, links: DataFrame, bad: Column, pla
 def descendants(table: DataFrame, root: str) -> DataFrame:
     """A region and all below it from (geo_id, parent_id): geo_id, level (the smallest).
 
-    Level by level; a node met before is left out, so cycles end and no depth is too great. Each level is kept, and only
-    whether it is empty reaches the driver.
+    Level by level; a node met before is left out, so cycles end and no depth is too great. Each level is written once, and
+    only whether it is empty reaches the driver.
     """
     below = table.select("geo_id", "parent_id").where("parent_id is not null").distinct()
-    front = table.where(F.col("geo_id") == F.lit(root)).select("geo_id").distinct().withColumn("level", F.lit(0))
-    found, level = front, 0
-    while not front.isEmpty():
-        level += 1
-        met = front.select(F.col("geo_id").alias("parent_id")).join(below, "parent_id").select("geo_id").distinct()
-        front = durable(met.join(found.select("geo_id"), "geo_id", "left_anti").withColumn("level", F.lit(level)))
-        found = found.unionByName(front)
-    return found
+    with Workspace(table.sparkSession, "descendants") as work:
+        front = work.keep(table.where(F.col("geo_id") == F.lit(root)).select("geo_id").distinct().withColumn("level", F.lit(0)))
+        found, level = front, 0
+        while not front.isEmpty():
+            level += 1
+            met = front.select(F.col("geo_id").alias("parent_id")).join(below, "parent_id").select("geo_id").distinct()
+            front = work.keep(met.join(found.select("geo_id"), "geo_id", "left_anti").withColumn("level", F.lit(level)))
+            found = found.unionByName(front)
+        return work.result(found)
 
 
 def range_topics(articles: DataFrame, ranges: DataFrame, overrides: DataFrame, bin_size: int = 64) -> DataFrame:

@@ -6,25 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.features import words
-from ledgerloom.operators.durable import durable
+from ledgerloom.operators.automaton import phrase_hits
+from ledgerloom.operators.durable import Workspace
 
 
 def keyword_hits(docs: DataFrame, keywords: DataFrame, longest: int = 3) -> DataFrame:
     """(doc_id, category, is_child, hits): distinct keywords of a category (category, keyword, is_child) that a text holds.
 
-    A keyword is a word or a phrase of up to `longest` words; as a word run it must occur whole. Runs begin at first
-    words of keywords only, and those that no keyword equals never leave their row: the list travels as one array.
+    A keyword is a word or a phrase of up to `longest` words; it must occur as a run of whole words, whatever signs are
+    between them. The words of a text are met by one automaton of all keywords.
     """
-    first = F.element_at(F.split(F.lower("keyword"), r"\s+"), 1)
-    most = F.coalesce(F.max(F.size(F.split("keyword", r"\s+"))), F.lit(1))
-    listed = F.broadcast(keywords.agg(F.collect_set(F.lower("keyword")).alias("_asked"), F.collect_set(first).alias("_first"), F.least(F.lit(longest), most).alias("_most")))  # one row
-    w = F.col("_w")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w))), lambda i: F.array_contains(F.col("_first"), F.get(w, i - 1)))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.col("_most"), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))
-    seen = docs.select("doc_id", words(F.col("text")).alias("_w")).crossJoin(listed)
-    found = F.array_intersect(F.when(F.col("_most") > 1, runs).otherwise(F.array_distinct(w)), F.col("_asked"))
-    each = seen.select("doc_id", F.explode(found).alias("keyword"))
-    return each.join(keywords.withColumn("keyword", F.lower("keyword")), "keyword").groupBy("doc_id", "category", "is_child").agg(F.count(F.lit(1)).alias("hits"))
+    spaced = F.array_join(words(F.col("text")), " ")
+    asked = keywords.withColumn("keyword", F.lower("keyword")).where(F.size(F.split("keyword", r"\s+")) <= longest).distinct()
+    found = phrase_hits(docs, spaced, asked.select(F.col("keyword").alias("phrase"))).where("whole > 0").select("doc_id", F.col("phrase").alias("keyword")).distinct()
+    return found.join(asked, "keyword").groupBy("doc_id", "category", "is_child").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def stem_hits(docs: DataFrame, keywords: DataFrame, stem: int = 6, whole_only: tuple[str, ...] = ()) -> DataFrame:
+    """As keyword_hits, over file name, path and text as they are written: a keyword counts as a whole word or phrase, and
+    within a longer word too if it has at least `stem` characters and is none of whole_only.
+
+    docs: doc_id, text and, if there are such columns, filename and path.
+    """
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("filename", "path", "text") if c in docs.columns]
+    asked = keywords.withColumn("keyword", F.lower(F.trim("keyword"))).distinct()
+    parts = (F.length("phrase") >= stem) & ~F.col("phrase").isin(*whole_only) if whole_only else F.length("phrase") >= stem
+    found = phrase_hits(docs, F.concat_ws("\n", *own), asked.select(F.col("keyword").alias("phrase"))).where((F.col("whole") > 0) | parts)
+    return found.select("doc_id", F.col("phrase").alias("keyword")).distinct().join(asked, "keyword").groupBy("doc_id", "category", "is_child").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def keyword_in(keyword: str, text: Column, stem: int = 6) -> Column:
@@ -55,12 +63,16 @@ def precedence(name: Column, text: Column, rules=PRECEDENCE) -> Column:
     return out
 
 
-def classify(docs: DataFrame, keywords: DataFrame, floor: float = 0.5) -> DataFrame:
-    """Best category per document: min(.95, .72 + .08 hits) + .05 for a child category, over the floor; ties by name."""
+def classify(docs: DataFrame, keywords: DataFrame, floor: float = 0.5, stem: int | None = None, whole_only: tuple[str, ...] = ()) -> DataFrame:
+    """Best category per document: min(.95, .72 + .08 hits) + .05 for a child category, over the floor; ties by name.
+
+    Hits are those of stem_hits if `stem` is given, else of keyword_hits.
+    """
     confidence = F.round(F.least(F.lit(0.95), 0.72 + 0.08 * F.col("hits")) + 0.05 * F.col("is_child").cast("int"), 4)
-    order = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "category")
-    scored = keyword_hits(docs, keywords).withColumn("confidence", confidence).where(F.col("confidence") > floor)
-    return scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("doc_id", "category", "hits", "confidence")
+    hits = keyword_hits(docs, keywords) if stem is None else stem_hits(docs, keywords, stem, whole_only)
+    scored = hits.withColumn("confidence", confidence).where(F.col("confidence") > floor)
+    best = scored.groupBy("doc_id").agg(F.min(F.struct(-F.col("confidence"), "category", "hits", "confidence")).alias("b"))
+    return best.select("doc_id", "b.category", "b.hits", "b.confidence")
 
 
 def label_breakdown(docs: DataFrame, labels: dict[str, str], group: str) -> DataFrame:
@@ -72,9 +84,14 @@ def label_breakdown(docs: DataFrame, labels: dict[str, str], group: str) -> Data
 
 
 def mentions(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Entity links from a gazetteer (term, node_id, confidence): the highest confidence per document and node."""
-    seen = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    return seen.join(rules, "term").groupBy("doc_id", "node_id").agg(F.max("confidence").alias("confidence"))
+    """Entity links from a gazetteer (term, node_id, confidence): the highest confidence per document and node.
+
+    A term is a word or a run of words of any length, met by whole words whatever signs are between them.
+    """
+    spaced = F.array_join(words(F.col("text")), " ")
+    known = rules.select(F.array_join(words(F.col("term")), " ").alias("phrase"), "node_id", "confidence")
+    found = phrase_hits(docs, spaced, known.select("phrase")).where("whole > 0").select("doc_id", "phrase")
+    return found.join(known, "phrase").groupBy("doc_id", "node_id").agg(F.max("confidence").alias("confidence"))
 
 
 def reclassify(df: DataFrame, rules: list[tuple[str, Column, str, float]]) -> DataFrame:
@@ -116,24 +133,42 @@ def theme_counts(themes: DataFrame) -> DataFrame:
     return themes.groupBy("theme").agg(F.count(F.lit(1)).alias("docs"))
 
 
+def ancestors(parents: DataFrame, roots: list[str]) -> DataFrame:
+    """(category, top): where the climb from each category ends: at a root, or at a category without a parent; null on a cycle.
+
+    Of several parents the smallest by name counts. Each round doubles the steps of every category, so a chain of n
+    categories needs about log2(n) rounds and so does a cycle; what has not ended by then never does. Each round is
+    written once; the driver sees a count a round.
+    """
+    spark = parents.sparkSession
+    with Workspace(spark, "ancestors") as work:
+        one = parents.where("category is not null").groupBy("category").agg(F.min("parent").alias("parent"))
+        known = one.select("category", "parent").unionByName(one.where("parent is not null").select(F.col("parent").alias("category"), F.lit(None).cast("string").alias("parent")))
+        given = known.groupBy("category").agg(F.min("parent").alias("parent"))
+        ended = F.col("category").isin(roots) | F.col("parent").isNull()
+        at = work.keep(given.select("category", F.when(ended, F.col("category")).otherwise(F.col("parent")).alias("top"), ended.alias("ended")))
+        for _ in range(at.count().bit_length() + 1):
+            ahead = at.select(F.col("category").alias("_c"), F.col("top").alias("_top"), F.col("ended").alias("_ended"))
+            at = work.keep(at.join(ahead, F.col("top") == F.col("_c"), "left").select("category", F.coalesce("_top", "top").alias("top"), (F.col("ended") | F.coalesce("_ended", F.lit(False))).alias("ended")))
+            if at.where(~F.col("ended")).isEmpty():
+                break
+        return work.result(at.select("category", F.when(F.col("ended"), F.col("top")).alias("top")))
+
+
 def theme_of(types: DataFrame, parents: DataFrame, aliases: DataFrame, roots: list[str], cues: list[tuple[str, str]] = ()) -> DataFrame:
     """Root theme of each distinct document type: alias, then up the parents to a root, then by cue words (word, theme).
 
-    The climb goes on until no type moves, at most as often as there are categories, so that cycles end and no depth is
-    too great. A type that reaches no root takes the theme of the first cue that its name contains, else "unclassified".
+    One row a type: of several aliases and of several parents the smallest counts, and cycles end (ancestors). A type that
+    reaches no root takes the theme of the first cue that its name contains, else "unclassified"; a null type is left out.
     """
-    at = types.select("doc_type").distinct().join(aliases, F.lower("doc_type") == F.col("alias"), "left").select("doc_type", F.coalesce("category", F.lower("doc_type")).alias("node"))
-    up = parents.select(F.col("category").alias("_c"), "parent").where("parent is not null")
-    for step in range(1, parents.select("category").distinct().count() + 1):
-        at = at.join(up, (F.col("node") == F.col("_c")) & ~F.col("node").isin(roots), "left").select("doc_type", F.coalesce("parent", "node").alias("node"))
-        if step % 8 == 0:
-            at = durable(at)
-            if at.where(~F.col("node").isin(roots)).join(up, F.col("node") == F.col("_c"), "left_semi").isEmpty():
-                break
+    known = aliases.groupBy(F.lower("alias").alias("_alias")).agg(F.min("category").alias("_of"))
+    at = types.select("doc_type").where("doc_type is not null").distinct().join(known, F.lower("doc_type") == F.col("_alias"), "left").select("doc_type", F.coalesce("_of", F.lower("doc_type")).alias("node"))
+    top = ancestors(parents, roots).withColumnRenamed("category", "_c")
     cue = F.lit("unclassified")
     for word, theme in reversed(list(cues)):
         cue = F.when(F.lower("doc_type").contains(word), F.lit(theme)).otherwise(cue)
-    return at.select("doc_type", F.when(F.col("node").isin(roots), F.col("node")).otherwise(cue).alias("theme"))
+    end = F.when(F.col("_c").isNull(), F.col("node")).otherwise(F.col("top"))
+    return at.join(top, F.col("node") == F.col("_c"), "left").select("doc_type", F.when(end.isin(roots), end).otherwise(cue).alias("theme"))
 
 
 def nearest_folder_category(paths: DataFrame, rules: DataFrame, depth: int = 3) -> DataFrame:

@@ -8,6 +8,9 @@ from ledgerloom.operators import graph
 from ledgerloom.streaming import jobs
 
 
+CONTRACTS, BLACKLIST = ["lease_contract"], {"organization": "^memory bank$", "person": "^dear sir"}
+
+
 def test_pruning_rules(spark):
     nodes = spark.createDataFrame(
         [("c1", "contract_type", "Lease Contract 2"), ("c2", "contract_type", "Invoice"), ("o1", "organization", "Baar "), ("o2", "organization", "Memory Bank"), ("p1", "person", "memory bank"), ("p2", "person", "Dear Sir X"), ("x", "person", "a\nb"), ("y", "person", "c\nd"), ("n", "organization", None)],
@@ -17,11 +20,11 @@ def test_pruning_rules(spark):
     links = spark.createDataFrame([("d", n) for n in ("o2", "p2", "x", "y", "c1")], "doc string, node_id string")
     places = spark.createDataFrame([("baar",), (None,)], "name string")
     bad = graph.noisy_name(F.col("name"))
-    assert graph.prune(nodes, edges, links, bad, places, dry_run=True).first().asDict() == {"recategorised": 1, "retyped": 1, "dropped": 1, "blacklisted": 2}
-    kept, left, linked = graph.prune(nodes, edges, links, bad, places)
+    assert graph.prune(nodes, edges, links, bad, places, CONTRACTS, BLACKLIST, dry_run=True).first().asDict() == {"recategorised": 1, "retyped": 1, "dropped": 1, "blacklisted": 2}
+    kept, left, linked = graph.prune(nodes, edges, links, bad, places, CONTRACTS, BLACKLIST)
     assert {(r["node_id"], r["node_type"]) for r in kept.collect()} == {("c1", "contract_type"), ("c2", "document_category"), ("o1", "location"), ("p1", "person"), ("y", "person"), ("n", "organization")}
     assert {(r["src"], r["dst"]) for r in left.collect()} == {("c1", "p1"), ("y", "c1")} and {r["node_id"] for r in linked.collect()} == {"y", "c1"}
-    assert graph.prune(nodes.limit(0), edges, links, bad, places, dry_run=True).first()["retyped"] == 0
+    assert graph.prune(nodes.limit(0), edges, links, bad, places, CONTRACTS, BLACKLIST, dry_run=True).first()["retyped"] == 0
 
 
 def test_recency_and_bridges(spark):
