@@ -1,19 +1,14 @@
-"""Streams: watch, dedup, throughput, queue with dead letters, matching on arrival."""
+"""Streams: dedup of events, throughput, retries, matching on arrival."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-
-
-def watch(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
-    """New files below a root. The file source knows paths only; changed files are found by operators.ledger.changes."""
-    return spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).load(root)
-
+from ledgerloom.streaming.watch import run_id
 
 def enqueue_once(events: DataFrame, key: str, at: str = "ts", lateness: str = "10 minutes") -> DataFrame:
     """First event of each key within the watermark; on a batch table simply one row a key."""
@@ -28,22 +23,6 @@ def throughput(events: DataFrame, at: str = "ts", window: str = "60 seconds", la
     return timed.groupBy(F.window(at, window), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
 
 
-def queue(source: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, dead: str, checkpoint: str):
-    """Run `work` on each micro-batch; rows with an `error` go to the dead-letter folder, the others to `out`.
-
-    Dead letters carry their number of failures (retries). Each batch overwrites its own folder, so a batch that is run
-    again after a failure changes nothing.
-    """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        done = work(batch).persist()
-        done.where("error is null").drop("error").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        done.where("error is not null").withColumn("retries", F.lit(1)).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
-        done.unpersist()
-
-    return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def retry(letters: DataFrame, work: Callable[[DataFrame], DataFrame], most: int = 3) -> tuple[DataFrame, DataFrame]:
     """(done, failed): `work` on dead letters that failed fewer than `most` times; what fails again counts one failure more.
 
@@ -61,10 +40,22 @@ def stranded(entries: DataFrame, now, seconds: int = 60) -> DataFrame:
     return entries.withColumn("status", F.when(late, "pending").otherwise(F.col("status")))
 
 
-def match_on_arrival(arrivals: DataFrame, open_actions: DataFrame, match: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str):
-    """Join each micro-batch of documents with the open actions of that moment."""
+def match_on_arrival(arrivals: DataFrame, open_actions: Callable[[], DataFrame], match: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str, **trigger):
+    """Match each micro-batch of documents with the actions that are open by then; an action is fulfilled once over all batches.
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        match(open_actions, batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    open_actions gives the actions (action_id) at the time of a batch; match takes (actions, documents) and returns one row
+    an action at most (operators.actions.first_matches). What earlier batches fulfilled, by the rows below `out`, no longer
+    takes part. A batch writes under its own name and does not read it, so running it again changes nothing.
+    """
+    run, spark = run_id(checkpoint), arrivals.sparkSession
 
-    return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def step(batch: DataFrame, batch_id: int) -> None:
+        own, actions = f"{run}-{batch_id}", open_actions()
+        try:
+            before = spark.read.parquet(out).where(F.col("part") != own).select("action_id").distinct()
+            actions = actions.join(before, "action_id", "left_anti")
+        except AnalysisException:  # nothing was written yet
+            pass
+        match(actions, batch).write.mode("overwrite").parquet(f"{out}/part={own}")
+
+    return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

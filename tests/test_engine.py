@@ -282,16 +282,6 @@ def test_streams(spark, tmp_path):
     q = jobs.enqueue_once(read(), "event_id").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == 30
-    work = lambda b: b.withColumn("error", F.when(F.col("event_type") == "b", "bad"))
-    jobs.queue(read(), work, str(tmp_path / "out"), str(tmp_path / "dead"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 30 and spark.read.parquet(str(tmp_path / "dead")).count() == 1
-    jobs.queue(read(), work, str(tmp_path / "out"), str(tmp_path / "dead"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
-    (tmp_path / "drop").mkdir()
-    (tmp_path / "drop" / "n.txt").write_text("new")
-    q = jobs.watch(spark, str(tmp_path / "drop")).select("path").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("seen").count() == 1
 
 
 def test_entry_works_without_the_training_operators(tmp_path):
