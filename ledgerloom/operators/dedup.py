@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,25 +40,66 @@ def near_pairs(groups: DataFrame, k: int = 3, extra: int = 3) -> DataFrame:
     return met.select("a", "b", "docs_a", "docs_b", hamming(F.col("sa"), F.col("sb")).alias("distance")).distinct().withColumn("similarity", similarity(F.col("distance")))
 
 
-def near_links(groups: DataFrame, k: int = 8, tile_rows: int = 4096) -> DataFrame:
+def radii(k: int, blocks: int) -> list[int]:
+    """Differing bits per block of which two values within k bits keep at least one: their sum, each plus one, is k + 1."""
+    base, more = divmod(k + 1 - blocks, blocks)
+    return [base + (i < more) for i in range(blocks)]
+
+
+def _cuts(blocks: int) -> list[int]:
+    return [round(64 * i / blocks) for i in range(blocks + 1)]
+
+
+def probes(k: int, blocks: int) -> list[list[int]]:
+    """Per block the masks of up to its radius of set bits."""
+    cuts = _cuts(blocks)
+    return [[sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(cuts[i], cuts[i + 1]), r)] for i, radius in enumerate(radii(k, blocks))]
+
+
+def best_blocks(n: int, k: int) -> int:
+    """The number of blocks at which looking up and comparing cost least for n values of evenly spread bits."""
+
+    def cost(m: int) -> float:
+        cuts = _cuts(m)
+        return sum(sum(comb(cuts[i + 1] - cuts[i], r) for r in range(radius + 1)) * (1 + n / 2.0 ** (cuts[i + 1] - cuts[i])) for i, radius in enumerate(radii(k, m)))
+
+    return min(range(2, min(8, k + 1) + 1), key=cost)
+
+
+def near_candidates(groups: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
+    """Pairs (sa, a, sb, b) of distinct fingerprints that may lie within k bits, each once, and all that do.
+
+    Multi-index hashing: the 64 bits are cut into blocks, and two values within k bits differ in one of them by no more
+    than its radius (the radii, each plus one, sum to k + 1). One side looks up every value that its block may have
+    become, the other lists its blocks, so they meet by equality; a pair that meets in several blocks is kept at the first.
+    """
+    m = best_blocks(groups.count(), k) if blocks is None else blocks
+    cuts, masks = _cuts(m), probes(k, m)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    of_block = lambda c, i: c.bitwiseAND(F.lit(signed(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i])))
+    s = F.col("simhash")
+    index = groups.select(F.explode(F.array(*[F.struct(F.lit(i).alias("block"), of_block(s, i).alias("value")) for i in range(m)])).alias("key"), s.alias("sb"), F.col("first_doc").alias("b")).select("key.block", "key.value", "sb", "b")
+    table = groups.sparkSession.createDataFrame([(i, [signed(x) for x in own]) for i, own in enumerate(masks)], "block int, masks array<long>")  # a few thousand numbers
+    asked = groups.select(s.alias("sa"), F.col("first_doc").alias("a")).crossJoin(F.broadcast(table))
+    pick = F.element_at(F.array(*[of_block(F.col("sa"), i) for i in range(m)]), F.col("block") + 1)
+    asked = asked.select("block", F.explode(F.transform("masks", lambda x: x.bitwiseXOR(pick))).alias("value"), "sa", "a")
+    met = asked.join(index, ["block", "value"]).where(F.col("a") < F.col("b"))
+    fits = [F.when(F.bit_count(of_block(F.col("sa").bitwiseXOR(F.col("sb")), i)) <= r, F.lit(i)) for i, r in enumerate(radii(k, m))]
+    return met.where(F.coalesce(*fits) == F.col("block")).select("sa", "a", "sb", "b")
+
+
+def near_links(groups: DataFrame, k: int = 8, blocks: int | None = None) -> DataFrame:
     """Per distinct fingerprint (first_doc, docs): how many others lie within k bits (links) and how far the nearest is.
 
-    For distances at which blocks of equal bits no longer select: fingerprints are dealt into tiles, every pair of tiles
-    meets once in one task's join on its number, and only counts leave it. The work is quadratic in distinct
-    fingerprints; each of them travels once per tile.
+    Only candidates of near_candidates are compared, and only counts leave the join.
     """
-    n = groups.count()
-    tiles = max(1, -(-n // tile_rows))
-    dealt = groups.withColumn("tile", F.pmod(F.xxhash64("simhash"), F.lit(tiles)).cast("int"))
-    numbers = F.sequence(F.lit(0), F.lit(tiles - 1))
-    a = dealt.select(F.explode(F.filter(numbers, lambda t: t >= F.col("tile"))).alias("other"), "tile", F.col("simhash").alias("sa"), F.col("first_doc").alias("a"))
-    b = dealt.select(F.col("tile").alias("other"), F.explode(F.filter(numbers, lambda t: t <= F.col("tile"))).alias("tile"), F.col("simhash").alias("sb"), F.col("first_doc").alias("b"))
-    near = (hamming(F.col("sa"), F.col("sb")) <= k) & ((F.col("tile") < F.col("other")) | (F.col("sa") < F.col("sb")))
-    met = a.join(b, ["tile", "other"]).where(near).select("a", "b", hamming(F.col("sa"), F.col("sb")).alias("d"))
+    d = hamming(F.col("sa"), F.col("sb"))
+    met = near_candidates(groups, k, blocks).where(d <= k).select("a", "b", d.alias("d"))
     ends = met.select(F.explode(F.array("a", "b")).alias("first_doc"), "d").groupBy("first_doc").agg(F.count(F.lit(1)).alias("links"), F.min("d").alias("nearest"))
     return groups.select("first_doc", "docs").join(ends, "first_doc", "left").na.fill(0, ["links"])
 
 
+
 def recent_links(links: DataFrame, order: list, limit: int) -> DataFrame:
     """The most recent lineage edges."""
     return links.orderBy(*order).limit(limit)

@@ -11,6 +11,7 @@ from ledgerloom.operators import taxonomy
 from ledgerloom.plans import catalogue as C
 from ledgerloom.plans import fixtures as fx
 from ledgerloom.plans.registered import query, values
+from ledgerloom.sources import statutes
 
 STEMS = [("secrets", "password", False), ("secrets", "token", False), ("secrets", "secret key", True), ("notes", "draft", False), ("notes", "final", False), ("licence", "license", False), ("licence", "licen", False), ("licence", "permission is hereby", True), ("suffix", "schaft", False), ("suffix", "mente", True), ("suffix", "station", False), ("words", "because", True), ("words", "that", False)]
 WHOLE_ONLY = ("because", "license")
@@ -84,3 +85,29 @@ def statute_mentions(spark, sf):
     text = F.when(n % 3 == 1, F.concat(F.lit("By Art. "), article, F.lit(" (SR "), code, F.lit(") it holds"))).when(n % 3 == 2, F.concat(F.lit("SR "), code, F.lit(" as a whole")))
     chunks = fx.table(spark, sf, "pages").select(n.alias("chunk_id"), name.alias("name"), text.alias("text"), code.alias("code"), article.alias("article"))
     return E.statute_mentions(chunks, chunks.where("cast(article as int) % 2 = 0"))
+
+
+def _xml(spark, sf):
+    """Pages as statutes: two articles with text in a chapter of a part, one without, one outside of all levels."""
+    escaped = F.replace(F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    n = F.col("page_id").cast("string")
+    article = lambda number, own, *texts: F.concat(F.lit("<article><num>Art. "), number, F.lit("</num>"), F.lit(f"<heading>{own}</heading>" if own else ""), *[F.concat(F.lit("<paragraph><p>"), t, F.lit("</p></paragraph>")) for t in texts], F.lit("</article>"))
+    content = F.concat(
+        F.lit("<act xmlns='x'><docTitle>Act "), n, F.lit("</docTitle>"), article(F.lit("1"), None, F.lit("alone")), F.lit("<part><heading>Part "), (F.col("page_id") % 3).cast("string"), F.lit("</heading><chapter><heading>Chapter "), (F.col("page_id") % 5).cast("string"),
+        F.lit("</heading><level><heading>Level</heading>"), article(n, None, escaped, F.lit("second")), article(F.lit("3"), "empty"), article(F.lit("4"), "Own", F.lit("own text")), F.lit("</level></chapter></part></act>"),
+    )
+    path = F.concat(F.lit("/x/SR-"), (F.col("page_id") % 7 + 100).cast("string"), F.lit("-2024-"), F.when(F.col("page_id") % 2 == 0, "DE").otherwise("EN"), F.lit(".xml"))
+    return fx.table(spark, sf, "pages").select(path.alias("path"), content.cast("binary").alias("content"))
+
+
+LAWS = [("100", "de", "Grundgesetz", "GG"), ("101", "en", "Code", "C"), ("102", "de", "Ordnung", "O")]
+
+
+@query(
+    f"with c(code, lang, title, short) as (values {values(LAWS)}), p as (select page_id, (page_id % 7 + 100)::varchar code, case when page_id % 2 = 0 then 'de' else 'en' end lang, url from pages), "
+    "a as (select *, 0 n, 'Art. 1' number, '' heading, '' chapter, '' part, 'alone' t from p union all select *, 1, 'Art. ' || page_id, 'Level', 'Chapter ' || page_id % 5, 'Part ' || page_id % 3, url || ' second' from p union all select *, 3, 'Art. 4', 'Own', 'Chapter ' || page_id % 5, 'Part ' || page_id % 3, 'own text' from p) "
+    "select n, a.code, a.lang, number, a.code || '_' || number binding_key, heading, chapter, part, 'passage: ' || coalesce(title, 'Act ' || page_id) || ' (' || coalesce(short || ' ', '') || 'SR ' || a.code || '), ' || number || case when heading <> '' then ' — ' || heading else '' end || ': ' || t passage from a left join c on a.code = c.code and a.lang = c.lang"
+)
+def statute_articles(spark, sf):
+    laws = spark.createDataFrame(LAWS, "code string, lang string, title string, short string")
+    return statutes.statutes(_xml(spark, sf), laws).select("n", "code", "lang", "number", "binding_key", "heading", "chapter", "part", "passage")

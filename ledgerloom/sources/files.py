@@ -10,6 +10,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,19 +85,40 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, EXTRACT_SCHEMA)
 
 
-def articles(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a legal XML: number, heading, paragraphs and the key code/article from the file's name."""
-    raw = spark.read.format("xml").option("rowTag", "article").schema("num string, heading string, paragraph array<struct<p:string>>").load(path)
-    code = F.regexp_extract("_metadata.file_path", r"([A-Za-z0-9]+)_[a-z]{2}\.xml$", 1)
-    number = F.regexp_extract("num", "[0-9]+[a-z]*", 0)
-    return raw.select(code.alias("code"), number.alias("number"), "heading", F.transform("paragraph", lambda p: p["p"]).alias("paragraphs"), F.concat_ws("/", code, number).alias("binding_key"))
+_TAG = re.compile(r"<(?:!--|(script|style)\b[^<>]*>|[!/?A-Za-z][^<>]*>)", re.I)
+
+
+def visible(html: str) -> str:
+    """Text of a page without comments, scripts, styles and tags; entities are resolved, white space is one blank.
+
+    A tag ends at its sign and never goes beyond the next one's beginning; what a comment, script or style leaves open is
+    not shown. Linear in the page, whatever it holds.
+    """
+    out, at, low = [], 0, html.lower()
+    while m := _TAG.search(html, at):
+        out.append(html[at : m.start()])
+        if m[0] == "<!--":
+            end = html.find("-->", m.end())
+            at = len(html) if end < 0 else end + 3
+        elif m[1]:
+            end = low.find(f"</{m[1].lower()}", m.end())
+            close = -1 if end < 0 else html.find(">", end)
+            at = len(html) if close < 0 else close + 1
+        else:
+            at = m.end()
+    out.append(html[at:])
+    return " ".join(unescape(" ".join(out)).split())
 
 
 def markup_text(pages: DataFrame) -> DataFrame:
-    """Visible text of HTML without scripts, styles and tags."""
-    clean = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    clean = F.regexp_replace(F.regexp_replace(clean, r"(?s)<[^>]+>", " "), r"&[a-z]+;", " ")
-    return pages.select("page_id", F.trim(F.regexp_replace(clean, r"\s+", " ")).alias("text"))
+    """(page_id, text): visible text of HTML pages (page_id, html); a null page has an empty text."""
+
+    @F.pandas_udf("string")
+    def text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in pages:
+            yield pd.Series([visible(h or "") for h in batch], dtype=object)
+
+    return pages.select("page_id", text("html").alias("text"))
 
 
 def code_and_language(path: Column) -> Column:

@@ -264,10 +264,6 @@ def test_scan_and_extract(spark, tmp_path):
     assert ledger.changes(hashed, hashed).count() == 0
     held = spark.createDataFrame([("/r/scan_0001.txt", "2024-01-01 00:00:00"), ("/r/scan_0002.txt", "2024-01-09 00:00:00"), ("/r/letter.txt", "2024-01-09 00:00:00")], "path string, mtime string").withColumn("mtime", F.col("mtime").cast("timestamp"))
     assert {r["path"] for r in files.released(held, F.lit("2024-01-10 00:00:00").cast("timestamp")).collect()} == {"/r/scan_0001.txt", "/r/letter.txt"}
-    law = tmp_path / "OR1_de.xml"
-    law.write_text("<act><article><num>Art. 12a</num><heading>Form</heading><paragraph><p>one</p></paragraph><paragraph><p>two</p></paragraph></article></act>")
-    row = files.articles(spark, str(law)).first()
-    assert (row["binding_key"], row["heading"], row["paragraphs"]) == ("OR1/12a", "Form", ["one", "two"])
 
 
 def test_streams(spark, tmp_path):
