@@ -31,6 +31,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers take texts in Arrow batches of at most BATCH_ROWS rows: a batch is held several times over, as
+    Arrow, as strings and as results, and texts may be long. A lower setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Workspace:
     """Durable intermediate tables of one job, in a folder of their own below the shared one.
 
