@@ -9,9 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import common, langid, mixing, near_dup, packing, secret_scan
-from pyspark.sql import functions as F
 
 #: Target weights of the sources; None weights them by the root of their size.
 WEIGHTS: dict | None = None
@@ -19,11 +19,13 @@ WEIGHTS: dict | None = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not in doubt stay; a text that is null, has no letter or fits two languages alike goes."""
+    common.small_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs.where(langid.is_training(F.col("doc_id")))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest doc_id stays."""
+    common.small_batches(spark)
     return near_dup.keep_one(docs)
 
 
@@ -39,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document with its sequence and offset; the sequences follow the order of the files."""
+    common.small_batches(spark)
     return packing.pack_documents(docs, order=mixing.place_in_files())
 
 
