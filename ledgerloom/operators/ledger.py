@@ -100,8 +100,14 @@ def chunks_of(chunks: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def entities_of(links: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """Entities of each asked document (doc): doc, node_id, node_type, name, best link first by role and name."""
-    return links.join(asked.select("doc").distinct(), "doc", "left_semi").join(nodes, "node_id").select("doc", "node_id", "node_type", "name")
+    """Entities of each asked document (doc): doc, node_id, node_type, name, role and the link's place by role, then name.
+
+    Without a column role in links, the role is null and the name alone decides.
+    """
+    links = links if "role" in links.columns else links.withColumn("role", F.lit(None).cast("string"))
+    own = links.join(asked.select("doc").distinct(), "doc", "left_semi").join(nodes, "node_id")
+    order = Window.partitionBy("doc").orderBy(F.asc_nulls_last("role"), "name", "node_id")
+    return own.select("doc", "node_id", "node_type", "name", "role").distinct().withColumn("place", F.row_number().over(order))
 
 
 def queue_stats(queue: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -133,15 +139,38 @@ def scan_summary(decisions: DataFrame, statuses: list[str]) -> DataFrame:
     return decisions.groupBy("root").pivot("status", statuses).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def listing(docs: DataFrame, locations: DataFrame, text_filter: str | None, only_duplicates: bool, sort: list[Column], offset: int, limit: int) -> DataFrame:
-    """Ledger page: documents with number of copies and effective date (own, else newest file, else creation)."""
+def scan_report(decisions: DataFrame, roots: DataFrame) -> DataFrame:
+    """Per root and over all (root null): files scanned, ingested, duplicates, unchanged, errors, and roots that are offline.
+
+    decisions: root and status (new, exact_duplicate, unchanged or error). roots: root, online; one without a file has a row of
+    zeros, and the row over all counts those that are offline.
+    """
+    is_ = lambda s: F.sum((F.col("status") == s).cast("long"))
+    names = {"ingested": "new", "duplicates": "exact_duplicate", "unchanged": "unchanged", "errors": "error"}
+    own = decisions.groupBy("root").agg(F.count(F.lit(1)).alias("scanned"), *[is_(v).alias(k) for k, v in names.items()])
+    both = roots.select("root", (~F.col("online")).cast("long").alias("offline")).join(own, "root", "full").na.fill(0)
+    return both.rollup("root").agg(*[F.sum(c).alias(c) for c in ("scanned", *names, "offline")])
+
+
+def matching(docs: DataFrame, locations: DataFrame, text_filter: str | None = None, only_duplicates: bool = False, statuses: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+    """Documents that a listing shows, with number of copies and effective date (own, else newest file, else creation).
+
+    Filters: a part of the name in any case, contents with several copies, and any of the given statuses and categories.
+    """
+    if statuses is not None:
+        docs = docs.where(F.col("status").isin(statuses))
+    if categories is not None:
+        docs = docs.where(F.col("category").isin(categories))
+    if text_filter:
+        docs = docs.where(F.lower("name").contains(text_filter.lower()))
     copies = locations.groupBy("sha256_hash").agg(F.count(F.lit(1)).alias("copies"), F.max("mtime").alias("newest"))
     page = docs.join(copies, "sha256_hash", "left").withColumn("effective", F.coalesce("doc_date", "newest", "created"))
-    if text_filter:
-        page = page.where(F.lower("name").contains(text_filter.lower()))
-    if only_duplicates:
-        page = page.where("copies > 1")
-    return page.orderBy(*sort).offset(offset).limit(limit)
+    return page.where("copies > 1") if only_duplicates else page
+
+
+def listing(docs: DataFrame, locations: DataFrame, text_filter: str | None, only_duplicates: bool, sort: list[Column], offset: int, limit: int, statuses: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+    """A page of the ledger: rows offset to offset + limit of matching(), sorted."""
+    return matching(docs, locations, text_filter, only_duplicates, statuses, categories).orderBy(*sort).offset(offset).limit(limit)
 
 
 def with_family(docs: DataFrame, links: DataFrame) -> DataFrame:
@@ -159,9 +188,25 @@ def with_locations(docs: DataFrame, locations: DataFrame) -> DataFrame:
     return docs.join(nested, "sha256_hash", "left")
 
 
-def subset_export(anchors: list[DataFrame], tables: dict[str, tuple[DataFrame, str]], edges: DataFrame, limit: int) -> dict[str, DataFrame]:
-    """Consistent subset: the union of anchor ids (id), each table reduced to them, edges inside them, heaviest first."""
+def subset_export(anchors: list[DataFrame], tables: dict[str, tuple[DataFrame, str]], edges: DataFrame, limit: int, classes: list[str] = ()) -> dict[str, DataFrame]:
+    """Consistent subset: the union of anchor ids (id), each table reduced to them by its key, edges inside them.
+
+    The edges are those of the earliest relation in `classes` first (others after them), then the heaviest, up to limit.
+    """
     ids = reduce(DataFrame.union, [a.select("id") for a in anchors]).distinct()
     out = {n: t.join(ids.withColumnRenamed("id", c), c, "left_semi") for n, (t, c) in tables.items()}
     inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return out | {"edges": inside.orderBy(F.desc("weight"), "src", "dst").limit(limit)}
+    rank = F.lit(len(classes))
+    for i, name in reversed(list(enumerate(classes))):
+        rank = F.when(F.col("relation") == name, F.lit(i)).otherwise(rank)
+    return out | {"edges": inside.orderBy(rank, F.desc("weight"), "src", "dst").limit(limit)}
+
+
+def dangling(tables: dict[str, tuple[DataFrame, list[str]]], ids: DataFrame) -> DataFrame:
+    """(table, rows, dangling): rows of each table, and those with a key (any of its columns) that is no known id."""
+    known = ids.select("id").distinct()
+    parts = []
+    for name, (table, keys) in tables.items():
+        open_ = reduce(DataFrame.union, [table.select(F.col(k).alias("id")) for k in keys]).join(known, "id", "left_anti")
+        parts.append(table.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(open_.agg(F.count(F.lit(1)).alias("dangling")))))  # one row each
+    return reduce(DataFrame.unionByName, parts)

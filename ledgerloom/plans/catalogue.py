@@ -635,8 +635,12 @@ def ledger_listing(spark, sf):
 
 @query("with n as (select sha256(text) h, doc_id, source from documents) select h sha256_hash, list(source order by doc_id)::varchar[] as roots from n group by h")
 def document_locations(spark, sf):
-    n = fx.table(spark, sf, "documents").select(F.sha2("text", 256).alias("sha256_hash"), "doc_id", "source")
-    return n.groupBy("sha256_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "source"))), lambda s: s["source"]).alias("roots"))
+    n = fx.table(spark, sf, "documents").select(F.sha2("text", 256).alias("sha256_hash"), F.concat_ws("/", F.lpad(F.col("doc_id").cast("string"), 12, "0"), "source").alias("path"), F.lit(0).alias("mtime"), F.lit(False).alias("is_primary"))
+    known = n.select("sha256_hash").distinct()
+    nested = ledger.with_locations(known.where("sha256_hash is not null"), n)
+    nameless = n.where("sha256_hash is null").groupBy("sha256_hash").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    paths = nested.select("sha256_hash", F.transform("locations", lambda x: x["path"]).alias("paths")).unionByName(nameless)
+    return paths.select("sha256_hash", F.transform("paths", lambda p: F.substring_index(p, "/", -1)).alias("roots"))
 
 
 @query("with n as (select source root, sha256(text) h, doc_id, row_number() over (partition by sha256(text) order by doc_id) r from documents) select root, sum((r = 1)::int)::bigint as \"new\", sum((r > 1)::int)::bigint exact_duplicate from n group by all")

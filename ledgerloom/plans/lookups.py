@@ -49,10 +49,11 @@ def document_chunks(spark, sf):
     return ledger.chunks_of(chunks, fx.table(spark, sf, "labels").where("quality = 1")).select("doc_id", "chunk_index", "place")
 
 
-@query(f"with {fx.LINKS_SQL}, n as (select 'p' || p_partkey node_id, 'part' node_type, p_name as \"name\" from part union all select 's' || s_suppkey, 'supplier', s_name from supplier) select doc, node_id, node_type, \"name\" from links join n using (node_id) where doc in (select o_orderkey from orders where o_orderpriority = '1-URGENT')")
+@query(f"with {fx.LINKS_SQL}, n as (select 'p' || p_partkey node_id, 'part' node_type, p_name as \"name\" from part union all select 's' || s_suppkey, 'supplier', s_name from supplier), r as (select doc, node_id, node_type, \"name\", case node_type when 'part' then 'item' else 'by' end \"role\" from links join n using (node_id) where doc in (select o_orderkey from orders where o_orderpriority = '1-URGENT')) select *, row_number() over (partition by doc order by \"role\", \"name\", node_id)::int place from r")
 def document_entities(spark, sf):
     asked = fx.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("doc"))
-    return ledger.entities_of(fx.links(spark, sf), fx.nodes(spark, sf), asked)
+    links = fx.links(spark, sf).withColumn("role", F.when(F.col("node_id").startswith("p"), "item").otherwise("by"))
+    return ledger.entities_of(links, fx.nodes(spark, sf), asked)
 
 
 @query("select o_orderstatus status, count(*) entries, count(distinct o_custkey) docs from orders group by all union all select 'chunks', count(*), count(distinct l_orderkey) from lineitem")
@@ -68,11 +69,13 @@ def category_counts(spark, sf):
     return taxonomy.category_counts(categories, c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("category")))
 
 
-@query("with t as (select lower(p_type) t, lower(string_split(p_type, ' ')[-1]) leaf from part) select case when leaf in ('tin', 'steel') then leaf when contains(t, 'brass') then 'alloy' else 'unclassified' end theme, count(*) docs from t group by all")
+@query("with t as (select lower(p_name) t, lower(string_split(p_name, ' ')[-1]) leaf from part) select case when leaf in ('ring', 'bolt') then leaf when leaf = 'rod' then 'ring' when contains(t, 'gear') then 'moving' else 'unclassified' end theme, count(*) docs from t group by all")
 def theme_distribution(spark, sf):
-    docs = fx.table(spark, sf, "part").select(F.lower("p_type").alias("doc_type"))
-    parents = docs.distinct().select(F.col("doc_type").alias("category"), F.element_at(F.split("doc_type", " "), -1).alias("parent")).where("category <> parent")
-    themes = taxonomy.theme_of(docs, parents, spark.createDataFrame([("no such", "tin")], "alias string, category string"), ["tin", "steel"], [("brass", "alloy")])
+    """Parts by the last word of their names: rings and bolts are roots, rods lie below rings, and the word gear is a cue."""
+    docs = fx.table(spark, sf, "part").select(F.lower("p_name").alias("doc_type"))
+    leaf = F.element_at(F.split("doc_type", " "), -1)
+    parents = docs.distinct().select(F.col("doc_type").alias("category"), leaf.alias("parent")).where("category <> parent").unionByName(spark.createDataFrame([("rod", "ring"), ("anvil", "widget"), ("widget", "anvil")], "category string, parent string"))
+    themes = taxonomy.theme_of(docs, parents, spark.createDataFrame([("no such", "ring")], "alias string, category string"), ["ring", "bolt"], [("gear", "moving")])
     return taxonomy.theme_counts(docs.join(themes, "doc_type"))
 
 

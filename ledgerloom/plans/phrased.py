@@ -111,3 +111,38 @@ LAWS = [("100", "de", "Grundgesetz", "GG"), ("101", "en", "Code", "C"), ("102",
 def statute_articles(spark, sf):
     laws = spark.createDataFrame(LAWS, "code string, lang string, title string, short string")
     return statutes.statutes(_xml(spark, sf), laws).select("n", "code", "lang", "number", "binding_key", "heading", "chapter", "part", "passage")
+
+
+#: A note at the end of a document, the same in Spark SQL and in DuckDB: a bill, what pays the bill before, a letter to sign.
+NOTE = """concat(coalesce(text, ''), case doc_id % 6 when 0 then concat(' Invoice of EUR ', doc_id, '.50, due date: 2024-0', doc_id % 9 + 1, '-15')
+ when 1 then concat(' We paid ', doc_id - 1, '.50 in full') when 2 then ' Bitte unterschreiben, due date: 20.05.2024' when 3 then concat(' Rechnung ', doc_id, ', zahlbar bis 1.2.2024') else '' end)"""
+_BILL = (
+    f"d as (select doc_id, lang, {NOTE} t from documents), r as (select doc_id, lang, t, lower(t) low, try_cast(regexp_replace(regexp_extract(t, '{A._AMOUNT.replace(chr(39), chr(39) * 2)}', 1), '[''’ ]', '', 'g') as decimal(18, 2)) amount, "
+    f"coalesce(try_strptime(regexp_extract(t, '{A._DUE.replace('(?iu)', '(?i)')}', 1), '%Y-%m-%d'), try_strptime(regexp_extract(t, '{A._DUE.replace('(?iu)', '(?i)')}', 1), '%d.%m.%Y'))::date due from d), "
+    f"k as (select *, case when regexp_matches(low, '{A.BILL_WORDS}') and (amount is not null or due is not null) then 'payment' when regexp_matches(low, '{A.SIGN_WORDS}') then 'signature' end action_type from r), "
+    "f as (select doc_id, lang, action_type, case when action_type = 'payment' then amount end amount, due from k where action_type is not null), n as (select * from f where lang is distinct from 'de'), "
+    f"tok as (select distinct doc_id, case when contains(x, '.') then x else x || '.00' end x from (select doc_id, unnest(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]{{2}})?')) x from r where regexp_matches(low, '{A.PAID_WORDS}'))), "
+    "m as (select n.doc_id, min(tok.doc_id) fulfilled_by from n join tok on action_type = 'payment' and amount > 0 and x = printf('%.2f', amount::double) and tok.doc_id <> n.doc_id group by all), "
+    "a as (select n.doc_id, action_type, amount::double amount, due::varchar due, case when fulfilled_by is null then 'pending' else 'completed' end status, fulfilled_by from n left join m using (doc_id))"
+)
+
+
+def _backfilled(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", "lang", F.expr(NOTE).alias("text"))
+    known = A.obligations(docs.where("lang = 'de'"))
+    return A.backfill_obligations(docs, known, F.lit("2024-04-01").cast("date"))
+
+
+@query(f"with {_BILL} select * from a")
+def document_obligations(spark, sf):
+    """Obligations of all documents but the German ones, which are known already."""
+    actions = _backfilled(spark, sf)[0]
+    return actions.select("doc_id", "action_type", F.col("amount").cast("double").alias("amount"), F.col("due").cast("string").alias("due"), "status", "fulfilled_by")
+
+
+@query(
+    f"with {_BILL}, g as (select action_type, count(*) found from f group by all), h as (select action_type, count(*) \"new\", sum((status = 'pending')::int)::bigint pending, sum((status = 'pending' and due < '2024-04-01')::int)::bigint overdue, sum((status = 'completed')::int)::bigint completed from a group by all) "
+    'select action_type, found, coalesce("new", 0) "new", coalesce(pending, 0) pending, coalesce(overdue, 0) overdue, coalesce(completed, 0) completed from g left join h using (action_type)'
+)
+def obligation_counts(spark, sf):
+    return _backfilled(spark, sf)[1]
