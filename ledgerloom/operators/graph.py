@@ -226,3 +226,9 @@ def representativity(total: DataFrame, rendered: DataFrame, key: str) -> DataFra
     b = rendered.groupBy(key).agg(F.count(F.lit(1)).alias("rendered"))
     both = a.join(b, key, "left").na.fill(0, ["rendered"])
     return both.withColumn("pct", F.round(100 * F.col("rendered") / F.col("total"), 1)).withColumn("capped", F.col("rendered") < F.col("total"))
+
+
+def part_of_edges(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """(child, parent, relation): an edge from each administrative unit (name, parent_id) to the one it lies in (id, name)."""
+    above = parents.select(F.col("id").alias("_id"), F.col("name").alias("parent"))
+    return children.join(above, F.col("parent_id") == F.col("_id")).select(F.col("name").alias("child"), "parent", F.lit("part_of").alias("relation"))

@@ -210,3 +210,14 @@ def dangling(tables: dict[str, tuple[DataFrame, list[str]]], ids: DataFrame) ->
         open_ = reduce(DataFrame.union, [table.select(F.col(k).alias("id")) for k in keys]).join(known, "id", "left_anti")
         parts.append(table.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(open_.agg(F.count(F.lit(1)).alias("dangling")))))  # one row each
     return reduce(DataFrame.unionByName, parts)
+
+
+def audit_trail(events: DataFrame, order: list[Column], limit: int = 100) -> DataFrame:
+    """The latest events of an audit log by `order`; a top-k, so no more than `limit` rows of a task are kept."""
+    return events.orderBy(*order).limit(limit)
+
+
+def folder_topology(paths: DataFrame, depth: int = 2) -> DataFrame:
+    """(folder, docs): documents below each folder of `depth` levels, of paths with or without a scheme, query and mark."""
+    plain = F.regexp_replace(F.regexp_replace("path", "^[a-z]+://", ""), "[?#].*$", "")
+    return paths.groupBy(F.array_join(F.slice(F.split(plain, "/"), 1, depth), "/").alias("folder")).agg(F.count(F.lit(1)).alias("docs"))

@@ -58,3 +58,13 @@ def mirror_links(links: DataFrame, edges: DataFrame, placed: DataFrame, nodes: D
     new = from_edges.unionByName(from_places).groupBy(*key).agg(F.max(F.coalesce("confidence", F.lit(1.0))).alias("confidence"))
     known = new.join(nodes.select("node_id"), "node_id", "left_semi").join(docs.select("doc_id"), "doc_id", "left_semi")
     return review.insert_absent(links.select(*key, "confidence"), known, key)
+
+
+def embedding_health(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, dims and filled: length of each vector (embedding), and its places that are not zero."""
+    return vectors.select("vec_id", "label", F.size("embedding").alias("dims"), F.size(F.filter("embedding", lambda x: x != 0)).alias("filled"))
+
+
+def embedding_status(vectors: DataFrame) -> DataFrame:
+    """(label, vectors, empty): vectors of each label, and those without a direction."""
+    return embedding_health(vectors).groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("filled") == 0).alias("empty"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.features import words
-from ledgerloom.operators.automaton import phrase_hits
+from ledgerloom.operators.automaton import phrase_hits, word_matches
 from ledgerloom.operators.durable import Workspace
 
 
@@ -209,3 +209,9 @@ def certify(candidates: DataFrame, verdicts: DataFrame, least: int = 3) -> DataF
     given = verdicts.groupBy(F.lower("name").alias("_n")).agg(F.min("verdict").alias("verdict"))
     judged = candidates.join(given, F.lower("name") == F.col("_n"), "left").drop("_n")
     return judged.withColumn("outcome", F.coalesce("verdict", F.when(F.length("name") < least, "purge").otherwise("retain"))).drop("verdict")
+
+
+def keyword_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, docs): documents that hold each term (term, one word) at least once; terms that none holds are left out."""
+    held = word_matches(docs, F.array_join(words(F.col("text")), " "), terms.select(F.lower("term").alias("token"))).where("term is not null")
+    return held.groupBy("term").agg(F.countDistinct("doc_id").alias("docs"))

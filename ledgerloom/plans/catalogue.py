@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import features as X
 from ledgerloom.operators import actions as A
-from ledgerloom.operators import dedup, graph, ledger, retrieval, taxonomy
+from ledgerloom.operators import dedup, graph, ledger, refresh, retrieval, taxonomy
+from ledgerloom.operators.automaton import phrase_hits
 from ledgerloom.plans import extracted as _extracted  # noqa: F401
 from ledgerloom.plans import fixtures as fx
 from ledgerloom.plans import refreshed as _refreshed  # noqa: F401
@@ -272,13 +273,12 @@ fused as (select query_id, doc_id, round(sum(s), 6) score from (select query_id,
 
 
 def _exact_passage(spark, sf):
-    """First document that holds a whole benchmark passage, found by its rarest way in: equal runs of its first five words."""
-    docs, items = fx.table(spark, sf, "documents"), fx.table(spark, sf, "benchmark")
-    run = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " "))
-    w = X.words(F.col("text"))
-    starts = docs.select("doc_id", "text", w.alias("w")).where("size(w) >= 5").select("doc_id", "text", F.explode(F.array_distinct(run(F.col("w")))).alias("run"))
-    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.array_join(F.slice(w, 1, 5), " ").alias("run"))
-    return starts.join(asked, "run").where(F.col("text").contains(F.col("passage"))).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    """First document that holds a whole benchmark passage, as it is written; all passages are met in one pass."""
+    docs, items = fx.table(spark, sf, "documents"), fx.table(spark, sf, "benchmark").where("text <> ''")
+    held = phrase_hits(docs, F.col("text"), items.select(F.col("text").alias("phrase"))).select("doc_id", "phrase")
+    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.lower("text").alias("phrase"))
+    found = held.join(asked, "phrase").join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("passage")))
+    return found.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query(f"with {_RRF} select query_id, doc_id, score, r::int as \"rank\" from (select *, row_number() over (partition by query_id order by score desc, doc_id) r from fused) where r <= 10")
@@ -305,7 +305,7 @@ def rerank(spark, sf):
 
 @query("select vec_id, label, len(embedding)::int dims, len(list_filter(embedding, lambda x: x <> 0))::int filled from embeddings")
 def embedding_health(spark, sf):
-    return fx.table(spark, sf, "embeddings").select("vec_id", "label", F.size("embedding").alias("dims"), F.size(F.filter("embedding", lambda x: x != 0)).alias("filled"))
+    return refresh.embedding_health(fx.table(spark, sf, "embeddings"))
 
 
 @query(
@@ -313,10 +313,9 @@ def embedding_health(spark, sf):
     "s as (select doc_id, ('0x' || substr(sha256(t), 1, 8))::bigint % 64 k, sum(1 / (1 + 0.05 * i)) v from w group by all) select doc_id, round(max(v) / sqrt(sum(v * v)), 5) top, count(*) filled from s group by all"
 )
 def hashed_embeddings(spark, sf):
-    docs = fx.table(spark, sf, "documents")
-    placed = docs.select("doc_id", F.posexplode(X.words(F.col("text"))).alias("i", "t")).select("doc_id", (F.conv(F.substring(F.sha2("t", 256), 1, 8), 16, 10).cast("long") % 64).alias("k"), (1 / (1 + 0.05 * F.col("i"))).alias("v"))
-    summed = placed.groupBy("doc_id", "k").agg(F.sum("v").alias("v"))
-    return summed.groupBy("doc_id").agg(F.round(F.max("v") / F.sqrt(F.sum(F.col("v") * F.col("v"))), 5).alias("top"), F.count(F.lit(1)).alias("filled"))
+    v = fx.table(spark, sf, "documents").select("doc_id", X.hashed_embedding(F.col("text")).alias("v"))
+    filled = F.size(F.filter("v", lambda x: x > 0)).cast("long")
+    return v.select("doc_id", F.round(F.array_max("v"), 5).alias("top"), filled.alias("filled")).where("filled > 0")
 
 
 # Classification -----------------------------------------------------------------------------------------------------
@@ -345,9 +344,7 @@ def entity_links(spark, sf):
 @query(f"with g(term, node_id, confidence) as (values {values(GAZETTEER)}), w as (select distinct doc_id, unnest({_WORDS}) term from documents) select term, count(*) docs from w semi join g using (term) group by all")
 def keyword_documents(spark, sf):
     """Documents that mention each keyword of a list."""
-    terms = spark.createDataFrame([(t,) for t, _, _ in GAZETTEER], "term string")
-    seen = fx.table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("term"))
-    return seen.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    return taxonomy.keyword_documents(fx.table(spark, sf, "documents"), spark.createDataFrame([(t,) for t, _, _ in GAZETTEER], "term string"))
 
 
 _RULES_SQL = """case when lower(name) like '%red%' then 'colour_red' when size > 40 then 'large' when type like '%TIN%' or type like '%tin%' then 'tin' else category end"""
@@ -385,8 +382,7 @@ def category_merge(spark, sf):
 
 @query("with u as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') p from pages) select array_to_string(string_split(p, '/')[1:2], '/') folder, count(*) docs from u group by all")
 def folder_topology(spark, sf):
-    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
-    return fx.table(spark, sf, "pages").groupBy(F.array_join(F.slice(F.split(path, "/"), 1, 2), "/").alias("folder")).agg(F.count(F.lit(1)).alias("docs"))
+    return ledger.folder_topology(fx.table(spark, sf, "pages").select(F.col("url").alias("path")))
 
 
 @query(None)
@@ -503,7 +499,7 @@ def region_rollup(spark, sf):
 @query("select n_name child, r_name parent, 'part_of' relation from nation join region on n_regionkey = r_regionkey")
 def admin_edges(spark, sf):
     n, r = fx.table(spark, sf, "nation"), fx.table(spark, sf, "region")
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"), F.lit("part_of").alias("relation"))
+    return graph.part_of_edges(n.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent_id")), r.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")))
 
 
 _RANGES = [(1, 10, "general", 1), (5, 20, "persons", 2), (21, 40, "things", 3)]
@@ -554,9 +550,7 @@ def certification(spark, sf):
 
 @query(f"with {fx.ACTIONS_SQL} select action_id, c_name party, status, due, status = 'pending' and due < timestamp '{AS_OF}' overdue from actions left join customer on c_custkey = party where status = 'pending'")
 def open_actions(spark, sf):
-    flagged = A.with_urgency(fx.actions(spark, sf), _as_of())
-    c = fx.table(spark, sf, "customer")
-    return flagged.where("status = 'pending'").join(c, F.col("party") == F.col("c_custkey"), "left").select("action_id", F.col("c_name").alias("party"), "status", "due", "overdue")
+    return A.open_actions(fx.actions(spark, sf), fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("party"), F.col("c_name").alias("name")), _as_of())
 
 
 @query(f"with {fx.ACTIONS_SQL} select action_id, status, due from actions order by (status <> 'pending'), not (status = 'pending' and due < timestamp '{AS_OF}'), due, action_id desc limit 100")
@@ -658,7 +652,7 @@ def changed_files(spark, sf):
 
 @query("select event_id, ts, event_type from events order by ts desc, event_id desc limit 100")
 def audit_trail(spark, sf):
-    return fx.table(spark, sf, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
+    return ledger.audit_trail(fx.table(spark, sf, "events").select("event_id", "ts", "event_type"), [F.desc("ts"), F.desc("event_id")])
 
 
 @query(f"with {fx.EDGES_SQL}, ids as (select 'p' || p_partkey id from part where p_size > 45 union select 's' || s_suppkey from supplier where s_acctbal > 0) select src, dst, weight from edges where src in (from ids) and dst in (from ids) order by weight desc, src, dst limit 35000")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import extraction as E
+from ledgerloom.operators import refresh
 from ledgerloom.operators import review as R
 from ledgerloom.plans import fixtures as fx
 from ledgerloom.plans.registered import query, values
@@ -186,8 +187,7 @@ def undated_documents(spark, sf):
 
 @query("select label, count(*) vectors, count(*) filter (len(list_filter(embedding, lambda x: x <> 0)) = 0) empty from embeddings group by all")
 def embedding_status(spark, sf):
-    e = fx.table(spark, sf, "embeddings")
-    return e.groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.size(F.filter("embedding", lambda x: x != 0)) == 0).alias("empty"))
+    return refresh.embedding_status(fx.table(spark, sf, "embeddings"))
 
 
 @query("select doc_id, len(text)::int n from documents where doc_id not in (select vec_id from embeddings)")
