@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from decimal import Decimal
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -46,6 +49,17 @@ def blocks_of(rows: DataFrame, n: int, cols: int) -> BlockMatrix:
     return IndexedRowMatrix(vectors, n, cols).toBlockMatrix(ROWS_PER_BLOCK, min(cols, COLS_PER_BLOCK))
 
 
+@contextmanager
+def kept(matrix: BlockMatrix) -> Iterator[BlockMatrix]:
+    """The matrix with its blocks stored on the executors for as long as several products read them; what is lost with an
+    executor is made again."""
+    matrix.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield matrix
+    finally:
+        matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
+
+
 def scatter(matrix: BlockMatrix) -> np.ndarray:
     """transpose(matrix) * matrix, on the driver: columns times columns, whatever the number of rows.
 
@@ -108,12 +122,12 @@ def whiten(vectors: DataFrame, components: int = 8, scale: float = 1024.0, shift
         rows = numbered(table).select("vec_id", "index", F.zip_with("x", total, lambda a, s: a * n - s).alias("centred"))
         square = lambda a: (a.cast("decimal(19,0)") * a.cast("decimal(19,0)")).cast("decimal(38,0)")
         deviation = F.aggregate("centred", F.lit(0).cast("decimal(38,0)"), lambda acc, a: (acc + square(a)).cast("decimal(38,0)"))
-        matrix = blocks_of(rows.select("index", F.transform("centred", lambda a: a.cast("double") / n).alias("vector")), n, d)
-        covariance = scatter(matrix) / n
-        values, axes, real = eigen(covariance, min(components, d))
-        trace = float(np.trace(covariance))
-        weights = np.where(real, axes / np.sqrt(np.where(real, values, 1)), 0.0)
-        scores = work.keep(projected(spark, matrix, weights), "projected")
+        with kept(blocks_of(rows.select("index", F.transform("centred", lambda a: a.cast("double") / n).alias("vector")), n, d)) as matrix:
+            covariance = scatter(matrix) / n
+            values, axes, real = eigen(covariance, min(components, d))
+            trace = float(np.trace(covariance))
+            weights = np.where(real, axes / np.sqrt(np.where(real, values, 1)), 0.0)
+            scores = work.keep(projected(spark, matrix, weights), "projected")
         error = identity_error(scores, n, int(real.sum()))
         doubles = lambda xs: F.array(*[F.lit(None if x is None else float(x)).cast("double") for x in xs])
         shares = doubles([e / trace if trace > 0 else None for e in values])
@@ -135,4 +149,5 @@ def identity_error(scores: DataFrame, n: int, k: int) -> float | None:
         return None
     means = scores.agg(*[F.avg(F.get("values", F.lit(i))).alias(f"m{i}") for i in range(k)]).first()
     centred = scores.select("index", F.zip_with(F.slice("values", 1, k), F.array(*[F.lit(m) for m in means]), lambda a, m: a - m).alias("vector"))
-    return float(np.abs(scatter(blocks_of(centred, n, k)) / n - np.eye(k)).max())
+    with kept(blocks_of(centred, n, k)) as matrix:
+        return float(np.abs(scatter(matrix) / n - np.eye(k)).max())
