@@ -203,15 +203,16 @@ def mirror_document_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, p
 BRIDGES = (("location", "LOCATED_IN"), ("statute", "SUBJECT_TO"), ("currency", "DENOMINATED_IN"), ("financial_pillar", "INVOLVES_PAYMENT"))
 
 
-def bridge_isolated(nodes: DataFrame, edges: DataFrame, links: DataFrame, bridges=BRIDGES, other: str = "CO_OCCURS") -> DataFrame:
-    """Edges from each node without one to the linked node that shares most documents with it; ties to the smaller id.
+def bridge_isolated(nodes: DataFrame, edges: DataFrame, links: DataFrame, bridges=BRIDGES, other: str = "CO_OCCURS", best_only: bool = True) -> DataFrame:
+    """Edges from each node without one to the linked node that shares most documents with it (ties to the smaller id), or
+    to all that share one if best_only is False.
 
     The relation follows from the two types by `bridges`, else it is `other`; the weight is the number of shared documents.
     """
     alone = orphans(nodes, edges).select("node_id")
     near = shared_neighbours(links, alone)
     best = near.groupBy("seed").agg(F.min_by("node_id", F.struct(-F.col("shared"), "node_id")).alias("dst"), F.max("shared").alias("weight"))
-    typed = best.withColumnRenamed("seed", "src")
+    typed = (best if best_only else near.select("seed", F.col("node_id").alias("dst"), F.col("shared").alias("weight"))).withColumnRenamed("seed", "src")
     for end in ("src", "dst"):
         typed = typed.join(nodes.select(F.col("node_id").alias(end), F.col("node_type").alias(f"_{end}")), end, "left")
     relation = F.lit(other)
@@ -232,3 +233,34 @@ def part_of_edges(children: DataFrame, parents: DataFrame) -> DataFrame:
     """(child, parent, relation): an edge from each administrative unit (name, parent_id) to the one it lies in (id, name)."""
     above = parents.select(F.col("id").alias("_id"), F.col("name").alias("parent"))
     return children.join(above, F.col("parent_id") == F.col("_id")).select(F.col("name").alias("child"), "parent", F.lit("part_of").alias("relation"))
+
+
+def neighbourhood_or_shared(edges: DataFrame, links: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """(seed, node_id, hop, shared): neighbourhood() of each seed (node_id), shared null; a seed without an edge has the nodes
+    that share documents (links: doc, node_id) with it instead, hop null and the number of documents in shared."""
+    near = neighbourhood(edges, seeds, hops).withColumn("shared", F.lit(None).cast("long"))
+    ends = edges.select(F.col("src").alias("node_id")).union(edges.select(F.col("dst").alias("node_id"))).distinct()
+    alone = seeds.select("node_id").distinct().join(ends, "node_id", "left_anti")
+    own = links.join(alone, "node_id", "left_semi").select(F.col("node_id").alias("seed"), "doc").distinct()
+    met = own.join(links.select("node_id", "doc").distinct(), "doc").where("seed <> node_id").groupBy("seed", "node_id").agg(F.count(F.lit(1)).alias("shared"))
+    return near.unionByName(met.withColumn("hop", F.lit(None).cast("int")))
+
+
+def verified_nodes(stats: DataFrame, node_type: str | None = None) -> DataFrame:
+    """Nodes of node_stats's result, of a type if given, that a document or an edge bears out."""
+    own = stats if node_type is None else stats.where(F.col("node_type") == node_type)
+    return own.where("docs > 0 or degree > 0")
+
+
+def grouped_entities(stats: DataFrame, most: int) -> DataFrame:
+    """(node_type, nodes, names): number of nodes of each type, and the names of the `most` of them in most documents, in that order."""
+    order = Window.partitionBy("node_type").orderBy(F.desc("docs"), "name", "node_id")
+    first = stats.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    listed = first.groupBy("node_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "name"))), lambda x: x["name"]).alias("names"))  # at most `most` a type
+    return stats.groupBy("node_type").agg(F.count(F.lit(1)).alias("nodes")).join(listed, "node_type")
+
+
+def capped_counts(docs: DataFrame, theme: str, order: list[Column], cap: int, condition: Column) -> DataFrame:
+    """Per theme the documents that a cap on each theme leaves, by `order`, and those of them for which a condition holds."""
+    kept = docs.withColumn("_hit", F.coalesce(condition, F.lit(False)).cast("long")).withColumn("_r", F.row_number().over(Window.partitionBy(theme).orderBy(*order))).where(F.col("_r") <= cap)
+    return kept.groupBy(theme).agg(F.count(F.lit(1)).alias("kept"), F.sum("_hit").alias("hits"))

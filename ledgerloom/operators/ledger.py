@@ -221,3 +221,19 @@ def folder_topology(paths: DataFrame, depth: int = 2) -> DataFrame:
     """(folder, docs): documents below each folder of `depth` levels, of paths with or without a scheme, query and mark."""
     plain = F.regexp_replace(F.regexp_replace("path", "^[a-z]+://", ""), "[?#].*$", "")
     return paths.groupBy(F.array_join(F.slice(F.split(plain, "/"), 1, depth), "/").alias("folder")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+def status_counts(docs: DataFrame) -> DataFrame:
+    """Documents by status, and of all (status null)."""
+    return docs.rollup("status").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def root_counts(locations: DataFrame) -> DataFrame:
+    """Locations and distinct contents of each storage root (root, sha256_hash)."""
+    return locations.groupBy("root").agg(F.count(F.lit(1)).alias("locations"), F.countDistinct("sha256_hash").alias("contents"))
+
+
+def top_entities(links: DataFrame, nodes: DataFrame, node_type: str, limit: int) -> DataFrame:
+    """The nodes of a type in most documents: node_id, name, docs."""
+    docs = links.groupBy("node_id").agg(F.countDistinct("doc").alias("docs"))
+    return nodes.where(F.col("node_type") == node_type).join(docs, "node_id").select("node_id", "name", "docs").orderBy(F.desc("docs"), "node_id").limit(limit)

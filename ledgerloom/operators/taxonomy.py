@@ -215,3 +215,33 @@ def keyword_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, docs): documents that hold each term (term, one word) at least once; terms that none holds are left out."""
     held = word_matches(docs, F.array_join(words(F.col("text")), " "), terms.select(F.lower("term").alias("token"))).where("term is not null")
     return held.groupBy("term").agg(F.countDistinct("doc_id").alias("docs"))
+
+
+def review_queue(candidates: DataFrame, reviews: DataFrame, evaluated: DataFrame, statuses: list[str], floor: float = 0.9, text: str | None = None) -> DataFrame:
+    """Candidates (doc_id, node_id, name, status, confidence, verified) of the given statuses that are sure and verified, and that
+    nobody has reviewed (doc_id, node_id) or evaluated (doc_id, node_id) yet; text: a part of the name, in any case."""
+    good = candidates.where(F.col("status").isin(statuses) & (F.col("confidence") >= floor) & F.col("verified"))
+    if text:
+        good = good.where(F.lower("name").contains(text.lower()))
+    for done in (reviews, evaluated):
+        good = good.join(done.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
+    return good
+
+
+def review_page(queue: DataFrame, offset: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(page, total): the surest candidates first, and one row with the number of all."""
+    return queue.orderBy(F.desc("confidence"), "doc_id", "node_id").offset(offset).limit(limit), queue.agg(F.count(F.lit(1)).alias("total"))
+
+
+def evolution_progress(docs: DataFrame, version: str) -> DataFrame:
+    """Per category and over all (category null): documents, those of the taxonomy's version, the share in per cent, and
+    those still waiting (requeue). A document without a version is not migrated."""
+    own = F.sum(F.coalesce(F.col("version") == version, F.lit(False)).cast("long"))
+    waiting = F.sum(F.coalesce(F.col("requeue"), F.lit(False)).cast("long"))
+    counted = docs.rollup("category").agg(F.count(F.lit(1)).alias("docs"), own.alias("migrated"), waiting.alias("pending"))
+    return counted.withColumn("migrated_pct", F.round(100 * F.col("migrated") / F.col("docs"), 2))
+
+
+def version_counts(docs: DataFrame) -> DataFrame:
+    """Documents of each taxonomy version (null: none)."""
+    return docs.groupBy("version").agg(F.count(F.lit(1)).alias("docs"))

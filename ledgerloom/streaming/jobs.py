@@ -23,6 +23,14 @@ def throughput(events: DataFrame, at: str = "ts", window: str = "60 seconds", la
     return timed.groupBy(F.window(at, window), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
 
 
+def totals(events: DataFrame, by: list[str], sums: dict[str, str]) -> DataFrame:
+    """Running totals per group: number of events and sums (name -> expression), such as chunks by tier or bytes by extension.
+
+    On a stream the state has one row a group, so `by` must have few values; output mode complete or update.
+    """
+    return events.groupBy(*by).agg(F.count(F.lit(1)).alias("events"), *[F.sum(F.expr(e)).alias(n) for n, e in sums.items()])
+
+
 def retry(letters: DataFrame, work: Callable[[DataFrame], DataFrame], most: int = 3) -> tuple[DataFrame, DataFrame]:
     """(done, failed): `work` on dead letters that failed fewer than `most` times; what fails again counts one failure more.
 
