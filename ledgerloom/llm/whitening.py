@@ -21,6 +21,8 @@ from ledgerloom.llm.common import Workspace, materialise
 ROWS_PER_BLOCK = 1024
 COLS_PER_BLOCK = 1024
 BLOCKS_PER_SPLIT = 16
+#: Scaled components are held within these bounds, so that a count is a long.
+HELD = 9.0e18
 SCHEMA = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
@@ -28,7 +30,8 @@ def usable(vectors: DataFrame, scale: float, shift: int, id_col: str, vector_col
     """Rows (vec_id, x) with x = floor(scale * c) + shift, in longs, of the vectors that are whole and finite."""
     good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("size(v) > 0")
     good = good.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
-    return good.select("vec_id", F.transform("v", lambda c: F.floor(c * scale).cast("long") + F.lit(shift).cast("long")).alias("x"))
+    held = lambda c: F.greatest(F.least(c * scale, F.lit(HELD)), F.lit(-HELD))
+    return good.select("vec_id", F.transform("v", lambda c: F.floor(held(c)).cast("long") + F.lit(shift).cast("long")).alias("x"))
 
 
 def numbered(table: DataFrame) -> DataFrame:
@@ -91,7 +94,7 @@ def eigen(covariance: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarr
 def whiten(vectors: DataFrame, components: int = 8, scale: float = 1024.0, shift: int = 100_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Every vector on the leading `components` eigenvectors of the covariance, scaled to variance one: one row each.
 
-    x = floor(scale * c) + shift. Returned: vec_id, component (from 1, by falling eigenvalue e; no more than the
+    x = floor(scale * c) + shift (scale * c held within 9.0e18). Returned: vec_id, component (from 1, by falling eigenvalue e; no more than the
     dimensions), n (rows), deviation (sum over dimensions of (n * x - S)^2, exact, S the sums of x; null if it passes a
     long), whitened ((x - S / n) on the component, over sqrt(e)), explained (e over the trace), identity_error (largest
     entry of whitened's covariance minus the identity, over components with e > 0).
@@ -115,13 +118,15 @@ def whiten(vectors: DataFrame, components: int = 8, scale: float = 1024.0, shift
         d = dims[0]["d"]
         if table.where(F.size("x") != d).limit(1).collect():
             table = work.keep(table.where(F.size("x") == d), "of-one-length")
-        sums = [Decimal(0)] * d
-        for r in table.select(F.posexplode("x").alias("i", "c")).groupBy("i").agg(F.sum(F.col("c").cast("decimal(19,0)")).alias("s")).collect():
-            sums[r["i"]] = r["s"]
-        n, total = table.count(), F.array(*[F.lit(int(s)).cast("long") for s in sums])
-        rows = numbered(table).select("vec_id", "index", F.zip_with("x", total, lambda a, s: a * n - s).alias("centred"))
-        square = lambda a: (a.cast("decimal(19,0)") * a.cast("decimal(19,0)")).cast("decimal(38,0)")
-        deviation = F.aggregate("centred", F.lit(0).cast("decimal(38,0)"), lambda acc, a: (acc + square(a)).cast("decimal(38,0)"))
+        sums, largest, n = [0] * d, 1, table.count()
+        for r in table.select(F.posexplode("x").alias("i", "c")).groupBy("i").agg(F.sum(F.col("c").cast("decimal(19,0)")).alias("s"), F.max(F.abs("c")).alias("m")).collect():
+            sums[r["i"]], largest = int(r["s"]), max(largest, r["m"])
+        kind = "long" if 2 * n * largest < 2**63 else "decimal(38,0)"  # longs where nothing can pass them, with the same values
+        total, times = F.array(*[F.lit(Decimal(s)).cast(kind) for s in sums]), F.lit(n).cast("long" if kind == "long" else "decimal(18,0)")
+        rows = numbered(table).select("vec_id", "index", F.zip_with("x", total, lambda a, s: (a.cast("long" if kind == "long" else "decimal(19,0)") * times - s).cast(kind)).alias("centred"))
+        whole = "decimal(38,0)"
+        square = lambda a: F.try_multiply(a.cast("decimal(19,0)" if kind == "long" else whole), a.cast("decimal(19,0)" if kind == "long" else whole)).cast(whole)
+        deviation = F.aggregate("centred", F.lit(0).cast(whole), lambda acc, a: F.try_add(acc, square(a)).cast(whole))
         with kept(blocks_of(rows.select("index", F.transform("centred", lambda a: a.cast("double") / n).alias("vector")), n, d)) as matrix:
             covariance = scatter(matrix) / n
             values, axes, real = eigen(covariance, min(components, d))

@@ -195,3 +195,14 @@ def test_whitening_without_variance(spark):
 def test_deviation_beyond_a_long_is_null(spark):
     got = whitening.whiten(spark.createDataFrame([(1, [0.0, 1.0]), (2, [3e13, 0.0])], "vec_id long, embedding array<double>"))
     assert got.where(F.col("deviation").isNull()).count() == 4
+
+
+def test_enormous_components(spark):
+    rows = [(1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [3.0e15, 0.5]), (4, [0.0, 0.0])]
+    got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), components=1).toPandas()
+    x = [[min(max(int(np.floor(np.clip(1024 * c, -9e18, 9e18))), -(2**63)), 2**63 - 1) + 100_000 for c in v] for _, v in rows]
+    sums = [sum(c) for c in zip(*x, strict=True)]
+    want = [sum((4 * c - s) ** 2 for c, s in zip(row, sums, strict=True)) for row in x]
+    told = got.set_index("vec_id")["deviation"]
+    assert [None if pd.isna(told[i + 1]) else int(told[i + 1]) for i in range(4)] == [None if w >= 2**63 else w for w in want]
+    assert got["whitened"].notna().all() and got["identity_error"].max() < 1e-6
