@@ -63,7 +63,7 @@ def best_blocks(n: int, k: int) -> int:
         cuts = _cuts(m)
         return sum(sum(comb(cuts[i + 1] - cuts[i], r) for r in range(radius + 1)) * (1 + n / 2.0 ** (cuts[i + 1] - cuts[i])) for i, radius in enumerate(radii(k, m)))
 
-    return min(range(2, min(8, k + 1) + 1), key=cost)
+    return min(range(1, min(8, k + 1) + 1), key=cost)
 
 
 def near_candidates(groups: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
@@ -74,6 +74,8 @@ def near_candidates(groups: DataFrame, k: int, blocks: int | None = None) -> Dat
     become, the other lists its blocks, so they meet by equality; a pair that meets in several blocks is kept at the first.
     """
     m = best_blocks(groups.count(), k) if blocks is None else blocks
+    if not 1 <= m <= min(k + 1, 64):
+        raise ValueError("blocks must be between 1 and k + 1")
     cuts, masks = _cuts(m), probes(k, m)
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
     of_block = lambda c, i: c.bitwiseAND(F.lit(signed(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i])))

@@ -103,13 +103,13 @@ def test_duplicate_categories(spark):
     assert wide[7] == (sum(bits(0xFF00FF, x) <= 12 for x in (0xFF, 0xFF00, 0xFF0000, 0xFF0001)), "MULTIPLE_MATCHES")
 
 
-@pytest.mark.parametrize("tile_rows", [7, 4096])
-def test_near_links_equal_the_nested_loop(spark, tile_rows):
+@pytest.mark.parametrize("blocks", [7, None])
+def test_near_links_equal_the_nested_loop(spark, blocks):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(12)]
     values = [v - 2**64 if v >= 2**63 else v for v in dict.fromkeys(base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 14))) for b in base for _ in range(4)])]
     df = spark.createDataFrame([*enumerate(values), (900, values[0])], "doc_id long, simhash long")
-    got = {r["first_doc"]: (r["docs"], r["links"], r["nearest"]) for r in dedup.near_links(dedup.fingerprint_groups(df), 8, tile_rows).collect()}
+    got = {r["first_doc"]: (r["docs"], r["links"], r["nearest"]) for r in dedup.near_links(dedup.fingerprint_groups(df), 8, blocks).collect()}
     near = lambda i: [bits(values[i], v) for j, v in enumerate(values) if j != i and bits(values[i], v) <= 8]
     assert got == {i: (1 + (i == 0), len(near(i)), min(near(i), default=None)) for i in range(len(values))}
 
@@ -227,9 +227,9 @@ def test_graph_edits(spark):
     nodes = spark.createDataFrame([("a", "party", "Ann"), ("z", "party", "Lake Town"), ("q", "party", "??")], "node_id string, node_type string, name string")
     links = spark.createDataFrame([("d", "q"), ("d", "a")], "doc string, node_id string")
     places = spark.createDataFrame([("lake town",)], "name string")
-    counts = graph.prune(nodes, edges, links, F.col("name").rlike(r"^\W+$"), places, dry_run=True).first()
+    counts = graph.prune(nodes, edges, links, F.col("name").rlike(r"^\W+$"), places, [], {}, dry_run=True).first()
     assert (counts["retyped"], counts["dropped"]) == (1, 1)
-    kept, _, left = graph.prune(nodes, edges, links, F.col("name").rlike(r"^\W+$"), places)
+    kept, _, left = graph.prune(nodes, edges, links, F.col("name").rlike(r"^\W+$"), places, [], {})
     assert {(r["node_id"], r["node_type"]) for r in kept.collect()} == {("a", "party"), ("z", "location")} and left.count() == 1
     both = graph.mirror_by_slug_or_property(spark.createDataFrame([("d", "a"), ("d", "g1")], "doc string, key string"), spark.createDataFrame([("a", "{}"), ("loc", '{"geo_id": "g1"}')], "node_id string, properties string"))
     assert {r["node_id"] for r in both.collect()} == {"a", "loc"}
