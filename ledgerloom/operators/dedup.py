@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.features import hamming, similarity
+from ledgerloom.operators.durable import Workspace
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -73,7 +74,8 @@ def near_candidates(groups: DataFrame, k: int, blocks: int | None = None) -> Dat
     than its radius (the radii, each plus one, sum to k + 1). One side looks up every value that its block may have
     become, the other lists its blocks, so they meet by equality; a pair that meets in several blocks is kept at the first.
     """
-    m = best_blocks(groups.count(), k) if blocks is None else blocks
+    n = groups.count()
+    m = best_blocks(n, k) if blocks is None else blocks
     if not 1 <= m <= min(k + 1, 64):
         raise ValueError("blocks must be between 1 and k + 1")
     cuts, masks = _cuts(m), probes(k, m)
@@ -82,7 +84,8 @@ def near_candidates(groups: DataFrame, k: int, blocks: int | None = None) -> Dat
     s = F.col("simhash")
     index = groups.select(F.explode(F.array(*[F.struct(F.lit(i).alias("block"), of_block(s, i).alias("value")) for i in range(m)])).alias("key"), s.alias("sb"), F.col("first_doc").alias("b")).select("key.block", "key.value", "sb", "b")
     table = groups.sparkSession.createDataFrame([(i, [signed(x) for x in own]) for i, own in enumerate(masks)], "block int, masks array<long>")  # a few thousand numbers
-    asked = groups.select(s.alias("sa"), F.col("first_doc").alias("a")).crossJoin(F.broadcast(table))
+    parts = max(groups.sparkSession.sparkContext.defaultParallelism, n // 4096)  # a small table in one file makes many rows too
+    asked = groups.select(s.alias("sa"), F.col("first_doc").alias("a")).repartition(parts).crossJoin(F.broadcast(table))
     pick = F.element_at(F.array(*[of_block(F.col("sa"), i) for i in range(m)]), F.col("block") + 1)
     asked = asked.select("block", F.explode(F.transform("masks", lambda x: x.bitwiseXOR(pick))).alias("value"), "sa", "a")
     met = asked.join(index, ["block", "value"]).where(F.col("a") < F.col("b"))
@@ -93,13 +96,15 @@ def near_candidates(groups: DataFrame, k: int, blocks: int | None = None) -> Dat
 def near_links(groups: DataFrame, k: int = 8, blocks: int | None = None) -> DataFrame:
     """Per distinct fingerprint (first_doc, docs): how many others lie within k bits (links) and how far the nearest is.
 
-    Only candidates of near_candidates are compared, and only counts leave the join.
+    Only candidates of near_candidates are compared, and only counts leave the join. The fingerprints are written once, since
+    they are read from four sides.
     """
     d = hamming(F.col("sa"), F.col("sb"))
-    met = near_candidates(groups, k, blocks).where(d <= k).select("a", "b", d.alias("d"))
-    ends = met.select(F.explode(F.array("a", "b")).alias("first_doc"), "d").groupBy("first_doc").agg(F.count(F.lit(1)).alias("links"), F.min("d").alias("nearest"))
-    return groups.select("first_doc", "docs").join(ends, "first_doc", "left").na.fill(0, ["links"])
-
+    with Workspace(groups.sparkSession, "near-links") as work:
+        groups = work.keep(groups)
+        met = near_candidates(groups, k, blocks).where(d <= k).select("a", "b", d.alias("d"))
+        ends = met.select(F.explode(F.array("a", "b")).alias("first_doc"), "d").groupBy("first_doc").agg(F.count(F.lit(1)).alias("links"), F.min("d").alias("nearest"))
+        return work.result(groups.select("first_doc", "docs").join(ends, "first_doc", "left").na.fill(0, ["links"]))
 
 
 def recent_links(links: DataFrame, order: list, limit: int) -> DataFrame:
