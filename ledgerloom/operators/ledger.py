@@ -196,10 +196,10 @@ def subset_export(anchors: list[DataFrame], tables: dict[str, tuple[DataFrame, s
     ids = reduce(DataFrame.union, [a.select("id") for a in anchors]).distinct()
     out = {n: t.join(ids.withColumnRenamed("id", c), c, "left_semi") for n, (t, c) in tables.items()}
     inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    rank = F.lit(len(classes))
+    rank = []  # without classes no column at all: a bare number would be read as a place in the select list
     for i, name in reversed(list(enumerate(classes))):
-        rank = F.when(F.col("relation") == name, F.lit(i)).otherwise(rank)
-    return out | {"edges": inside.orderBy(rank, F.desc("weight"), "src", "dst").limit(limit)}
+        rank = [F.when(F.col("relation") == name, F.lit(i)).otherwise(rank[0] if rank else F.lit(len(classes)))]
+    return out | {"edges": inside.orderBy(*rank, F.desc("weight"), "src", "dst").limit(limit)}
 
 
 def dangling(tables: dict[str, tuple[DataFrame, list[str]]], ids: DataFrame) -> DataFrame:
