@@ -24,7 +24,7 @@ def folded(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences: cut after . ! ? before white space, and at line breaks; none is empty."""
     cut = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), r"\n+")
-    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")  # F.trim itself would take the place as what to trim
 
 
 def _let(value: Column, f) -> Column:
@@ -34,9 +34,9 @@ def _let(value: Column, f) -> Column:
 
 def evidence(text: Column, name: Column, hits: int = 8, chars: int = 900) -> Column:
     """Sentences with the name, the first `hits` of them, each with its neighbours, in order; "" without a hit."""
-    found = lambda p: F.slice(F.array_compact(F.transform(p, lambda s, i: F.when(folded(s).contains(folded(name)), i))), 1, hits)
+    found = lambda p, n: F.slice(F.array_compact(F.transform(p, lambda s, i: F.when(folded(s).contains(n), i))), 1, hits)
     around = lambda p, at: F.array_join(F.array_compact(F.transform(p, lambda s, i: F.when(F.exists(at, lambda k: F.abs(k - i) <= 1), s))), "\n")
-    return F.coalesce(F.substring(_let(sentences(text), lambda p: _let(found(p), lambda at: around(p, at))), 1, chars), F.lit(""))
+    return F.coalesce(F.substring(_let(folded(name), lambda n: _let(sentences(text), lambda p: _let(found(p, n), lambda at: around(p, at)))), 1, chars), F.lit(""))
 
 
 def has_cue(text: Column) -> Column:
