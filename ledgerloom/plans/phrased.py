@@ -55,10 +55,13 @@ _LINES = """lines as (select l_orderkey * 10 + l_linenumber doc_id, l_linenumber
     "select action_id, doc_id, rule, evidence from m qualify row_number() over (partition by action_id order by doc_id, rule, evidence) = 1"
 )
 def party_fulfilment(spark, sf):
-    """Lines as papers of four kinds; those not yet returned are open actions of the order's customer."""
-    o = fx.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("Customer "), "o_custkey", F.lit(" of "), "o_orderpriority").alias("party"))
+    """Lines as papers of four kinds; those not yet returned are open actions of the order's customer.
+
+    Names and keys are spelled in letters, one for one: the only number in a paper is its price, as the SQL has it.
+    """
+    o = fx.table(spark, sf, "orders").select("o_orderkey", F.translate(F.concat(F.lit("Customer "), "o_custkey", F.lit(" of "), "o_orderpriority"), "0123456789", "abcdefghij").alias("party"))
     lines = fx.table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    price, key = F.floor("l_extendedprice").cast("long"), F.substring(F.md5(F.col("l_orderkey").cast("string").cast("binary")), 1, 8)
+    price, key = F.floor("l_extendedprice").cast("long"), F.translate(F.substring(F.md5(F.col("l_orderkey").cast("string").cast("binary")), 1, 8), "0123456789", "ghijklmnop")
     told = F.concat(F.lit("return of goods of kind "), "l_linestatus", F.lit(", please"))
     kind, part = F.col("l_linenumber") % 4, F.col("l_partkey")
     text = F.when(kind == 0, F.concat(F.lit("Receipt for "), price)).when(kind == 1, F.concat(F.lit("we had "), price, F.lit(".00 from "), "party"))
