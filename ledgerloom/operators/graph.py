@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.durable import Workspace
+from ledgerloom.operators.durable import Workspace, dealt, few, parts_for
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -27,8 +27,16 @@ def node_stats(nodes: DataFrame, edges: DataFrame, links: DataFrame, dates: Data
 
 
 def cooccurrence(left: DataFrame, right: DataFrame, key: str, relation: str) -> DataFrame:
-    """Edges between entities of two types that share a document, with the number of shared documents as weight."""
-    return left.distinct().join(right.distinct(), key).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).withColumn("relation", F.lit(relation))
+    """Edges between entities of two types that share a document, with the number of shared documents as weight.
+
+    Both sides are dealt by document, the pairs by their ends, into as many partitions as their rows ask for. The number of
+    pairs is reckoned from the documents' average size, without making them.
+    """
+    spark, rows = left.sparkSession, (left.count(), right.count())
+    docs = left.agg(F.approx_count_distinct(key).alias("n")).first()["n"]
+    by_doc, by_pair = parts_for(spark, sum(rows)), parts_for(spark, rows[0] * rows[1] // max(1, docs))
+    pairs = dealt(left, by_doc, key).distinct().join(dealt(right, by_doc, key).distinct(), key).select("src", "dst")
+    return dealt(pairs, by_pair, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).withColumn("relation", F.lit(relation))
 
 
 def shared_neighbours(links: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -44,14 +52,20 @@ def bridging_documents(links: DataFrame, a: DataFrame, b: DataFrame) -> DataFram
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """Nodes within `hops` edges of each seed (seed, node_id, hop = the smallest), both directions, seeds left out."""
-    both = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).unionAll(edges.select(F.col("dst").alias("x"), F.col("src").alias("y"))).distinct()
-    front = seeds.select(F.col("node_id").alias("seed"), F.col("node_id"))
-    found = []
-    for hop in range(1, hops + 1):
-        front = front.join(both, F.col("node_id") == F.col("x")).select("seed", F.col("y").alias("node_id")).distinct()
-        found.append(front.withColumn("hop", F.lit(hop)))
-    return reduce(DataFrame.unionByName, found).where("seed <> node_id").groupBy("seed", "node_id").agg(F.min("hop").alias("hop"))
+    """Nodes within `hops` edges of each seed (seed, node_id, hop = the smallest), both directions, seeds left out.
+
+    Each hop's front is written, and a small one broadcast, so that the edges are read where they lie; equal edges fold with
+    the front that they reach, never as a whole.
+    """
+    both = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).unionAll(edges.select(F.col("dst").alias("x"), F.col("src").alias("y")))
+    with Workspace(edges.sparkSession, "neighbourhood") as work:
+        front = work.keep(seeds.select(F.col("node_id").alias("seed"), F.col("node_id")))
+        found = []
+        for hop in range(1, hops + 1):
+            near = F.broadcast(front) if few(front) else front
+            front = work.keep(both.join(near, F.col("node_id") == F.col("x")).select("seed", F.col("y").alias("node_id")).distinct())
+            found.append(front.withColumn("hop", F.lit(hop)))
+        return work.result(reduce(DataFrame.unionByName, found).where("seed <> node_id").groupBy("seed", "node_id").agg(F.min("hop").alias("hop")))
 
 
 def induced_subgraph(edges: DataFrame, kept: DataFrame, limit: int | None = 3000) -> DataFrame:
@@ -102,10 +116,13 @@ def consolidate(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.where("src <> dst").groupBy("src", "dst", "relation").agg(F.max("weight").alias("weight"))
 
 
-def consolidate_links(links: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Links (doc, node_id) with alias nodes replaced by canonical ones (alias, canonical), each once."""
-    moved = links.select("doc", "node_id").join(mapping.select(F.col("alias").alias("node_id"), "canonical"), "node_id", "left")
-    return moved.select("doc", F.coalesce("canonical", "node_id").alias("node_id")).distinct()
+def consolidate_links(links: DataFrame, mapping: DataFrame, parts: int | None = None) -> DataFrame:
+    """Links (doc, node_id) with alias nodes replaced by canonical ones (alias, canonical), each once.
+
+    The mapping is hashed, so no links are sorted; with `parts` they are dealt into so many partitions by document.
+    """
+    moved = links.select("doc", "node_id").join(mapping.select(F.col("alias").alias("node_id"), "canonical").hint("shuffle_hash"), "node_id", "left")
+    return dealt(moved.select("doc", F.coalesce("canonical", "node_id").alias("node_id")), parts, "doc").distinct()
 
 
 def first_edges(edges: DataFrame, order: str) -> DataFrame:

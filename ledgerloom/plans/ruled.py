@@ -34,7 +34,7 @@ def first_edges(spark, sf):
 @query(f"with {fx.LINKS_SQL} select distinct doc, case when node_id like 'p%7' then 'p1' else node_id end node_id from links")
 def consolidated_links(spark, sf):
     aliases = fx.nodes(spark, sf).where("node_id like 'p%7'").select(F.col("node_id").alias("alias"), F.lit("p1").alias("canonical"))
-    return graph.consolidate_links(fx.links(spark, sf), aliases)
+    return graph.consolidate_links(fx.links(spark, sf), aliases, fx.link_parts(spark, sf))
 
 
 _GRAPH = """n as (select 'c' || c_custkey node_id, 'contract_type' node_type, c_mktsegment "name" from customer union all select 's' || s_suppkey, 'person', s_name from supplier
