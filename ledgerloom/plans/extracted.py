@@ -256,7 +256,7 @@ def resolved_focus(spark, sf):
 @query(f"with {fx.LINKS_SQL} select doc, node_id from links union select l_orderkey, 'l' || l_linenumber from lineitem")
 def inserted_links(spark, sf):
     more = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("l"), "l_linenumber").alias("node_id"))
-    return R.insert_absent(fx.links(spark, sf), more.unionAll(fx.links(spark, sf)), ["doc", "node_id"])
+    return R.insert_absent(fx.links(spark, sf), more.unionAll(fx.links(spark, sf)), ["doc", "node_id"], fx.link_parts(spark, sf))
 
 
 @query("select case when p_brand = 'Brand#1' or p_brand = 'Brand#11' then case when p_size > 25 then 'large' else 'small' end else p_brand end category, count(*) docs from part group by all")
