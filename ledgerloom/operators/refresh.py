@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.features import hashed_embedding
-from ledgerloom.operators import retrieval, review
+from ledgerloom.operators import retrieval
+from ledgerloom.operators.durable import dealt
 from ledgerloom.sources import files
 
 
@@ -42,12 +43,15 @@ def apply_reextraction(docs: DataFrame, chunks: DataFrame, read: DataFrame, size
     return fresh, chunks.join(new.select("doc_id"), "doc_id", "left_anti").select(*made.columns).unionByName(made)
 
 
-def mirror_links(links: DataFrame, edges: DataFrame, placed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def mirror_links(links: DataFrame, edges: DataFrame, placed: DataFrame, nodes: DataFrame, docs: DataFrame, parts: int | None = None) -> DataFrame:
     """links (doc_id, node_id, role, confidence) and, where absent, those that the other tables know.
 
     edges (src, dst, relation, weight) from doc_<doc_id> to a node give links of that role; placed (doc_id, geo_id,
     confidence) give LOCATED_IN links to the node location_<geo_id> and to nodes whose properties hold the geo_id. Only
     known documents and nodes are linked; of several confidences the highest counts, and null stands for 1.
+
+    Nodes are hashed, so no links are sorted by node, of which a few may have most; with `parts` links and documents are
+    dealt once by doc_id, and all that follows stays in those partitions.
     """
     from_edges = edges.where(F.col("src").startswith("doc_")).select(F.substring("src", 5, 1 << 20).alias("doc_id"), F.col("dst").alias("node_id"), F.col("relation").alias("role"), F.col("weight").cast("double").alias("confidence"))
     by_id = placed.select("doc_id", F.concat(F.lit("location_"), F.regexp_replace(F.lower("geo_id"), "[- ]", "_")).alias("node_id"), F.col("confidence").cast("double").alias("confidence"))
@@ -55,9 +59,12 @@ def mirror_links(links: DataFrame, edges: DataFrame, placed: DataFrame, nodes: D
     by_property = placed.join(property_, "geo_id").select("doc_id", "node_id", F.col("confidence").cast("double").alias("confidence"))
     from_places = by_id.unionByName(by_property).select("doc_id", "node_id", F.lit("LOCATED_IN").alias("role"), "confidence")
     key = ["doc_id", "node_id", "role"]
-    new = from_edges.unionByName(from_places).groupBy(*key).agg(F.max(F.coalesce("confidence", F.lit(1.0))).alias("confidence"))
-    known = new.join(nodes.select("node_id"), "node_id", "left_semi").join(docs.select("doc_id"), "doc_id", "left_semi")
-    return review.insert_absent(links.select(*key, "confidence"), known, key)
+    known = from_edges.unionByName(from_places).join(nodes.select("node_id").hint("shuffle_hash"), "node_id", "left_semi")
+    known = dealt(known, parts, "doc_id").join(dealt(docs.select("doc_id"), parts, "doc_id"), "doc_id", "left_semi")
+    new = known.groupBy(*key).agg(F.max(F.coalesce("confidence", F.lit(1.0))).alias("confidence"))
+    links = links.select(*key, "confidence")
+    there = dealt(links.select(*key), parts, "doc_id").distinct()
+    return links.unionByName(new.join(there, key, "left_anti").select(*links.columns))
 
 
 def embedding_health(vectors: DataFrame) -> DataFrame:

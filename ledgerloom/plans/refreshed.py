@@ -40,4 +40,4 @@ def mirrored_table_links(spark, sf):
     placed = orders.where("o_custkey % 7 < 5").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.concat(F.lit("R"), F.col("o_custkey") % 5).alias("geo_id"), F.lit(0.5).alias("confidence"))
     regions = fx.table(spark, sf, "region").select(F.concat(F.lit("location_r"), "r_regionkey").alias("node_id"), F.lit("{}").alias("properties"))
     nodes = fx.table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.lit("{}").alias("properties")).unionByName(regions)
-    return refresh.mirror_links(links, edges, placed, nodes, orders.select(F.col("o_orderkey").cast("string").alias("doc_id")))
+    return refresh.mirror_links(links, edges, placed, nodes, orders.select(F.col("o_orderkey").cast("string").alias("doc_id")), fx.link_parts(spark, sf))
