@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.durable import dealt
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], sequence: str, keep_old: tuple[str, ...] = ()) -> DataFrame:
     """Last writer wins by `sequence` per key; columns in keep_old keep their last value that is not null."""
@@ -99,15 +101,16 @@ def chunks_of(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     return own.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")))
 
 
-def entities_of(links: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+def entities_of(links: DataFrame, nodes: DataFrame, asked: DataFrame, parts: int | None = None) -> DataFrame:
     """Entities of each asked document (doc): doc, node_id, node_type, name, role and the link's place by role, then name.
 
-    Without a column role in links, the role is null and the name alone decides.
+    Without a column role in links, the role is null and the name alone decides. The nodes are hashed, so no links are sorted
+    by node; with `parts` the entities are dealt into so many partitions by document, where they are made distinct and placed.
     """
     links = links if "role" in links.columns else links.withColumn("role", F.lit(None).cast("string"))
-    own = links.join(asked.select("doc").distinct(), "doc", "left_semi").join(nodes, "node_id")
+    own = links.join(asked.select("doc").distinct(), "doc", "left_semi").join(nodes.hint("shuffle_hash"), "node_id")
     order = Window.partitionBy("doc").orderBy(F.asc_nulls_last("role"), "name", "node_id")
-    return own.select("doc", "node_id", "node_type", "name", "role").distinct().withColumn("place", F.row_number().over(order))
+    return dealt(own.select("doc", "node_id", "node_type", "name", "role"), parts, "doc").distinct().withColumn("place", F.row_number().over(order))
 
 
 def queue_stats(queue: DataFrame, chunks: DataFrame) -> DataFrame:

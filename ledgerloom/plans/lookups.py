@@ -53,7 +53,7 @@ def document_chunks(spark, sf):
 def document_entities(spark, sf):
     asked = fx.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("doc"))
     links = fx.links(spark, sf).withColumn("role", F.when(F.col("node_id").startswith("p"), "item").otherwise("by"))
-    return ledger.entities_of(links, fx.nodes(spark, sf), asked)
+    return ledger.entities_of(links, fx.nodes(spark, sf), asked, fx.link_parts(spark, sf))
 
 
 @query("select o_orderstatus status, count(*) entries, count(distinct o_custkey) docs from orders group by all union all select 'chunks', count(*), count(distinct l_orderkey) from lineitem")
