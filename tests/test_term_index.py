@@ -1,6 +1,7 @@
 """The stored keyword index against searches without one."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.operators import retrieval, term_index
@@ -34,3 +35,14 @@ def test_index_of_nothing(spark, docs, tmp_path):
     index = term_index.build(docs.limit(0), str(tmp_path / "i"))
     top, reads = term_index.search(index, spark.createDataFrame([(1, "w1")], "query_id long, term string"))
     assert top.collect() == [] == reads.collect()
+
+
+def test_blocks_of_groups_that_span_batches():
+    rows = [(0, 4, ["b", "a", "b"]), (0, 2, ["a"]), (0, 3, None), (1, 9, ["a"]), (1, 9, ["a", "c"]), (2, 5, [])]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], ["grp", "doc_id", "w"])
+    for size in (1, 2, 6):
+        got = [r for b in term_index._blocks((batch.slice(i, size) for i in range(0, len(rows), size)), 1.5) for r in b.to_pylist()]
+        held = {(r["term"], r["grp"]): [(h["doc_id"], h["tf"], h["len"]) for h in r["held"]] for r in got}
+        assert held == {("a", 0): [(2, 1, 1), (4, 1, 3)], ("b", 0): [(4, 2, 3)], ("a", 1): [(9, 2, 1)], ("c", 1): [(9, 1, 1)]} and len(got) == 4
+        best = {(r["term"], r["grp"]): r["best"] for r in got}
+        assert best["a", 0] == pytest.approx(2.2 / (1 + 1.2 * (0.25 + 0.75 * 1 / 1.5))) and all(r["n"] == len(r["held"]) for r in got)
