@@ -20,8 +20,8 @@ def refresh_embeddings(chunks: DataFrame, vectors: DataFrame, dim: int = 64) ->
     key = ["doc_id", "chunk_index"]
     usable = vectors.where(F.size("embedding") > 0).select(*key, F.col("embedding").cast("array<double>").alias("_old")).dropDuplicates(key)
     both = chunks.join(usable, key, "left")
-    fresh = F.when(F.col("_old").isNotNull(), F.col("_old")).otherwise(hashed_embedding(F.coalesce("chunk_text", F.lit("")), dim))
-    return both.select(*key, fresh.alias("embedding"), F.col("_old").isNotNull().alias("kept"))
+    asked = F.when(F.col("_old").isNull(), F.coalesce("chunk_text", F.lit("")))  # null, which costs nothing, where a vector is kept
+    return both.select(*key, F.coalesce("_old", hashed_embedding(asked, dim)).alias("embedding"), F.col("_old").isNotNull().alias("kept"))
 
 
 def reextracted(locations: DataFrame, found: DataFrame, extension: str) -> DataFrame:
