@@ -89,8 +89,9 @@ def build(docs: DataFrame, path: str, docs_per_group: int = DOCS_PER_GROUP) -> T
 
     Documents are dealt by hash into groups of about docs_per_group, so a block of a common word is as small as any other.
     A block has its documents with their counts and lengths, and `best`, the greatest part of a score that one of them
-    gives. The texts are dealt by group once, and a group's words are counted where it lies, as arrays. Blocks lie in folders by a hash of the word, sorted by word and group, so a search opens the folders of its
-    words and Parquet's statistics pass over the rest. Rows without a doc_id are left out; of a doc_id that repeats each
+    gives. The texts are dealt by group once, and a group's words are counted where it lies, as arrays; the blocks, several times
+    the texts as rows, are written from there and never shuffled. They lie in folders by a hash of the word, in each file sorted by word and
+    group, so a search opens the folders of its words and Parquet's statistics pass over the rest. Rows without a doc_id are left out; of a doc_id that repeats each
     row is a posting of its own.
     """
     spark = docs.sparkSession
@@ -104,10 +105,11 @@ def build(docs: DataFrame, path: str, docs_per_group: int = DOCS_PER_GROUP) -> T
     avg_len = known["avg_len"] or 1.0  # no word, no block
     small_batches(spark)
     listed = docs.select(grp.alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), indexed_text(docs).alias("_text"))
-    sorted_ = dealt(listed, parts_for(spark, 16 * known["n"]), "grp") if parts_for(spark, 16 * known["n"]) else listed.repartition("grp")
+    parts = parts_for(spark, 32 * known["n"])  # some 15,000 documents a task, whose blocks it can sort in memory
+    sorted_ = dealt(listed, parts, "grp") if parts else listed.repartition("grp")
     sorted_ = sorted_.sortWithinPartitions("grp").select("grp", "doc_id", words(F.col("_text")).alias("w"))
     blocks = sorted_.mapInArrow(lambda batches: _blocks(batches, avg_len), _BLOCKS).withColumn("bucket", _bucket())
-    blocks.repartition("bucket", F.pmod("grp", F.lit(16))).sortWithinPartitions("bucket", "term", "grp").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    blocks.sortWithinPartitions("bucket", "term", "grp").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks")
     return TermIndex(spark, path)
 
 
@@ -144,15 +146,16 @@ def search(index: TermIndex, terms: DataFrame, limit: int = 5, all_terms: bool =
         def best(groups: DataFrame) -> DataFrame:
             """The best `limit` documents (query_id, doc_id, score) of (query_id, grp) pairs.
 
-            Blocks and pairs meet in partitions of groups, where a document's score is summed and ranked, so neither the
-            pairs of query and document nor their parts are shuffled.
+            Blocks and a group's queries meet in partitions of groups, by the group alone, before a block is paired with the
+            queries of its word; a document's score is summed and ranked there, so neither blocks of queries nor pairs of query
+            and document are shuffled.
             """
             pairs = groups.count() * (-(-known["n"] // known["groups"]))
             read = index.blocks.select("bucket", "term", "grp", "held").join(small(names), ["bucket", "term"], "left_semi")
             where = groups.select("grp").distinct()
             read = read.join(F.broadcast(where), "grp", "left_semi") if few(where) else read
-            own = by_group(read, pairs).join(small(found_terms), ["bucket", "term"])
-            own = own.join(by_group(groups.select("query_id", "grp"), pairs).hint("shuffle_hash"), ["query_id", "grp"], "left_semi")
+            asking = by_group(groups.select("query_id", "grp"), pairs).groupBy("grp").agg(F.collect_set("query_id").alias("_asking"))
+            own = by_group(read, pairs).join(asking.hint("shuffle_hash"), "grp").join(small(found_terms), ["bucket", "term"]).where(F.array_contains("_asking", F.col("query_id")))
             part = F.col("idf") * saturation(F.lit(known["avg_len"]), K1, B)
             each = own.select("query_id", "grp", "idf", F.explode("held").alias("h")).select("query_id", "grp", "idf", "h.doc_id", "h.tf", "h.len")
             each = each.groupBy("query_id", "grp", "doc_id").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("found"))
